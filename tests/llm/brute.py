@@ -45,3 +45,45 @@ def near_duplicates(docs, k, percent):
     links = [(a, b) for (a, b), n in shared.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
     found = smallest_reachable(sets, links)
     return {i: (len(sets[i]), found[i]) for i in sets}
+
+
+def contained_items(docs, items, k, percent):
+    """{(doc_id, item_id): (n_shared, n_item)}"""
+    wanted = {i: s for i, t in items if (s := shingle_set(t, k))}
+    having = defaultdict(set)
+    for i, s in wanted.items():
+        for x in s:
+            having[x].add(i)
+    out = {}
+    for d, text in docs:
+        for i in {i for x in shingle_set(text, k) for i in having.get(x, ())}:
+            n = len(wanted[i] & shingle_set(text, k))
+            if 100 * n >= percent * len(wanted[i]):
+                out[d, i] = (n, len(wanted[i]))
+    return out
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def private_spans(text):
+    """[(start, kind number, end)] of the four fixed kinds."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text or ""):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text or ""):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text or ""):
+        digits = re.sub("[^0-9]", "", m[0])
+        if 14 <= len(digits) <= 19 and luhn(digits):
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text or ""):
+        if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
