@@ -8,8 +8,10 @@ coordinates of two sketches concentrates around the Jaccard similarity as with t
 Search. Texts with equal sets are folded into one node first, so a group of copies is one row from there on.
 Each band of ``rows`` coordinates is a bucket key. Every node is linked with one hub of each of its buckets
 (another random member for each bucket), which takes one row for a member and band however large a bucket is.
-Nodes of a bucket that the hubs leave in different components are then compared with each other, pair by
-pair, so that no link is lost that banding finds. All links are confirmed on the full shingle sets.
+Nodes of a bucket that the hubs leave in different components are then compared with each other, so that no
+link is lost that banding finds: in buckets of up to ``SMALL`` nodes as rows of a join, in larger ones tile by
+tile inside tasks, which return only links that join components (fewer than their nodes). All links are
+confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +29,12 @@ from copysift.llm.frames import cut, small_enough
 from copysift.llm.words import U64, mix, portions, shingle_sets
 
 BANDS, ROWS = 32, 6
+#: Nodes of a bucket up to which its pairs become rows.
+SMALL = 16
+#: Shingles in a tile of a larger bucket, about.
+TILE_SHINGLES = 200_000
+#: Standard errors of the sketch's estimate by which a pair may miss the threshold and still be confirmed on the full sets.
+ERRORS = 6
 
 
 def fast_similarity_sketch(elements: np.ndarray, t: int) -> np.ndarray:
@@ -128,12 +137,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     found = cut(components(links, "a", "b"))
 
     placed = buckets.join(nodes.select("node", "n"), "node").join(found, "node", "left").select("band", "node", "n", F.coalesce("component_id", "node").alias("component"))
-    split = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band")
-    placed = cut(placed.join(split, "band", "left_semi"))
-    left, right = placed.alias("l"), placed.alias("r")
+    split = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"), F.sum("n").alias("shingles")).where("x != y")
+    placed = cut(placed.join(split.select("band", "members", "shingles"), "band"))
+    few = placed.where(F.col("members") <= SMALL)
+    left, right = few.alias("l"), few.alias("r")
     crossing = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component")) & (F.lit(100) * F.least("l.n", "r.n") >= F.lit(percent) * F.greatest("l.n", "r.n")))
     crossing = crossing.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(spokes, ["a", "b"], "left_anti")
     more = confirmed(cut(_likely(crossing, nodes, percent)), docs, k, percent)
+    more = more.unionByName(_tiled(placed.where(F.col("members") > SMALL), nodes, docs, k, percent))
 
     found = components(found.select(F.col("node").alias("a"), F.col("component_id").alias("b")).unionByName(more).unionByName(same), "a", "b")
     answer = signed.join(nodes.select("set_high", "set_low", F.col("node").alias("copy_of")), ["set_high", "set_low"], "left")
@@ -142,8 +153,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     return answer.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
+def _least_estimate(percent: int, coordinates: int) -> float:
+    p = percent / 100
+    return p - ERRORS * (p * (1 - p) / coordinates) ** 0.5
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sketches agree in a share of coordinates within six standard errors of the threshold, and whose sizes allow it."""
+    """Pairs whose sketches agree in a share of coordinates within ``ERRORS`` standard errors of the threshold, and whose sizes allow it."""
     of = nodes.select("node", "marks", "n")
     both = pairs.join(of.select(F.col("node").alias("a"), F.col("marks").alias("marks_a"), F.col("n").alias("n_a")), "a").join(of.select(F.col("node").alias("b"), F.col("marks").alias("marks_b"), F.col("n").alias("n_b")), "b")
 
@@ -151,9 +167,56 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("marks_a", "marks_b"))
-                p = percent / 100
-                least = p - 6 * (p * (1 - p) / x.shape[1]) ** 0.5
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= least))
+                yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= _least_estimate(percent, x.shape[1])))
 
     sized = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
     return both.where(sized).select("a", "b", "marks_a", "marks_b").mapInArrow(run, "a long, b long")
+
+
+def _tiled(placed: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links between components within the buckets ``placed`` (band, node, component, shingles), by pairs of tiles."""
+    placed = placed.withColumn("tiles", F.ceil(F.col("shingles") / TILE_SHINGLES).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node", "band"), "tiles").cast("int"))
+    involved = cut(placed.select(F.col("node").alias("doc_id")).distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_enough(involved), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.max("text").alias("text"))
+    others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("t1"), F.greatest(t, F.col("tile")).alias("t2")))
+    rows = placed.select("band", "node", "component", "tile", "tiles").join(nodes.select("node", "n", "marks", "bands"), "node").join(texts, "node").select("band", "node", "n", "component", "tile", "marks", "bands", "text", F.inline(others))
+
+    def links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        one = key[1] == key[2]
+        ids, part, tile = rows["node"].to_numpy(np.int64), rows["component"].to_numpy(np.int64), rows["tile"].to_numpy()
+        n = rows["n"].to_numpy(np.int64)
+        marks = np.frombuffer(b"".join(rows["marks"]), np.uint8).reshape(len(rows), -1)
+        bands = np.array(rows["bands"].tolist(), np.int64)
+        estimates, at = [], []
+        for i in range(len(rows)):
+            open_ = (part != part[i]) & (ids > ids[i] if one else tile > tile[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            j = np.flatnonzero(open_)
+            e = (marks[j] == marks[i]).mean(1)
+            keep = e >= _least_estimate(percent, marks.shape[1])
+            j, e = j[keep], e[keep]
+            # of the bands that a pair shares one, picked by a hash, deals with it
+            order = mix((bands[j] ^ (ids[j] ^ ids[i])[:, None]).view(U64))
+            order[bands[j] != bands[i]] = np.iinfo(U64).max
+            mine = bands[i][order.argmin(1)] == key[0] if len(j) else np.zeros(0, bool)
+            at += [(i, x) for x in j[mine].tolist()]
+            estimates += e[mine].tolist()
+        sets = shingle_sets(pa.array(rows["text"].tolist(), pa.large_string()), k)
+        root = {c: c for c in part.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        found = []
+        for where in np.argsort(estimates, kind="stable")[::-1]:
+            i, j = at[where]
+            a, b = find(int(part[i])), find(int(part[j]))
+            if a != b:
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
+                    root[max(a, b)] = min(a, b)
+                    found.append((int(ids[i]), int(ids[j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("band", "t1", "t2").applyInPandas(links, "a long, b long")
