@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,20 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where it names none
     (a local session, as in tests) a temporary one is set.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share, below spark.checkpoint.dir; where that is unset, a temporary one is set first."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from copysift.llm import decontam, minhash_dedup, mixing, pii, pseudo_lm, quality, span_dedup, vector_dedup
-from copysift.llm.frames import table
+from copysift.llm import decontam, minhash_dedup, mixing, pii, pseudo_lm, quality, span_dedup, vector_dedup, warc, wrapper
+from copysift.llm.frames import new_folder, table
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"), new_folder(spark, "archives"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -22,6 +26,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_lm.pseudo_likelihoods(table(spark, sf_dir, "documents"))
 
