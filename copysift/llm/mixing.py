@@ -151,7 +151,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     columns = [c for c in rows.columns if c not in ("size", "source_size", "target", "taken", "shards")]
     rows = rows.select("*", F.posexplode("shards").alias("copy", "shard"))
     rows = rows.withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")))
-    head = F.regexp_extract("text", F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("words").cast("string"), F.lit("}+")), 0)
+    head = F.call_function("regexp_extract", "text", F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("words").cast("string"), F.lit("}+")), F.lit(0))
     rows = rows.withColumn("text", F.when(F.col("words") < F.col("size"), head).otherwise(F.col("text")))
     seed = options.get("seed", 11)
     rows = rows.select(*columns, "size", "source_size", "target", "shard", "copy", "words")
