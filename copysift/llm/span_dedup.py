@@ -93,7 +93,7 @@ def repeated_ranges(docs: DataFrame, least: int) -> DataFrame:
     """(doc, ranges, firsts): merged sentence ranges that non-first occurrences cover, and the documents with the first ones. docs: doc, text."""
     found = _occurrences(docs, least)
     counted = found.groupBy("span").agg(F.count("*").alias("times"), F.min("doc").alias("first_doc")).where("times > 1")
-    again = found.join(small_enough(cut(counted.select("span", "first_doc"))), "span")
+    again = found.join(counted.select("span", "first_doc"), "span")
     again = cut(again)
     first = again.where("doc = first_doc").groupBy("span").agg(F.min("begin").alias("first_begin"))
     later = again.join(first, "span").where("doc != first_doc or begin != first_begin")
