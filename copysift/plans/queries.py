@@ -84,11 +84,11 @@ def dedupe_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def changed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change detection: the index holds each user's last purchase, the listing each user's last event."""
-    events = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("file"), F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01', ts)").cast("double").alias("mtime"), F.col("event_id").alias("size"), "event_type")
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("file"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', ts)").cast("double").alias("mtime"), F.col("event_id").alias("size"), "event_type")
     last = latest(events, "file", F.col("mtime"), F.col("size"))
     known = latest(events.where("event_type = 'purchase'"), "file", F.col("mtime"), F.col("size"))
     state = known.select("file", "mtime", "size", F.lit(False).alias("dirty"), F.lit("").alias("content_hash"))
-    return to_read(last.select("file", "mtime", "size"), state).select("file", "mtime", "size", "old_size")
+    return to_read(last.select("file", "mtime", "size"), state).select("file", "size", "old_size")
 
 
 def vector_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,10 +273,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, CASE WHEN length(line) > 120 THEN substr(line, 1, 120) || '...' ELSE line END AS preview FROM shown""",
         "strip_comments": r"""SELECT doc_id, sha256(regexp_replace(text, '("(?:\\[^\n]?|[^"\\\n])*"?|' || chr(39) || '(?:\\[^\n]?|[^' || chr(39) || '\\\n])*' || chr(39) || '?)|//[^\n]*|#[^\n]*', '\1', 'g')) AS stripped_sha FROM documents""",
         "dedupe_latest": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-        "changed_users": """WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) = 1),
-            s AS (SELECT * FROM events WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) = 1)
-            SELECT CAST(l.user_id AS VARCHAR) AS file, epoch_ms(l.ts)::DOUBLE AS mtime, l.event_id AS size, s.event_id AS old_size FROM l LEFT JOIN s USING (user_id)
-            WHERE NOT coalesce(epoch_ms(l.ts) = epoch_ms(s.ts) AND l.event_id = s.event_id, false)""",
+        "changed_users": """WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) DESC, event_id DESC) = 1),
+            s AS (SELECT * FROM events WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) DESC, event_id DESC) = 1)
+            SELECT CAST(l.user_id AS VARCHAR) AS file, l.event_id AS size, s.event_id AS old_size FROM l LEFT JOIN s USING (user_id)
+            WHERE NOT coalesce(epoch_us(l.ts) = epoch_us(s.ts) AND l.event_id = s.event_id, false)""",
         "vector_lookup": _DOCS + " SELECT doc_id, norm_hash, len(embedding)::INT AS dim FROM docs LEFT JOIN embeddings ON vec_id = doc_id",
         "missing_vectors": _DOCS + " SELECT * FROM (SELECT norm_hash, min(doc_id) AS doc_id FROM docs GROUP BY norm_hash) d WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = d.doc_id)",
         "retain_only": "SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
