@@ -1,0 +1,218 @@
+"""Personal data, decontamination, repeated passages, quality, mixing and scoring: brute force and edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from copysift.llm import decontam, mixing, pii, pseudo_lm, quality, span_dedup, words
+from tests.llm import brute
+
+KIND = "doc_id long, text string, spans string, size int, shard string"
+
+
+def frame(spark, docs):
+    return spark.createDataFrame([(*d, "extra", 1, "extra") for d in docs], KIND)
+
+
+ODD = [(None, None), (1, None), (2, ""), (3, " \n\t "), (4, "a"), (4, "a"), (5, "word " * 60_000), (6, "y" * 400_000), (7, "x é 😀. a@b.co é. " * 3)]
+
+PRIVATE = [
+    "mail a@b.c_d@e.f.g, x@y and foo@bar.com.", "a" * 200_000 + " z@z.zz", "1.2.3.4.5 256.1.1.1 007.0.0.255 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112", "1" * 100_000,
+    "+1 (555) 123-4567 +49 30 1234 +1+2 +123456789012345678", "é😀 a@b.cd 4041894974608795", None, "", "a@b.c@d.e a..b@c--.d-.e %@1.2", "12-34 56--78 " + "4 2" * 9, "x@y.z" * 40,
+]
+
+
+def _pii(spark, texts):
+    return {r["doc_id"]: r for r in pii.found_spans(frame(spark, list(enumerate(texts)))).collect()}
+
+
+def test_fixed_kinds_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = PRIVATE + ["".join(rng.choice("a1.@+- ()9_%\n") for _ in range(rng.randrange(200))) for _ in range(300)]
+    got = _pii(spark, texts)
+    for i, text in enumerate(texts):
+        spans = brute.private_spans(text)
+        joined = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        assert got[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest(), (text, joined, got[i])
+        assert [got[i][f"n_{k}"] for k in pii.KINDS[:4]] == [sum(s[1] == k for s in spans) for k in range(4)]
+
+
+def test_terms_that_give_an_entity_away(spark):
+    rng = random.Random(5)
+    other = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    say = lambda n: " ".join(rng.choice(other) for _ in range(n))
+    docs = [(i, f"{say(5)} Zorbington writes from zz@corp.example today {say(5)}") for i in range(6)] + [(100 + i, f"{say(20)} writes from today") for i in range(200)]
+    rows = {r["doc_id"]: r["spans"] for r in pii.found_spans(frame(spark, docs)).collect()}
+    for i, text in docs[:6]:
+        at = text.index("Zorbington")
+        assert f"term:{at}:{at + 10}" in rows[i]
+        assert f"term:{text.index('today')}" not in rows[i]
+    assert all(rows[i] == "" for i, _ in docs[6:])
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(frame(spark, docs)).collect()}
+    assert "zz@corp" not in clean[0] and "Zorbington" not in clean[0] and "<EMAIL>" in clean[0] and clean[100] == docs[6][1]
+
+
+def test_copies_alone_give_nothing_away(spark):
+    docs = [(i, "Unique wording beside ab@cd.example here") for i in range(9)]
+    assert {r["spans"] for r in pii.found_spans(frame(spark, docs)).collect()} == {"email:22:35"}
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(50)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(3, 60)))) for i in range(40)] + [(98, ""), (99, None)]
+    docs = []
+    for i in range(120):
+        text = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 300))]
+        piece = items[rng.randrange(40)][1].split()
+        if i % 2:
+            for _ in range(rng.randrange(4)):
+                piece[rng.randrange(len(piece))] = "changed"
+            text[5:5] = piece
+        docs.append((i, " ".join(text)))
+    docs += [(500, items[0][1].upper()), (501, None), (502, "")]
+    got = {(r["doc"], r["item_id"]): (r["n_shared"], r["n_item"]) for r in decontam.contained_items(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute.contained_items([(i, t.lower() if t else t) for i, t in docs], items, 5, 80) and len(got) > 30
+    kept = {r["doc_id"] for r in decontam.decontaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert kept == {i for i, _ in docs} - {d for d, _ in got}
+
+
+def test_repeated_passages(spark):
+    rng = random.Random(7)
+    say = lambda n: " ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(999)) for _ in range(n))
+    passage = ". ".join(say(9) for _ in range(7)) + "."
+    docs = [(i, f"{say(30)}. {passage} {say(12)}.\n{say(25)}.") for i in range(5)] + [(9, say(80) + "."), (10, None), (11, "")]
+    rows = {r["doc_id"]: r for r in span_dedup.without_repeats(frame(spark, docs)).collect()}
+    assert rows[0]["n_removed"] == 0 and rows[0]["text"] == docs[0][1] and rows[9]["n_removed"] == 0 and rows[10]["text"] is None and rows[11]["text"] == ""
+    for i in range(1, 5):
+        assert rows[i]["n_removed"] == 7 and passage not in rows[i]["text"] and rows[i]["first_docs"] == [0]
+        a, b = map(int, rows[i]["removed"].split("-"))
+        assert docs[i][1][a:b].strip() == passage and docs[i][1][:a] + docs[i][1][b:] == rows[i]["text"]
+
+
+def test_passage_repeated_within_a_text_and_unicode(spark):
+    passage = " ".join(f"é{i} 😀." for i in range(15))
+    rows = span_dedup.without_repeats(frame(spark, [(1, f"{passage} end of one.\n{passage}")])).collect()
+    assert rows[0]["text"].count(passage) == 1 and rows[0]["n_removed"] == 15
+
+
+@pytest.mark.parametrize("op", [lambda d: span_dedup.without_repeats(d), lambda d: pii.private_spans(d), lambda d: pii.sanitised(d), lambda d: mixing.mixture(d.withColumnRenamed("spans", "source")), lambda d: mixing.mixed(d.withColumnRenamed("spans", "source")), lambda d: pseudo_lm.pseudo_likelihoods(d, 2)])
+def test_odd_and_empty_tables(spark, op):
+    rows = op(frame(spark, ODD)).collect()
+    assert len(rows) >= 1 and {r["doc_id"] for r in rows} >= {4, 5, 6, 7}
+    assert op(frame(spark, [])).count() == 0
+
+
+def test_decontamination_of_odd_and_empty_tables(spark):
+    items = spark.createDataFrame([(1, "a"), (2, None), (3, "word " * 9), (None, "b c d e f g")], "item_id long, text string")
+    rows = decontam.contained_items(frame(spark, ODD), items).collect()
+    assert sorted((r["doc"], r["item_id"]) for r in rows) == [(4, 1), (5, 3)]
+    assert len(decontam.decontaminated(frame(spark, ODD), items).collect()) == len(ODD) - 3
+    assert decontam.contained_items(frame(spark, ODD), items.limit(0)).count() == 0 == decontam.contained_items(frame(spark, []), items).count()
+
+
+def test_quality_learns_and_handles_odd_rows(spark):
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(400):
+        good = i % 4 > 0
+        text = " ".join(rng.choice(["the", "of", "house", "river", "walk"]) + ("" if good else rng.choice(["$$$", "***"])) for _ in range(rng.randrange(5, 60)))
+        docs.append((i, text))
+        labels.append((i, int(good)))
+    labels += [(None, 1), (7, None)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    rows = quality.classified(frame(spark, docs + ODD), table).collect()
+    assert len(rows) == len(docs) + len(ODD)
+    held = [r for r in rows if r["held_out"] and r["doc_id"] is not None and r["doc_id"] >= 8]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows if r["doc_id"] is not None)
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 4 > 0) for r in held]) > 0.95
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+    assert quality.classified(frame(spark, docs[:9]), table.limit(0)).count() == 9
+    assert quality.classified(frame(spark, []), table).count() == 0
+
+
+def test_mixture_meets_targets(spark):
+    rng = random.Random(9)
+    docs = [(i, " ".join("w" for _ in range(rng.randrange(0, 50))), rng.choice(["b", "a", "c", None, "é"]), 1) for i in range(600)] + [(i, "w " * 9000, "huge", 1) for i in range(600, 603)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, size int")
+    rows = mixing.mixture(df, blocks=16, shards=4).collect()
+    again = mixing.mixture(df.repartition(7), blocks=16, shards=4).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again)) and len(rows) == len(docs)
+    sizes, names = {}, ["a", "b", "c", "huge", "é", None]
+    for _, text, source, _ in docs:
+        sizes[source] = sizes.get(source, 0) + len(text.split())
+    total, weight = float(sum(sizes.values())), {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    goal, left, free = {}, total, set(names)
+    while True:
+        level = left / sum(weight[s] for s in free)
+        full = [s for s in free if level * weight[s] > 3 * sizes[s]]
+        if not full:
+            break
+        for s in full:
+            goal[s], left = 3.0 * sizes[s], left - 3.0 * sizes[s]
+            free.discard(s)
+    goal |= {s: level * weight[s] for s in free}
+    source_of = {d[0]: d[2] for d in docs}
+    for s in names:
+        own = [r for r in rows if source_of[r["doc_id"]] == s]
+        assert all(r["source_size"] == sizes[s] and r["target"] == pytest.approx(goal[s]) and r["taken"] <= 3 * r["size"] for r in own)
+        assert abs(sum(r["taken"] for r in own) - goal[s]) <= 1
+    copies = mixing.mixed(df, blocks=16, shards=4).collect()
+    assert sum(r["words"] for r in copies) == sum(r["taken"] for r in rows)
+    assert all(len(r["text"].split()) == r["words"] for r in copies) and {r["shard"] for r in copies} == {0, 1, 2, 3}
+
+
+def test_splitting_tree_deals_every_draw_once(spark):
+    quotas = spark.createDataFrame([("x", 40), ("y", 7), ("z", 0)], "key string, draws long")
+    rows = mixing.split_quotas(quotas, 8, 3).collect()
+    for key, n in (("x", 40), ("y", 7), ("z", 0)):
+        runs = sorted((r["from"], r["to"]) for r in rows if r["key"] == key)
+        assert runs[0][0] == 0 and runs[-1][1] == n and all(a[1] == b[0] for a, b in zip(runs, runs[1:], strict=False))
+    each = [sum(r["to"] - r["from"] for r in rows if r["shard"] == s) for s in range(8)]
+    assert max(each) - min(each) <= 1
+
+
+def test_pseudo_likelihood_matches_loops_and_learns(spark):
+    rng = random.Random(10)
+    text = lambda: " ".join(rng.choice(["red house", "blue river", "old tree", "cold wind"]) for _ in range(60))
+    docs = [(i, text()) for i in range(120)]
+    rows = pseudo_lm.encoded(frame(spark, docs), 2)
+    counts = pseudo_lm.bucket_counts(rows)
+    assert counts.sum() == sum(len(t.split()) for _, t in docs)
+    start = pseudo_lm.fresh_model(counts)
+    model = pseudo_lm.trained(rows, start)
+    mean = lambda m: np.mean([r["per_word"] for r in pseudo_lm.scored(rows, m).collect()])
+    assert mean(model) > mean(start) + 0.02
+    got = {r["doc_id"]: r["log_likelihood"] for r in pseudo_lm.scored(rows, model).collect()}
+    for i, t in docs[:3]:
+        ids = [int(words.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] >> np.uint64(48)) for w in t.split()]
+        total = 0.0
+        for k, own in enumerate(ids):
+            h = sum(model["tables"][p][ids[k + d] >> 4 if 0 <= k + d < len(ids) else pseudo_lm.INPUTS].astype(float) for p, d in enumerate(pseudo_lm.PLACES))
+            z = np.tanh(h) @ model["out"] + model["bias"]
+            total += z[model["classes"][own]] - np.log(np.exp(z).sum()) + model["within"][own]
+        assert got[i] == pytest.approx(total, rel=1e-4)
+
+
+@given(st.lists(st.text(alphabet="aB é\t\n\x0b.x", max_size=30), max_size=6), st.integers(1, 4))
+def test_shingles_are_those_of_words(texts, k):
+    import pyarrow as pa
+
+    sets = words.shingle_sets(pa.array(texts, pa.string()), k)
+    plain = [brute.shingle_set(t, k) for t in texts]
+    assert [len(s) for s in sets] == [len(p) for p in plain]
+    seen = {}
+    for s, p in zip(sets, plain, strict=True):
+        for q, r in zip(sets, plain, strict=True):
+            assert len(np.intersect1d(s, q)) == len(p & r)
+        seen |= dict.fromkeys(p)
+
+
+def test_words_are_split_as_told():
+    assert re.findall(r"[^\x20\x09-\x0D]+", "a\x1cb c\xa0d") == brute.words("a\x1cb c\xa0d")
