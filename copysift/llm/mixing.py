@@ -145,9 +145,9 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_REPEATS,
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: a row for each time a document is taken, with shard, copy and words, dealt and ordered by shard.
 
-    A partial copy has the first ``words`` words of its text. Documents that are taken 0 times are left out.
+    A partial copy has the first ``words`` words of its text. Documents that are taken 0 times are left out. Columns with the names of results are replaced.
     """
-    rows = mixture(docs, **options)
+    rows = mixture(docs.drop("shard", "copy", "words"), **options)
     columns = [c for c in rows.columns if c not in ("size", "source_size", "target", "taken", "shards")]
     rows = rows.select("*", F.posexplode("shards").alias("copy", "shard"))
     rows = rows.withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")))
