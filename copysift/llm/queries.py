@@ -55,5 +55,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
 
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Of {links} (a, b): the smallest node that each of {nodes} (id) reaches.
+_REACHED = """
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, root) AS (SELECT id, id FROM nodes UNION SELECT sides.b, reach.root FROM reach JOIN sides ON sides.a = reach.id WHERE reach.root < sides.b),
+found AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express; it compares all pairs that share something, so it is for small tables."""
+    return {
+        "op1_minhash_near_dedup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORDS}') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+links AS (SELECT l.doc_id AS a, r.doc_id AS b FROM e l JOIN e r ON l.x = r.x AND l.doc_id < r.doc_id GROUP BY l.doc_id, r.doc_id, l.n, r.n HAVING 100 * count(*) >= 85 * (l.n + r.n - count(*))),
+nodes AS (SELECT doc_id AS id FROM documents), {_REACHED}
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN found ON id = doc_id""",
+        "op2_warc_salvage": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN last END AS refers_to FROM m""",
+        "op8_embedding_near_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+good AS (SELECT *, sqrt(list_dot_product(x, x)) AS norm FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND list_dot_product(x, x) > 0),
+links AS (SELECT l.vec_id AS a, r.vec_id AS b FROM good l JOIN good r ON l.label = r.label AND len(l.x) = len(r.x) AND l.vec_id < r.vec_id WHERE list_dot_product(l.x, r.x) / (l.norm * r.norm) >= 0.98),
+nodes AS (SELECT vec_id AS id FROM v), {_REACHED},
+counts AS (SELECT a, count(*) AS n FROM sides GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN found ON id = vec_id LEFT JOIN counts ON a = vec_id""",
+        "op10_benchmark_decontamination": f"""
+WITH w AS (SELECT doc_id, NULL AS item_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}') AS w FROM documents UNION ALL SELECT NULL, item_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}') FROM benchmark),
+s AS (SELECT doc_id, item_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+e AS (SELECT doc_id, item_id, len(s) AS n, unnest(s) AS x FROM s)
+SELECT d.doc_id, i.item_id, count(*) AS n_shared, i.n::INT AS n_item FROM e d JOIN e i ON d.x = i.x AND d.doc_id IS NOT NULL AND i.item_id IS NOT NULL GROUP BY d.doc_id, i.item_id, i.n HAVING 100 * count(*) >= 80 * i.n""",
+    }

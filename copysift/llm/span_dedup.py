@@ -24,6 +24,8 @@ from copysift.llm.frames import cut, small_enough
 from copysift.llm.words import BASE, U64, _powers, buffers, mix, portions, word_hashes, word_spans
 
 LEAST_WORDS = 20
+#: Documents with removed ranges (of some hundred bytes each) up to which these are broadcast to the texts.
+RANGES = 100_000
 
 _ends_sentence = np.zeros(256, bool)
 _ends_sentence[[ord(c) for c in ".!?"]] = True
@@ -123,7 +125,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     columns = docs.columns
     keyed = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
     ranges = cut(repeated_ranges(keyed.select("doc", "text"), least))
-    rows = keyed.join(small_enough(ranges), "doc", "left").select(*columns, "ranges", "firsts")
+    rows = keyed.join(small_enough(ranges, RANGES), "doc", "left").select(*columns, "ranges", "firsts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
