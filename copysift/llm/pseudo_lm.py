@@ -29,6 +29,8 @@ from copysift.llm.words import U64, buffers, portions, word_hashes, word_spans
 WORDS, INPUTS, OWN, CLASSES, HIDDEN = 1 << 16, 1 << 12, 24, 48, 16
 PLACES = (-2, -1, 1, 2)
 ROUNDS, BATCH, RATE = 2, 8192, 0.3
+#: Words that one task trains on at least, so that what models take in a shuffle stays a small share of the input.
+TASK_WORDS = 4_000_000
 #: Parameters of a model that are averaged as one row.
 PIECE = 16_384
 
@@ -161,10 +163,11 @@ def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _averaged(pieces: DataFrame) -> DataFrame:
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(v, np.float64) for v in rows["total"])
-        return pd.DataFrame([{"piece": key[0], "part": 0, "words": rows["words"].sum(), "total": total.tobytes()}])
+        words = rows["words"].sum()
+        mean = sum(np.frombuffer(v, np.float32) * (n / words) for v, n in zip(rows["mean"], rows["words"], strict=True))
+        return pd.DataFrame([{"piece": key[0], "part": 0, "words": words, "mean": mean.astype(np.float32).tobytes()}])
 
-    kind = "piece int, part int, words long, total binary"
+    kind = "piece int, part int, words long, mean binary"
     some = pieces.groupBy("piece", F.pmod("part", F.lit(32)).alias("part")).applyInPandas(add, kind)
     return some.groupBy("piece").applyInPandas(add, kind)
 
@@ -182,16 +185,15 @@ def trained(rows: DataFrame, model: dict) -> dict:
                 train(own, ids, doc)
                 words += len(ids)
             if words:
-                flat = _flat(own).astype(np.float64) * words
+                flat = _flat(own)
                 part = TaskContext.get().partitionId()
                 for i in range(0, len(flat), PIECE):
-                    yield pa.RecordBatch.from_arrays([pa.array([i // PIECE], pa.int32()), pa.array([part], pa.int32()), pa.array([words], pa.int64()), pa.array([flat[i : i + PIECE].tobytes()], pa.binary())], names=["piece", "part", "words", "total"])
+                    yield pa.RecordBatch.from_arrays([pa.array([i // PIECE], pa.int32()), pa.array([part], pa.int32()), pa.array([words], pa.int64()), pa.array([flat[i : i + PIECE].tobytes()], pa.binary())], names=["piece", "part", "words", "mean"])
 
         mine = rows.where(F.pmod(F.xxhash64(F.lit("round"), "ids"), F.lit(ROUNDS)) == turn).select("ids")
-        got = _averaged(mine.mapInArrow(run, "piece int, part int, words long, total binary")).toPandas().sort_values("piece")
+        got = _averaged(mine.mapInArrow(run, "piece int, part int, words long, mean binary")).toPandas().sort_values("piece")
         if len(got):
-            values = np.concatenate([np.frombuffer(v, np.float64) for v in got["total"]]) / got["words"].iloc[0]
-            model = _unflat(model, values)
+            model = _unflat(model, np.concatenate([np.frombuffer(v, np.float32) for v in got["mean"]]))
     return model
 
 
@@ -214,4 +216,6 @@ def pseudo_likelihoods(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = cut(encoded(docs, shards or int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return scored(rows, trained(rows, fresh_model(bucket_counts(rows))))
+    counts = bucket_counts(rows)
+    tasks = -(-int(counts.sum()) // TASK_WORDS)
+    return scored(rows, trained(rows.coalesce(max(1, tasks)), fresh_model(counts)))
