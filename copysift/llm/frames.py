@@ -40,4 +40,4 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is (then Spark shuffles). Call it on a cut frame."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
