@@ -89,8 +89,8 @@ def without_comments(source: pd.Series) -> pd.Series:
 
 def normal_lines(text: Column) -> Column:
     """The lines of a text with runs of white space as one space, trimmed, without empty ones."""
-    space = f"[{SPACES}]+"
-    lines = F.transform(F.split(text, "\n"), lambda x: F.btrim(F.regexp_replace(x, space, " ")))
+    inside = SPACES.replace("\\n", "")  # line ends stay, so one pass over the text does for all lines
+    lines = F.transform(F.split(F.regexp_replace(text, f"[{inside}]+", " "), "\n"), lambda x: F.btrim(x))
     return F.filter(lines, lambda x: x != "")
 
 

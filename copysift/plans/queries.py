@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copysift.config import Idiom
+from copysift.frames import spread
 from copysift.functions import measure as M
 from copysift.functions import text as X
 from copysift.operators import rank
@@ -32,7 +33,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, file, text, norm_hash, sig_lines, lines of whole documents."""
-    rows = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = spread(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     file = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return rows.select("doc_id", file.alias("file"), "text", X.normal_lines(F.col("text")).alias("kept")).select("doc_id", "file", "text", X.short_hash(F.array_join("kept", "\n")).alias("norm_hash"), F.size("kept").alias("sig_lines"), F.size(F.split("text", "\n")).alias("lines"))
 
@@ -163,7 +164,7 @@ def confidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as blocks: each distinct line with its places."""
-    docs = _table(spark, sf_dir, "documents").select(F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string")).alias("file"), F.explode_outer(X.normal_lines(F.col("text"))).alias("line")).where("line is not null")
+    docs = spread(_table(spark, sf_dir, "documents")).select(F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string")).alias("file"), F.explode_outer(X.normal_lines(F.col("text"))).alias("line")).where("line is not null")
     folders = docs.groupBy("line", X.directory(F.col("file")).alias("folder")).agg(F.count("*").alias("n"))
     # one place for each folder is enough to count folders
     rows = folders.groupBy("line").agg(F.sum("n").alias("frequency"), F.collect_list(F.struct(F.concat("folder", F.lit("/x")).alias("file"))).alias("occurrences"))
@@ -206,7 +207,7 @@ def paths_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_structure_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The block scanner on outlines of pages: each tag on a line of its own, with braces for what it holds."""
     outline = F.regexp_replace(F.regexp_replace(F.col("html"), "</[a-zA-Z0-9]+>", "\n}\n"), "<([a-zA-Z0-9]+)[^>]*>", "\n$1 {\n")
-    files = _table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("file"), outline.alias("content"))
+    files = spread(_table(spark, sf_dir, "pages")).select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("file"), outline.alias("content"))
     return extract_blocks(files, 3).select("file", "start_line", "end_line", "norm_hash", "sig_lines", "block_start", "block_end")
 
 
