@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes of text that are expanded to 64-bit values at once; a longer text is worked through in parts.
-PART_BYTES = 1 << 21
+PART_BYTES = 1 << 19
 
 _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
@@ -56,7 +56,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def portions(batch: pa.RecordBatch, column: str, most: int = 4 * PART_BYTES) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, column: str, most: int = 2 * PART_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each (at least one row), to bound memory."""
     if not batch.num_rows:
         return
