@@ -95,9 +95,9 @@ def repeated_ranges(docs: DataFrame, least: int) -> DataFrame:
     """(doc, ranges, firsts): merged sentence ranges that non-first occurrences cover, and the documents with the first ones. docs: doc, text."""
     found = _occurrences(docs, least)
     counted = found.groupBy("span").agg(F.count("*").alias("times"), F.min("doc").alias("first_doc")).where("times > 1")
-    again = found.join(counted.select("span", "first_doc"), "span")
-    again = cut(again)
-    first = again.where("doc = first_doc").groupBy("span").agg(F.min("begin").alias("first_begin"))
+    # counts are cut before each join: both sides are then plain shuffles, of which Spark splits a hot span's partition
+    again = cut(found.join(cut(counted.select("span", "first_doc")), "span"))
+    first = cut(again.where("doc = first_doc").groupBy("span").agg(F.min("begin").alias("first_begin")))
     later = again.join(first, "span").where("doc != first_doc or begin != first_begin")
     # exact copies make a range for each sentence: partial sets by begin keep the longest only
     longest = later.groupBy("doc", "begin").agg(F.max("until").alias("until"), F.min("first_doc").alias("first_doc"))
