@@ -1,19 +1,23 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network, trained here with numpy.
 
 Every word is predicted from the two words on either side: hidden = tanh(sum over the four places of a table row for
-the word there), logits over word classes = hidden @ O + b. A word is one of ``WORDS`` hash buckets; buckets are
-put into classes by their corpus frequency, and log p(word | sides) = log p(class | sides) +
-log(count(word) / count(class)). A document's pseudo-likelihood is the sum over all its words.
+the word there), logits over word classes = hidden @ O + b. A class is split into subclasses with logits of their own
+from the same hidden values; their number grows with the counted vocabulary. A subclass holds some of ``WORDS`` hash
+buckets, put there by corpus frequency, and a bucket holds words, told apart by 64-bit hashes:
+log p(word | sides) = log p(class | sides) + log p(subclass | class, sides) + log(count(word) / count(subclass)).
+A document's pseudo-likelihood is the sum over all its words.
 
 Spark encodes all texts once, deals them to shards by a hash (so every shard has the same mix of sources),
 and counts buckets with partial aggregation. Every shard trains on its words, in ``ROUNDS`` rounds over disjoint
 parts of the documents, and after a round the models are averaged, weighted by words, in two levels
-of grouped sums. All words take part in counts, training and scoring; only the model, whose size is fixed, is
-ever on the driver.
+of grouped sums. All words take part in counts, training and scoring. Word counts are a Spark table with a row for each
+distinct word; tasks hold the most frequent ``KNOWN`` of them, and all other words of documents are joined to the table. Only
+the model and those frequent words are ever on the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +33,20 @@ from copysift.llm.words import U64, buffers, portions, word_hashes, word_spans
 WORDS, INPUTS, OWN, CLASSES, HIDDEN = 1 << 16, 1 << 12, 24, 48, 16
 PLACES = (-2, -1, 1, 2)
 ROUNDS, BATCH, RATE = 2, 8192, 0.3
+#: Most frequent words whose counts tasks hold (a few MB), so that a join by word has no hot key.
+KNOWN = 1 << 19
 #: Words that one task trains on at least, so that what models take in a shuffle stays a small share of the input.
 TASK_WORDS = 4_000_000
 #: Parameters of a model that are averaged as one row.
 PIECE = 16_384
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def encoded(docs: DataFrame, shards: int) -> DataFrame:
-    """(doc_id, ids) for every row, dealt to shards; ids are the 16-bit word buckets of the whole text."""
+    """(key, doc_id, ids) for every row, dealt to shards; ids are the 16-bit word buckets of the whole text, equal rows have equal keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,9 +54,9 @@ def encoded(docs: DataFrame, shards: int) -> DataFrame:
                 data, offsets = buffers(part.column("text"))
                 starts, ends, first = word_spans(data, offsets)
                 ids = (word_hashes(data, starts, ends) >> U64(48)).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["key", "doc_id", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    rows = _keyed(docs).mapInArrow(run, "key long, doc_id long, ids binary")
     deal = F.xxhash64("doc_id", "ids")
     return rows.repartition(shards, deal).sortWithinPartitions(deal)
 
@@ -67,18 +77,89 @@ def bucket_counts(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def fresh_model(counts: np.ndarray, seed: int = 5) -> dict:
-    """Classes (each of the most frequent buckets has its own, the rest are dealt by frequency rank) and small random weights."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each distinct word, by its 64-bit hash, occurs in the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch, "text"):
+                data, offsets = buffers(part.column("text"))
+                starts, ends, _ = word_spans(data, offsets)
+                word, n = np.unique(word_hashes(data, starts, ends), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+
+    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_terms(docs: DataFrame, rows: DataFrame, words: DataFrame, counts: np.ndarray, known: int = KNOWN) -> DataFrame:
+    """(key, term): sum of log p(word | bucket) over the words of each document; words: word_counts(), on a cut frame.
+
+    A bucket keeps half a count for words that the corpus lacks. ``rows`` says how many equal rows share a key.
+    """
+    sizes = words.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
+    often = sizes["n"][sizes["words"].cumsum() <= known]
+    least = int(often.min()) if len(often) else np.iinfo(np.int64).max
+    top = words.where(F.col("n") >= least).toPandas()
+    hashes = top["word"].to_numpy(np.int64).view(U64)
+    order = np.argsort(hashes)
+    hashes, logs = hashes[order], np.log(top["n"].to_numpy(np.float64))[order]
+    bucket_logs = np.log(counts + 0.5)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch, "text"):
+                data, offsets = buffers(part.column("text"))
+                starts, ends, first = word_spans(data, offsets)
+                word = word_hashes(data, starts, ends)
+                doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                term = -bucket_logs[(word >> U64(48)).astype(np.int64)]
+                at = np.minimum(np.searchsorted(hashes, word), max(0, len(hashes) - 1))
+                here = hashes[at] == word if len(hashes) else np.zeros(len(word), bool)
+                term[here] += logs[at[here]]
+                key = part.column("key").to_numpy(zero_copy_only=False)
+                sums = np.bincount(doc, term, len(key))
+                rare = np.flatnonzero(~here)
+                # a document's own row looks up nothing; it goes by its key, so that such rows are spread
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key, key[doc[rare]]])), pa.array(np.concatenate([key, word[rare].view(np.int64)])), pa.array(np.concatenate([sums, np.full(len(rare), np.nan)]), from_pandas=True)], names=["key", "word", "sums"])
+
+    each = _keyed(docs).select("key", "text").mapInArrow(run, "key long, word long, sums double")
+    rare = words.where(F.col("n") < least)
+    found = each.join(rare, "word", "left").select("key", F.coalesce("sums", F.log("n")).alias("term"), F.lit(0).alias("copies"))
+    both = found.unionByName(rows.select("key", F.lit(0.0).alias("term"), F.lit(1).alias("copies")))
+    return both.groupBy("key").agg((F.sum("term") / F.sum("copies")).alias("term"))
+
+
+def subclasses(words: int) -> int:
+    """Into how many parts a dealt class is split, for so many distinct words."""
+    return max(1, math.ceil((words / (CLASSES - OWN)) ** (1 / 3))) if words > WORDS // 16 else 1
+
+
+def fresh_model(counts: np.ndarray, seed: int = 5, words: int = 0) -> dict:
+    """Classes (each of the most frequent buckets has its own, the rest are dealt by frequency rank), their subclasses and small random weights.
+
+    Subclasses are runs of a class's buckets by frequency, with about equal counts; ``words`` is how many distinct words were counted.
+    """
     rank = np.empty(WORDS, np.int64)
     rank[np.lexsort((np.arange(WORDS), -counts))] = np.arange(WORDS)
     classes = np.where(rank < OWN, rank, OWN + (rank - OWN) % (CLASSES - OWN)).astype(np.int64)
     smooth = counts + 0.5  # a bucket that the corpus lacks has a probability too
     mass = np.bincount(classes, smooth, CLASSES)
+    parts = subclasses(words)
+    inner = np.zeros(WORDS, np.int64)
+    by_rank = np.argsort(rank)
+    for c in range(OWN, CLASSES):
+        mine = by_rank[classes[by_rank] == c]
+        below = np.cumsum(smooth[mine]) - smooth[mine]
+        inner[mine] = np.minimum(parts - 1, (below / mass[c] * parts).astype(np.int64))
+    leaf = classes * parts + inner
+    leaf_mass = np.bincount(leaf, smooth, CLASSES * parts)
+    share = leaf_mass.reshape(CLASSES, parts)[OWN:] / mass[OWN:, None]
     rng = np.random.default_rng(seed)
     return {
-        "classes": classes.astype(np.uint8), "within": np.log(smooth / mass[classes]),
+        "classes": classes.astype(np.uint8), "inner": inner.astype(np.uint16), "within": np.log(smooth / leaf_mass[leaf]),
         "tables": (rng.standard_normal((len(PLACES), INPUTS + 1, HIDDEN)) * 0.1).astype(np.float32),
         "out": (rng.standard_normal((HIDDEN, CLASSES)) * 0.1).astype(np.float32), "bias": np.log(mass / mass.sum()).astype(np.float32),
+        "inner_out": (rng.standard_normal((CLASSES - OWN, HIDDEN, parts)) * 0.1).astype(np.float32), "inner_bias": np.log(np.maximum(share, 1e-12)).astype(np.float32),
     }
 
 
@@ -104,16 +185,29 @@ def _forward(model: dict, sides: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
     return hidden, logits
 
 
+def _dealt(model: dict, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each dealt class that is split and occurs, counted from 0, and where it is the target."""
+    if model["inner_out"].shape[2] > 1:
+        order = np.argsort(target, kind="stable")
+        at = np.searchsorted(target[order], np.arange(OWN, CLASSES + 1))
+        for c in np.flatnonzero(np.diff(at)):
+            yield int(c), order[at[c] : at[c + 1]]
+
+
 def log_probabilities(model: dict, ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """log p of every word given its two sides; doc tells which document a word belongs to."""
     out = np.empty(len(ids))
     sides = _sides(ids, doc)
     for k in range(0, len(ids), BATCH * 4):
         at = slice(k, k + BATCH * 4)
-        _, logits = _forward(model, [s[at] for s in sides])
+        hidden, logits = _forward(model, [s[at] for s in sides])
         target = model["classes"][ids[at]]
         own = logits[np.arange(len(target)), target]
         out[at] = own - np.log(np.exp(logits).sum(1)) + model["within"][ids[at]]
+        for c, where in _dealt(model, target):
+            inner = hidden[where] @ model["inner_out"][c] + model["inner_bias"][c]
+            inner -= inner.max(1, keepdims=True)
+            out[k + where] += inner[np.arange(len(where)), model["inner"][ids[at][where]]] - np.log(np.exp(inner).sum(1))
     return out
 
 
@@ -126,8 +220,22 @@ def train(model: dict, ids: np.ndarray, doc: np.ndarray) -> None:
         np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
         n = len(p)
-        p[np.arange(n), model["classes"][ids[k : k + BATCH]]] -= 1
-        back = (p @ model["out"].T) * (1 - hidden * hidden)
+        target = model["classes"][ids[k : k + BATCH]]
+        p[np.arange(n), target] -= 1
+        back = p @ model["out"].T
+        for c, where in _dealt(model, target):
+            h = hidden[where]
+            q = h @ model["inner_out"][c] + model["inner_bias"][c]
+            q -= q.max(1, keepdims=True)
+            np.exp(q, out=q)
+            q /= q.sum(1, keepdims=True)
+            q[np.arange(len(where)), model["inner"][ids[k : k + BATCH][where]]] -= 1
+            back[where] += q @ model["inner_out"][c].T
+            # few words of a batch are in one class: the step is damped by the root of their share only
+            step = np.float32(RATE / np.sqrt(n * len(where)))
+            model["inner_out"][c] -= step * (h.T @ q)
+            model["inner_bias"][c] -= step * q.sum(0)
+        back *= 1 - hidden * hidden
         model["out"] -= RATE / n * (hidden.T @ p)
         model["bias"] -= RATE / n * p.sum(0)
         # rows of a table: the gradient is summed over a batch, damped for words that fill much of it
@@ -140,7 +248,7 @@ def train(model: dict, ids: np.ndarray, doc: np.ndarray) -> None:
                 table[used, h] -= step * np.bincount(at, columns[h], INPUTS + 1)[used].astype(np.float32)
 
 
-_NAMES = ("tables", "out", "bias")
+_NAMES = ("tables", "out", "bias", "inner_out", "inner_bias")
 
 
 def _flat(model: dict) -> np.ndarray:
@@ -198,14 +306,16 @@ def trained(rows: DataFrame, model: dict) -> dict:
 
 
 def scored(rows: DataFrame, model: dict) -> DataFrame:
+    """(key, doc_id, n_words, log_likelihood, per_word) for every row, of the words' buckets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, doc, sizes = _words(batch)
             total = np.bincount(doc, log_probabilities(model, ids, doc), len(sizes))
             mean = [t / n if n else None for t, n in zip(total.tolist(), sizes.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(total), pa.array(mean, pa.float64())], names=["doc_id", "n_words", "log_likelihood", "per_word"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(sizes), pa.array(total), pa.array(mean, pa.float64())], names=["key", "doc_id", "n_words", "log_likelihood", "per_word"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_words long, log_likelihood double, per_word double")
+    return rows.select("key", "doc_id", "ids").mapInArrow(run, "key long, doc_id long, n_words long, log_likelihood double, per_word double")
 
 
 def pseudo_likelihoods(docs: DataFrame, shards: int | None = None) -> DataFrame:
@@ -217,5 +327,8 @@ def pseudo_likelihoods(docs: DataFrame, shards: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     rows = cut(encoded(docs, shards or int(spark.conf.get("spark.sql.shuffle.partitions"))))
     counts = bucket_counts(rows)
+    words = cut(word_counts(docs))
     tasks = -(-int(counts.sum()) // TASK_WORDS)
-    return scored(rows, trained(rows.coalesce(max(1, tasks)), fresh_model(counts)))
+    out = scored(rows, trained(rows.coalesce(max(1, tasks)), fresh_model(counts, words=words.count())))
+    whole = out.join(word_terms(docs, rows, words, counts), "key", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("term", F.lit(0.0)))
+    return whole.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("per_word"))

@@ -216,3 +216,37 @@ def test_shingles_are_those_of_words(texts, k):
 
 def test_words_are_split_as_told():
     assert re.findall(r"[^\x20\x09-\x0D]+", "a\x1cb c\xa0d") == brute.words("a\x1cb c\xa0d")
+
+
+def test_pseudo_likelihood_tells_apart_words_of_one_bucket(spark):
+    hash_of = lambda w: int(words.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0])
+    bucket = hash_of("river") >> 48
+    junk = next(w for w in (f"q{i}" for i in range(10_000_000)) if hash_of(w) >> 48 == bucket)
+    docs = [(i, "the river is wide " * 20) for i in range(50)] + [(90, f"the {junk} is wide"), (91, "the river is wide"), (91, "the river is wide")]
+    got = {r["doc_id"]: r["log_likelihood"] for r in pseudo_lm.pseudo_likelihoods(frame(spark, docs), 2).collect()}
+    # same buckets and sides; only the count of the word itself differs
+    assert got[91] - got[90] == pytest.approx(np.log(50 * 20 + 2), rel=1e-9)
+    rows = pseudo_lm.encoded(frame(spark, docs), 2)
+    counts, table = pseudo_lm.bucket_counts(rows), pseudo_lm.word_counts(frame(spark, docs))
+    held = {r["key"]: r["term"] for r in pseudo_lm.word_terms(frame(spark, docs), rows, table, counts).collect()}
+    joined = {r["key"]: r["term"] for r in pseudo_lm.word_terms(frame(spark, docs), rows, table, counts, known=1).collect()}
+    assert joined == pytest.approx(held) and len(held) == 52
+
+
+def test_pseudo_likelihood_subclasses_grow_and_add_up():
+    rng = np.random.default_rng(3)
+    counts = rng.zipf(1.3, pseudo_lm.WORDS).clip(0, 100_000)
+    few, many = pseudo_lm.fresh_model(counts, words=400_000), pseudo_lm.fresh_model(counts, words=40_000_000)
+    assert 1 < few["inner_out"].shape[2] < many["inner_out"].shape[2]
+    ids = rng.choice(pseudo_lm.WORDS, 20_000, p=counts / counts.sum())
+    before = pseudo_lm.log_probabilities(few, ids, np.zeros(len(ids), int)).mean()
+    pseudo_lm.train(few, ids, np.zeros(len(ids), int))
+    assert pseudo_lm.log_probabilities(few, ids, np.zeros(len(ids), int)).mean() > before
+    # the probabilities of all buckets at one place add up to 1
+    sides = np.array([7, 8, 0, 9, 10])
+    total = 0.0
+    for part in np.array_split(np.arange(pseudo_lm.WORDS), 8):
+        tried = np.tile(sides, (len(part), 1))
+        tried[:, 2] = part
+        total += np.exp(pseudo_lm.log_probabilities(few, tried.ravel(), np.repeat(np.arange(len(part)), 5))[2::5]).sum()
+    assert total == pytest.approx(1, rel=1e-3)
