@@ -3,24 +3,22 @@
 1. E-mail addresses, IP addresses, payment cards and phone numbers are found by patterns (possessive, so long
    texts cost linear time and no recursion) and checks; a match that fails its check is dropped.
 2. The values found are the protected entities. Over all documents, a term's pointwise mutual information with
-   an entity is log2(c N / (df(term) df(entity))), for c documents that have the term within ``WINDOW`` code points
-   of the entity. Relative to the entity's information content log2(N / df(entity)) it says how much of
-   the entity the term gives away. A term that reaches ``generalise`` is a span near that entity, to be
-   generalised, or removed if it reaches ``remove``. Only what is seen in ``support`` different
-   contexts counts, so copies of a document give nothing away that one would not.
+   an entity is log2(c N / (df(term) df(entity))), for c documents that have both, anywhere in their texts.
+   Relative to the entity's information content log2(N / df(entity)) it says how much of
+   the entity the term gives away. A term that reaches ``generalise`` is a span wherever a document that mentions the
+   entity has it, to be generalised, or removed if it reaches ``remove``. Only what is seen in ``support`` different
+   texts counts, so copies of a document give nothing away that one would not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from copysift.llm.frames import cut, small_enough
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Code points on either side of an entity, in its line, that are its context.
-WINDOW = 80
-SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
+SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.95
 TERM = r"[\p{L}\p{N}_]++(?:['\-][\p{L}\p{N}_]++)*+"
 
 # A run of characters that may start a match is entered at its head only, or where the last match has ended.
@@ -104,34 +102,42 @@ def rebuilt(text: Column, spans: Column, token) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text) - s["at"])))
 
 
-def _mentions(found: DataFrame) -> DataFrame:
-    """(row_key, entity, context, left_at, left, right_at, right) for each span: what surrounds it in its line, other spans blanked out."""
-    blank = rebuilt(F.col("text"), F.col("spans"), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))
-    possible = F.coalesce(*(F.when(hint(F.col("text")), True) for hint in _HINTS.values()), F.lit(False))
-    rows = found.where(possible).withColumn("blank", blank).select("row_key", "text", "blank", F.inline_outer("spans")).where("kind is not null")
-    rows = rows.withColumn("entity", F.concat(F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1), F.lit(":"), F.lower(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")))))
-    before = F.greatest(F.lit(0), F.col("start") - WINDOW)
-    left = F.substring("blank", before + 1, F.col("start") - before)
-    line = F.substring_index(left, "\n", -1)
-    right = F.substring_index(F.substring("blank", F.col("end") + 1, F.lit(WINDOW)), "\n", 1)
-    rows = rows.select("row_key", "entity", (F.col("start") - F.length(line)).alias("left_at"), line.alias("left"), F.col("end").alias("right_at"), right.alias("right"))
-    return rows.withColumn("context", F.xxhash64("left", "right"))
+def _blank() -> Column:
+    """The text with its spans of fixed kinds as spaces, so that nothing in them is a term and places stay."""
+    return rebuilt(F.col("text"), F.col("spans"), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))
 
 
-def terms_near(rows: DataFrame) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws("\n", "left", "right")), F.lit(TERM), F.lit(0)))
+def _seen(found: DataFrame) -> DataFrame:
+    """(row_key, text_key, blank, entities) of the documents that mention an entity; equal texts have equal text keys."""
+    value = lambda s: F.lower(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))
+    names = F.array(*map(F.lit, KINDS))
+    entities = F.array_distinct(F.transform("spans", lambda s: F.concat(F.element_at(names, s["kind"] + 1), F.lit(":"), value(s))))
+    rows = found.where(_possible()).where(F.size("spans") > 0)
+    return rows.select("row_key", F.xxhash64("text").alias("text_key"), _blank().alias("blank"), entities.alias("entities"))
+
+
+def _possible() -> Column:
+    return F.coalesce(*(F.when(hint(F.col("text")), True) for hint in _HINTS.values()), F.lit(False))
+
+
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text, lower-case. Terms are found before the case is changed, as that can change lengths."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
 
 
-def disclosing_terms(docs: DataFrame, mentions: DataFrame, support: int, generalise: float) -> DataFrame:
+def disclosing_terms(docs: DataFrame, seen: DataFrame, mentions: DataFrame, support: int, generalise: float) -> DataFrame:
     """(entity, term, disclosed) of the terms that give away at least ``generalise`` of an entity's information."""
-    # counts of distinct documents and contexts: distinct rows first, so a hot entity is combined before the shuffle
-    seen = mentions.select("entity", "row_key", "context").distinct()
-    entities = seen.groupBy("entity").agg(F.countDistinct("row_key").alias("df_entity"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support).drop("contexts")
-    near = mentions.join(entities, "entity").select("entity", "df_entity", "row_key", "context", F.explode(terms_near(mentions)).alias("term")).distinct()
-    pairs = cut(near.groupBy("entity", "df_entity", "term").agg(F.countDistinct("row_key").alias("together"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support))
-    wanted = cut(pairs.select("term").distinct())
-    everywhere = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = everywhere.join(small_enough(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
+    texts = mentions.groupBy("entity", "text_key").agg(F.count("*").alias("copies"))
+    entities = texts.groupBy("entity").agg(F.sum("copies").alias("df_entity"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
+    wanted = cut(texts.join(entities, "entity").groupBy("text_key").agg(F.collect_list(F.struct("entity", "df_entity", "copies")).alias("told")))
+    # each different text once, with how many documents have it, so that pairs are counted without distinct
+    once = seen.join(small_enough(wanted.select("text_key")), "text_key", "left_semi")
+    once = once.select("text_key", "blank").dropDuplicates(["text_key"]).join(wanted, "text_key")
+    near = cut(once.select(terms_of(F.col("blank")).alias("terms"), "told")).select("terms", F.inline("told")).select("entity", "df_entity", "copies", F.explode("terms").alias("term"))
+    pairs = cut(near.groupBy("entity", "df_entity", "term").agg(F.sum("copies").alias("together"), F.count("*").alias("texts")).where(F.col("texts") >= support))
+    terms = cut(pairs.select("term").distinct())
+    everywhere = docs.select(F.explode(terms_of(F.col("text"))).alias("term"))
+    counts = everywhere.join(small_enough(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
     total = docs.count()
     rows = pairs.join(counts, "term")
     content = F.log2(F.lit(float(max(total, 1))) / F.col("df_entity"))
@@ -139,18 +145,15 @@ def disclosing_terms(docs: DataFrame, mentions: DataFrame, support: int, general
     return rows.where(content > 0).select("entity", "term", (shared / content).alias("disclosed")).where(F.col("disclosed") >= generalise)
 
 
-def _added(mentions: DataFrame, told: DataFrame) -> DataFrame:
-    """(row_key, added): spans of disclosing terms around the mentions, with how much they disclose."""
-    rows = mentions.join(told, "entity").groupBy("row_key", "left_at", "left", "right_at", "right").agg(F.collect_list(F.struct("term", "disclosed")).alias("told"))
-    shown = None
-    for side in ("left", "right"):
-        text = F.lower(F.col(side))
-        part = rows.select("row_key", "told", F.col(f"{side}_at").alias("at"), text.alias("part"), F.inline_outer(_placed(text, TERM, 4, lambda m: F.lit(True)))).where("kind is not null")
-        term = F.substring("part", F.col("start") + 1, F.col("end") - F.col("start")).alias("term")
-        part = part.select("row_key", "told", term, (F.col("start") + F.col("at")).alias("start"), "kind", (F.col("end") + F.col("at")).alias("end"))
-        shown = part if shown is None else shown.unionByName(part)
-    worth = F.array_max(F.transform(F.filter("told", lambda t: t["term"] == F.col("term")), lambda t: t["disclosed"]))
-    shown = shown.withColumn("disclosed", worth).where(F.col("disclosed").isNotNull()).groupBy("row_key", "start", "kind", "end").agg(F.max("disclosed").alias("disclosed"))
+def _added(seen: DataFrame, mentions: DataFrame, told: DataFrame) -> DataFrame:
+    """(row_key, added): every occurrence of a disclosing term in the documents that mention its entity, with how much it discloses."""
+    wanted = cut(mentions.join(told, "entity").groupBy("row_key", "term").agg(F.max("disclosed").alias("disclosed")))
+    rows = seen.join(small_enough(wanted.select("row_key").distinct()), "row_key", "left_semi").select("row_key", "blank").dropDuplicates(["row_key"])
+    matches = F.regexp_extract_all("blank", F.lit(TERM), F.lit(0))
+    parts = F.arrays_zip(F.slice(F.split("blank", TERM, -1), F.lit(1), F.size(matches)).alias("gap"), matches.alias("match"))
+    rows = cut(rows.select("row_key", parts.alias("parts"))).select("row_key", F.posexplode("parts").alias("pos", "part")).select("row_key", "pos", F.length("part.gap").alias("gap"), F.length("part.match").alias("size"), F.lower("part.match").alias("term"))
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row_key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    shown = rows.withColumn("end", end).join(wanted, ["row_key", "term"]).withColumn("start", (F.col("end") - F.col("size")).cast("int")).withColumn("kind", F.lit(4))
     return shown.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "disclosed"))).alias("added"))
 
 
@@ -163,9 +166,10 @@ def private_spans(docs: DataFrame, support: int = SUPPORT, generalise: float = G
     """
     docs = docs.drop("row_key", "spans", "added")
     found = docs.withColumn("row_key", F.xxhash64("doc_id", "text")).withColumn("spans", base_spans(F.col("text")))
-    mentions = cut(_mentions(found.select("row_key", "text", "spans")))
-    told = cut(disclosing_terms(docs, mentions, support, generalise))
-    added = cut(_added(mentions, told))
+    seen = cut(_seen(found.select("row_key", "text", "spans")))
+    mentions = cut(seen.select("row_key", "text_key", F.explode("entities").alias("entity")).distinct())
+    told = cut(disclosing_terms(docs, seen, mentions, support, generalise))
+    added = cut(_added(seen, mentions, told))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,disclosed:double>>")
     return found.join(small_enough(added), "row_key", "left").withColumn("added", F.coalesce("added", none)).drop("row_key")
 

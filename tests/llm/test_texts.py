@@ -58,6 +58,20 @@ def test_terms_that_give_an_entity_away(spark):
     assert "zz@corp" not in clean[0] and "Zorbington" not in clean[0] and "<EMAIL>" in clean[0] and clean[100] == docs[6][1]
 
 
+def test_terms_far_from_an_entity_and_entities_of_two_documents(spark):
+    rng = random.Random(15)
+    say = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(n))
+    docs = [(i, f"Zorbington {say(60)}\n{say(9)}\nwrote from zz@corp.example {say(60)} \u0130x zorbington") for i in range(2)]
+    docs += [(100 + i, f"{say(150)} wrote from") for i in range(200)]
+    rows = {r["doc_id"]: r["spans"] for r in pii.found_spans(frame(spark, docs)).collect()}
+    for i, text in docs[:2]:
+        for at in (0, text.index("zorbington")):
+            assert f"term:{at}:{at + 10}" in rows[i]
+        assert f"term:{text.index('wrote')}:" not in rows[i]
+    assert all(rows[i] == "" for i, _ in docs[2:])
+    assert all("zorbington" not in r["text"].lower() for r in pii.sanitised(frame(spark, docs)).collect())
+
+
 def test_copies_alone_give_nothing_away(spark):
     docs = [(i, "Unique wording beside ab@cd.example here") for i in range(9)]
     assert {r["spans"] for r in pii.found_spans(frame(spark, docs)).collect()} == {"email:22:35"}
