@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 
 def rows_of(frame):
     def plain(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if v is None or pd.api.types.is_scalar(v) and pd.isna(v):
             return None
         return float(v) if isinstance(v, (int, float)) or hasattr(v, "dtype") else v
 
