@@ -41,3 +41,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is (then Spark shuffles). Call it on a cut frame."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+#: Bytes up to which a side may be broadcast, where its rows differ in size.
+BROADCAST_BYTES = 16_000_000
+
+
+def within_bytes(df: DataFrame, bytes_of_row: F.Column, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its rows have ``most`` bytes at most, else as it is (then Spark shuffles). Call it on a cut frame."""
+    return F.broadcast(df) if (df.agg(F.sum(bytes_of_row)).first()[0] or 0) <= most else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` is called so (case does not count)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from copysift.llm.frames import cut, small_enough
+from copysift.llm.frames import cut, free_name, within_bytes
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.95
@@ -102,22 +102,28 @@ def rebuilt(text: Column, spans: Column, token) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text) - s["at"])))
 
 
-def _blank() -> Column:
+def _blank(text: Column, spans: Column) -> Column:
     """The text with its spans of fixed kinds as spaces, so that nothing in them is a term and places stay."""
-    return rebuilt(F.col("text"), F.col("spans"), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))
+    return rebuilt(text, spans, lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))
 
 
-def _seen(found: DataFrame) -> DataFrame:
-    """(row_key, text_key, blank, entities) of the documents that mention an entity; equal texts have equal text keys."""
+def _possible() -> Column:
+    return F.coalesce(*(F.when(hint(F.col("text")), True) for hint in _HINTS.values()), F.lit(False))
+
+
+def _text_key(text: Column, spans: Column) -> Column:
+    """128 bits that stand for a text with spans; null for other texts. What is added to a text depends on nothing but the text."""
+    return F.when(F.size(spans) > 0, F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b")))
+
+
+def mentioning(docs: DataFrame) -> DataFrame:
+    """(text_key, copies, blank, entities): each different text that mentions an entity, once, with how many rows have it."""
     value = lambda s: F.lower(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))
     names = F.array(*map(F.lit, KINDS))
     entities = F.array_distinct(F.transform("spans", lambda s: F.concat(F.element_at(names, s["kind"] + 1), F.lit(":"), value(s))))
-    rows = found.where(_possible()).where(F.size("spans") > 0)
-    return rows.select("row_key", F.xxhash64("text").alias("text_key"), _blank().alias("blank"), entities.alias("entities"))
-
-
-def _possible() -> Column:
-    return F.coalesce(*(F.when(hint(F.col("text")), True) for hint in _HINTS.values()), F.lit(False))
+    rows = docs.select("text").where(_possible()).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
+    rows = rows.select(_text_key(F.col("text"), F.col("spans")).alias("text_key"), _blank(F.col("text"), F.col("spans")).alias("blank"), entities.alias("entities"))
+    return rows.groupBy("text_key").agg(F.count("*").alias("copies"), F.first("blank").alias("blank"), F.first("entities").alias("entities"))
 
 
 def terms_of(text: Column) -> Column:
@@ -125,57 +131,75 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
 
 
-def disclosing_terms(docs: DataFrame, seen: DataFrame, mentions: DataFrame, support: int, generalise: float) -> DataFrame:
-    """(entity, term, disclosed) of the terms that give away at least ``generalise`` of an entity's information."""
-    texts = mentions.groupBy("entity", "text_key").agg(F.count("*").alias("copies"))
-    entities = texts.groupBy("entity").agg(F.sum("copies").alias("df_entity"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
-    wanted = cut(texts.join(entities, "entity").groupBy("text_key").agg(F.collect_list(F.struct("entity", "df_entity", "copies")).alias("told")))
-    # each different text once, with how many documents have it, so that pairs are counted without distinct
-    once = seen.join(small_enough(wanted.select("text_key")), "text_key", "left_semi")
-    once = once.select("text_key", "blank").dropDuplicates(["text_key"]).join(wanted, "text_key")
-    near = cut(once.select(terms_of(F.col("blank")).alias("terms"), "told")).select("terms", F.inline("told")).select("entity", "df_entity", "copies", F.explode("terms").alias("term"))
-    pairs = cut(near.groupBy("entity", "df_entity", "term").agg(F.sum("copies").alias("together"), F.count("*").alias("texts")).where(F.col("texts") >= support))
-    terms = cut(pairs.select("term").distinct())
-    everywhere = docs.select(F.explode(terms_of(F.col("text"))).alias("term"))
-    counts = everywhere.join(small_enough(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
-    total = docs.count()
-    rows = pairs.join(counts, "term")
-    content = F.log2(F.lit(float(max(total, 1))) / F.col("df_entity"))
-    shared = F.log2(F.col("together") * F.lit(float(max(total, 1))) / (F.col("df_term") * F.col("df_entity")))
-    return rows.where(content > 0).select("entity", "term", (shared / content).alias("disclosed")).where(F.col("disclosed") >= generalise)
+def most_documents(total: int, df_entity: Column | float, generalise: float) -> Column | float:
+    """In how many documents a term may be at most to give away ``generalise`` of an entity, whatever the two share.
+
+    log2(c N / (df_term df_entity)) >= g log2(N / df_entity) and c <= df_entity give df_term <= N ** (1 - g) * df_entity ** g.
+    """
+    power = F.pow(df_entity, F.lit(generalise)) if isinstance(df_entity, Column) else df_entity**generalise
+    return power * (total ** (1 - generalise) * (1 + 1e-9))
 
 
-def _added(seen: DataFrame, mentions: DataFrame, told: DataFrame) -> DataFrame:
-    """(row_key, added): every occurrence of a disclosing term in the documents that mention its entity, with how much it discloses."""
-    wanted = cut(mentions.join(told, "entity").groupBy("row_key", "term").agg(F.max("disclosed").alias("disclosed")))
-    rows = seen.join(small_enough(wanted.select("row_key").distinct()), "row_key", "left_semi").select("row_key", "blank").dropDuplicates(["row_key"])
+def disclosing_terms(docs: DataFrame, texts: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame | None:
+    """(entity, term, disclosed) of the terms that give away at least ``generalise`` of an entity's information; None if no entity is in ``support`` texts.
+
+    texts: mentioning(), cut. Documents are counted for all terms at once, combined on the map side, so what is joined is a row for
+    each term and not one for each occurrence; terms in more documents than could disclose anything are dropped first.
+    """
+    told = texts.select("text_key", "copies", F.explode("entities").alias("entity"))
+    entities = cut(told.groupBy("entity").agg(F.sum("copies").alias("df_entity"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts"))
+    largest = entities.agg(F.max("df_entity")).first()[0]
+    if largest is None:
+        return None
+    total = docs.count()
+    counts = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
+    rare = cut(counts.where((F.col("df_term") >= support) & (F.col("df_term") <= most_documents(total, float(largest), generalise))))
+    there = texts.select("text_key", F.explode(terms_of(F.col("blank"))).alias("term")).join(rare, "term")
+    pairs = there.join(told.join(within_bytes(entities, F.octet_length("entity") + 32), "entity"), "text_key").where(F.col("df_term") <= most_documents(total, F.col("df_entity"), generalise))
+    pairs = pairs.groupBy("entity", "df_entity", "term", "df_term").agg(F.sum("copies").alias("together"), F.count("*").alias("texts")).where(F.col("texts") >= support)
+    content = F.log2(F.lit(float(total)) / F.col("df_entity"))
+    shared = F.log2(F.col("together") * F.lit(float(total)) / (F.col("df_term") * F.col("df_entity")))
+    return pairs.where(content > 0).select("entity", "term", (shared / content).alias("disclosed")).where(F.col("disclosed") >= generalise)
+
+
+def _added(texts: DataFrame, told: DataFrame) -> DataFrame:
+    """(text_key, added): every occurrence of a disclosing term in the texts that mention its entity, with how much it discloses."""
+    terms = texts.select("text_key", F.explode(terms_of(F.col("blank"))).alias("term")).join(within_bytes(cut(told.select("term").distinct()), F.octet_length("term") + 24), "term", "left_semi")
+    entities = texts.select("text_key", F.explode("entities").alias("entity"))
+    wanted = cut(terms.join(entities, "text_key").join(told, ["entity", "term"]).groupBy("text_key", "term").agg(F.max("disclosed").alias("disclosed")))
+    rows = texts.select("text_key", "blank").join(within_bytes(cut(wanted.select("text_key").distinct()), F.lit(48)), "text_key", "left_semi")
     matches = F.regexp_extract_all("blank", F.lit(TERM), F.lit(0))
     parts = F.arrays_zip(F.slice(F.split("blank", TERM, -1), F.lit(1), F.size(matches)).alias("gap"), matches.alias("match"))
-    rows = cut(rows.select("row_key", parts.alias("parts"))).select("row_key", F.posexplode("parts").alias("pos", "part")).select("row_key", "pos", F.length("part.gap").alias("gap"), F.length("part.match").alias("size"), F.lower("part.match").alias("term"))
-    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row_key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    shown = rows.withColumn("end", end).join(wanted, ["row_key", "term"]).withColumn("start", (F.col("end") - F.col("size")).cast("int")).withColumn("kind", F.lit(4))
-    return shown.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "disclosed"))).alias("added"))
+    rows = cut(rows.select("text_key", parts.alias("parts"))).select("text_key", F.posexplode("parts").alias("pos", "part")).select("text_key", "pos", F.length("part.gap").alias("gap"), F.length("part.match").alias("size"), F.lower("part.match").alias("term"))
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("text_key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    shown = rows.withColumn("end", end).join(wanted, ["text_key", "term"]).withColumn("start", (F.col("end") - F.col("size")).cast("int")).withColumn("kind", F.lit(4))
+    return shown.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "disclosed"))).alias("added"))
+
+
+_ADDED = "array<struct<start:int,kind:int,end:int,disclosed:double>>"
 
 
-def private_spans(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """All columns of ``docs`` with spans (start, kind, end; the four fixed kinds) and added (start, kind, end, disclosed).
+def private_spans(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, spans: str = "spans", added: str = "added") -> DataFrame:
+    """All columns of ``docs`` with ``spans`` (start, kind, end; the four fixed kinds) and ``added`` (start, kind, end, disclosed).
 
-    Positions are code points of the whole text, ends exclusive; a null text has no spans. Rows are told apart by
-    doc_id and text, so equal rows get equal spans and a null doc_id is nothing special. Columns of ``docs`` named
-    row_key, spans or added are replaced.
+    Positions are code points of the whole text, ends exclusive; a null or empty text has no spans. Rows with equal texts get equal
+    spans, so repeated rows and null ids are nothing special; texts are told apart by 128 bits. Columns of ``docs`` with the names
+    of the two results are replaced, others are kept whatever they are called. An empty table gives no rows.
     """
-    docs = docs.drop("row_key", "spans", "added")
-    found = docs.withColumn("row_key", F.xxhash64("doc_id", "text")).withColumn("spans", base_spans(F.col("text")))
-    seen = cut(_seen(found.select("row_key", "text", "spans")))
-    mentions = cut(seen.select("row_key", "text_key", F.explode("entities").alias("entity")).distinct())
-    told = cut(disclosing_terms(docs, seen, mentions, support, generalise))
-    added = cut(_added(seen, mentions, told))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,disclosed:double>>")
-    return found.join(small_enough(added), "row_key", "left").withColumn("added", F.coalesce("added", none)).drop("row_key")
+    docs = docs.drop(spans, added)
+    found = docs.withColumn(spans, base_spans(F.col("text")))
+    texts = cut(mentioning(docs))
+    told = disclosing_terms(docs.select("text"), texts, support, generalise)
+    if told is None:
+        return found.withColumn(added, F.array().cast(_ADDED))
+    key = free_name(found, "text_key")
+    more = within_bytes(cut(_added(texts, cut(told))), 64 + 40 * F.size("added")).withColumnsRenamed({"text_key": key, "added": added})
+    rows = found.withColumn(key, _text_key(F.col("text"), F.col(spans))).join(more, key, "left")
+    return rows.withColumn(added, F.coalesce(added, F.array().cast(_ADDED))).drop(key)
 
 
 def found_spans(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of ``docs``; see private_spans()."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) for every row of ``docs``; see private_spans()."""
     rows = private_spans(docs.select("doc_id", "text"), **options)
 
     def count(i: int) -> Column:
@@ -183,14 +207,19 @@ def found_spans(docs: DataFrame, **options) -> DataFrame:
 
     counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(PATTERNS)]
     plain = F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return rows.select("doc_id", *counts, F.sha2(_joined(F.col("spans")), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("spans", plain))).alias("spans"))
+    all_spans = F.array_sort(F.concat("spans", plain))
+    return rows.select("doc_id", *counts, F.sha2(_joined(F.col("spans")), 256).alias("base_sha256"), _joined(all_spans).alias("spans"), (F.size("spans") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def sanitised(docs: DataFrame, remove: float = REMOVE, **options) -> DataFrame:
-    """``docs``, all columns, with spans replaced in ``text``: <EMAIL>, <IP>, <CARD>, <PHONE>, <TERM>; terms that disclose ``remove`` or more are cut out."""
-    rows = private_spans(docs, **options)
-    spans = F.array_sort(F.concat(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(0.0).alias("disclosed"))), F.col("added")))
+    """``docs``, all columns, with spans replaced in ``text``: <EMAIL>, <IP>, <CARD>, <PHONE>, <TERM>; terms that disclose ``remove`` or more are cut out.
+
+    A null text stays null. See private_spans() for what is found.
+    """
+    base, added = free_name(docs, "base_spans"), free_name(docs, "added_spans")
+    rows = private_spans(docs, spans=base, added=added, **options)
+    spans = F.array_sort(F.concat(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(0.0).alias("disclosed"))), F.col(added)))
+    rows = rows.withColumn(base, spans)
     names = F.array(*(F.lit(f"<{kind.upper()}>") for kind in KINDS))
-    clean = rebuilt(F.col("text"), F.col("all_spans"), lambda s: F.when(s["disclosed"] >= remove, F.lit("")).otherwise(F.element_at(names, s["kind"] + 1)))
-    rows = rows.withColumn("all_spans", spans).withColumn("text", F.when(F.size("all_spans") > 0, clean).otherwise(F.col("text")))
-    return rows.select(*docs.columns)
+    clean = rebuilt(F.col("text"), F.col(base), lambda s: F.when(s["disclosed"] >= remove, F.lit("")).otherwise(F.element_at(names, s["kind"] + 1)))
+    return rows.withColumn("text", F.when(F.size(base) > 0, clean).otherwise(F.col("text"))).select(*docs.columns)

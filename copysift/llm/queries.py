@@ -64,6 +64,45 @@ reach(id, root) AS (SELECT id, id FROM nodes UNION SELECT sides.b, reach.root FR
 found AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)"""
 
 
+#: The four fixed kinds of personal data and a term, as DuckDB's patterns.
+_KINDS = {"email": r"'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'", "ip": r"'[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'", "card": r"'[0-9](?:[\x20-]?[0-9])+'", "phone": r"'\+[0-9][\x20().0-9-]+[0-9]'"}
+_TERM = r"'[\p{L}\p{N}_]+(?:[''\-][\p{L}\p{N}_]+)*'"
+
+
+def _matches(table: str, pattern: str, more: str = "") -> str:
+    """doc_id, the number of each match, the match, and the gap before it."""
+    return f"SELECT doc_id, {more} generate_subscripts(ms, 1) AS i, unnest(ms) AS match, unnest(gaps[1:len(ms)]) AS gap FROM (SELECT doc_id, regexp_extract_all(t, {pattern}) AS ms, string_split_regex(t, {pattern}) AS gaps FROM {table})"
+
+
+_PII = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({matches}),
+p AS (SELECT doc_id, k, kind, sum(length(gap) + length(match)) OVER (PARTITION BY doc_id, k ORDER BY i) - length(match) AS start, match, regexp_replace(match, '[^0-9]', '', 'g') AS digits FROM m),
+base AS (SELECT doc_id, k, kind, start, start + length(match) AS til, kind || ':' || lower(match) AS entity FROM p WHERE k = 0
+    OR k = 1 AND len(list_filter(string_split(match, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(right(ltrim(x, '0'), 3) AS INT), 0) > 255)) = 0
+    OR k = 2 AND length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda j: (CASE WHEN j % 2 = 0 THEN (ascii(digits[-j]) - 48) * 2 - CASE WHEN digits[-j] >= '5' THEN 9 ELSE 0 END ELSE ascii(digits[-j]) - 48 END))) % 10 = 0
+    OR k = 3 AND length(digits) BETWEEN 10 AND 15),
+cut AS (SELECT doc_id, max(til) OVER (PARTITION BY doc_id ORDER BY start, til ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, start, til FROM base),
+w AS (SELECT doc_id, i, match, sum(length(gap) + length(match)) OVER (PARTITION BY doc_id ORDER BY i) - length(match) AS start FROM ({words})),
+df AS (SELECT lower(match) AS term, count(DISTINCT doc_id) AS df_term FROM w GROUP BY 1),
+blanked AS (SELECT doc_id, string_agg(piece, '' ORDER BY pos) AS t FROM (
+    SELECT doc_id, start AS pos, repeat(' ', (til - greatest(start, coalesce(before, 0)))::BIGINT) AS piece FROM cut WHERE til > coalesce(before, 0)
+    UNION ALL SELECT c.doc_id, coalesce(before, 0), substr(t, coalesce(before, 0)::BIGINT + 1, (start - coalesce(before, 0))::BIGINT) FROM cut c JOIN t USING (doc_id) WHERE start > coalesce(before, 0)
+    UNION ALL SELECT doc_id, last, substr(t, last::BIGINT + 1) FROM (SELECT doc_id, max(til) AS last FROM base GROUP BY doc_id) JOIN t USING (doc_id)) GROUP BY doc_id),
+bw AS (SELECT doc_id, lower(match) AS term, sum(length(gap) + length(match)) OVER (PARTITION BY doc_id ORDER BY i) - length(match) AS start, length(match) AS size FROM ({blank_words})),
+told AS (SELECT DISTINCT doc_id, t AS text, entity FROM base JOIN t USING (doc_id)),
+entities AS (SELECT entity, count(*) AS df_entity FROM told GROUP BY 1 HAVING count(DISTINCT text) >= 2),
+pairs AS (SELECT entity, df_entity, term, count(*) AS together FROM told JOIN entities USING (entity) JOIN (SELECT DISTINCT doc_id, term FROM bw) USING (doc_id) GROUP BY ALL HAVING count(DISTINCT text) >= 2),
+n AS (SELECT count(*)::DOUBLE AS n FROM t),
+disclosing AS (SELECT entity, term FROM pairs JOIN df USING (term), n WHERE n > df_entity AND log2(together * n / (df_term * df_entity)) / log2(n / df_entity) >= 0.8),
+added AS (SELECT DISTINCT doc_id, 4 AS k, 'term' AS kind, start, start + size AS til FROM bw JOIN told USING (doc_id) JOIN disclosing USING (entity, term)),
+spans AS (SELECT doc_id, k, kind || ':' || start::BIGINT || ':' || til::BIGINT AS s, start FROM (SELECT doc_id, k, kind, start, til FROM base UNION ALL SELECT * FROM added))
+SELECT t.doc_id, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
+    sha256(coalesce(string_agg(s, ',' ORDER BY start, k) FILTER (k < 4), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY start, k), '') AS spans, count(s) AS n_spans
+FROM t LEFT JOIN spans USING (doc_id) GROUP BY t.doc_id"""
+_PII = _PII.replace("{matches}", " UNION ALL ".join(_matches("t", p, f"{k} AS k, '{kind}' AS kind,") for k, (kind, p) in enumerate(_KINDS.items()))).replace("{words}", _matches("t", _TERM)).replace("{blank_words}", _matches("blanked", _TERM))
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can express; it compares all pairs that share something, so it is for small tables."""
     return {
@@ -78,6 +117,7 @@ SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN last END AS refers_to FROM m""",
+        "op5_pii": _PII,
         "op8_embedding_near_dedup": f"""
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
 good AS (SELECT *, sqrt(list_dot_product(x, x)) AS norm FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND list_dot_product(x, x) > 0),
