@@ -87,3 +87,63 @@ def private_spans(text):
         if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
             out.append((m.start(), 3, m.end()))
     return sorted(out)
+
+
+def sentences(text, longest):
+    """[(words, start, end)]: the sentences of a text with the code points from their first word to the next sentence's."""
+    out, now = [], []
+    found = list(re.finditer("[^\x20\x09-\x0d]+", text or ""))
+    for i, m in enumerate(found):
+        now.append(m)
+        after = text[m.end() : found[i + 1].start()] if i + 1 < len(found) else "\n"
+        if m[0][-1] in ".!?" or "\n" in after or len(now) == longest:
+            out.append(now)
+            now = []
+    starts = [s[0].start() for s in out] + [len(text or "")]
+    return [(words(" ".join(m[0] for m in s)), starts[k], starts[k + 1]) for k, s in enumerate(out)]
+
+
+def without_repeats(rows, several, least, longest):
+    """rows: (doc_id or None, version, text). [(n_sentences, removed sentences, text that is left, ids that keep the passages)] in their order."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, rows[i][1]))
+    split = [sentences(t, longest) for _, _, t in rows]
+    first, gone, keepers = {}, [set() for _ in rows], [set() for _ in rows]
+    for i in order:
+        sizes = [len(w) for w, _, _ in split[i]]
+        runs = set()
+        for s in range(len(sizes)):
+            e = next((e for e in range(s + several, len(sizes) + 1) if sum(sizes[s:e]) >= least), None)
+            b = next((b for b in range(s + 1 - several, -1, -1) if sum(sizes[b : s + 1]) >= least), None)
+            runs |= ({(s, e)} if e is not None else set()) | ({(b, s + 1)} if b is not None else set())
+        for s, e in sorted(runs):
+            span = tuple(w for part, _, _ in split[i][s:e] for w in part)
+            place = (rows[i][:2], s)
+            if first.setdefault(span, place) != place:
+                gone[i].update(range(s, e))
+                keepers[i].add(first[span][0][0])
+    return [(len(split[i]), gone[i], "".join([t[: split[i][0][1]], *(t[a:b] for k, (_, a, b) in enumerate(split[i]) if k not in gone[i])]) if split[i] else t, keepers[i]) for i, (_, _, t) in enumerate(rows)]
+
+
+def disclosing(texts, support, generalise):
+    """{(entity, term)}: what the texts of a corpus give away, from their spans and plain counts."""
+    import math
+
+    term = re.compile(r"\w+(?:['\-]\w+)*")
+    names = ("email", "ip", "card", "phone")
+    n, with_term, with_entity, both = len(texts), defaultdict(int), defaultdict(list), defaultdict(list)
+    for text in texts:
+        spans = private_spans(text)
+        blank = list(text or "")
+        for a, _, b in spans:
+            blank[a:b] = " " * (b - a)
+        for t in {m[0].lower() for m in term.finditer(text or "")}:
+            with_term[t] += 1
+        inside = {m[0].lower() for m in term.finditer("".join(blank))}
+        for e in {f"{names[k]}:{text[a:b].lower()}" for a, k, b in spans}:
+            with_entity[e].append(text)
+            for t in inside:
+                both[e, t].append(text)
+    return {
+        (e, t) for (e, t), c in both.items()
+        if len(set(c)) >= support and n > len(with_entity[e]) and math.log2(len(c) * n / (with_term[t] * len(with_entity[e]))) / math.log2(n / len(with_entity[e])) >= generalise
+    }
