@@ -3,10 +3,13 @@
 A page is parsed into a tree of its block elements, labelled with tag, classes, id and role; siblings with equal
 labels are one repeated node. The trees of a host are aligned by simple tree matching (the largest
 order-preserving matching of nodes with equal labels, by dynamic programming over child lists) and merged
-into one template that counts pages and text for each node. Nodes whose text is the same on all pages are
-template; varying slots are candidates for content, unless their label (a menu, an advert ...) or their links say
-otherwise. The content root is the innermost block that holds nearly all of that text; a page's main text is
-what its tree has below the root, less template nodes and labelled boilerplate.
+into one template that counts pages and text for each node. Nodes whose text is the same on all pages that have them are
+template; varying slots are candidates for content. The content root is the innermost block that holds nearly all
+of the varying text; a page's main text is what its tree has below the root, less template nodes.
+
+Names (a menu, an advert, comments ...) settle what variation cannot: slots that vary with every page and still are no
+part of the article. They are read as whole class names, never on html, body, main, article or what holds one of these,
+and do not count where nearly all varying text of the host is below them.
 
 Every task merges its own pages by host first, so a host with a third of all pages sends as many templates
 as there are tasks, which are merged in two levels.
@@ -14,6 +17,7 @@ as there are tasks, which are merged in two levels.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -21,24 +25,29 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copysift.llm.frames import cut, small_enough
+from copysift.llm.frames import cut, within_bytes
 
 BLOCKS = frozenset("html head body title p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th section article main nav header footer aside form fieldset blockquote pre figure figcaption address details summary select option button dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea noscript template iframe svg math object canvas audio video".split())
+RAW = frozenset("script style textarea template iframe".split())
 #: A start tag closes these open elements, up to one of the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption address title".split())
-#: Labels of boilerplate: elements, and words in classes, ids and roles.
-BOILER_TAGS = frozenset("head title nav footer aside form select option button dialog menu fieldset".split())
+#: Elements that are no part of an article wherever they are, and those that may as well wrap a whole page.
+NEVER = frozenset("head title nav footer aside select option button dialog menu".split())
+WRAPS = frozenset("form fieldset".split())
+#: Elements that hold content whatever they are called.
+CONTENT = frozenset("html body main article".split())
+#: Words of class names, ids and roles for what is no part of an article, and words that may stand beside them in one name.
 BOILER_WORDS = frozenset("ad ads advert advertisement adverts banner banners breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices pagination popup promo promotion related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe tagcloud tags toolbar topbar widget widgets".split())
-#: A text that is equal on so many pages and on all of them is template inside the content root too.
-ALWAYS = 8
+BESIDE = frozenset("article area bar block bottom box buttons container content entry form global group inline inner item items left link links list lower main outer page panel post posts primary reader right secondary section site slot text title top unit upper user wrap wrapper".split())
+HEADER = frozenset("header site page top global main wrapper wrap container".split())
+#: A name does not count if the varying text outside is less than this share of that below it.
+LEFT = 0.1
 #: Elements nested deeper are folded into the node at this depth; their text stays.
 DEPTH = 120
 
@@ -54,9 +63,30 @@ def label_of(tag: str, attributes: str) -> str:
     return ".".join([tag, *sorted(set(found))])
 
 
-def is_boilerplate(label: str) -> bool:
-    tag, _, names = label.partition(".")
-    return tag in BOILER_TAGS or bool(names) and not BOILER_WORDS.isdisjoint(_PART.findall(names))
+def named(label: str) -> bool:
+    """Whether a whole class name, id or role says that this is no part of an article."""
+    tag, *names = label.split(".")
+    if tag in CONTENT:
+        return False
+    for name in names:
+        parts = set(_PART.findall(name))
+        if not parts.isdisjoint(BOILER_WORDS) and parts <= BOILER_WORDS | BESIDE:
+            return True
+    return False
+
+
+def is_header(label: str) -> bool:
+    tag, *names = label.split(".")
+    return tag == "header" or tag not in CONTENT and any("header" in (parts := set(_PART.findall(n))) and parts <= HEADER for n in names)
+
+
+def tag_of(label: str) -> str:
+    return label.partition(".")[0]
+
+
+def _hash(text: str) -> int:
+    """A hash of 63 bits, never 0."""
+    return (int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest()) >> 1) | 1
 
 
 class Page:
@@ -69,7 +99,7 @@ class Page:
         self._parse(html or "")
 
     def _node(self, parent: int, label: str) -> int:
-        if self.depths[parent] >= DEPTH and not is_boilerplate(label):
+        if self.depths[parent] >= DEPTH and tag_of(label) not in NEVER and not named(label):
             return parent
         k = self._at.get((parent, label))
         if k is None:
@@ -162,18 +192,29 @@ class Page:
         own: dict[int, list[str]] = {}
         for k, block in self.blocks:
             own.setdefault(k, []).append(block)
-        return [(xxhash.xxh3_64_intdigest("\n".join(own[k])) >> 1) | 1 if k in own else 0 for k in range(len(self.labels))]
+        return [_hash("\n".join(own[k])) if k in own else 0 for k in range(len(self.labels))]
 
+    def fingerprints(self) -> list[int]:
+        """The hash of the page's whole text, for each node that has text; copies of a page say nothing about what is template."""
+        whole = _hash("\n".join(block for _, block in self.blocks))
+        return [whole if n else 0 for n in self.lengths]
 
-# A template node: [label, pages, pages with text, code points, of those in links, hash of the text or -1 if it varies, children]
-def tree(labels: list[str], parents: list[int], pages: int, filled: list[int], lengths: list[int], linked: list[int], hashes: list[int]) -> list:
-    nodes = [[x, pages, f, n, a, h, []] for x, f, n, a, h in zip(labels, filled, lengths, linked, hashes, strict=True)]
+
+# A template node: [label, pages, pages with text, code points, of those in links, hash of the text or -1 if it varies, children,
+# hash of the page or -1 if pages that differ have this text]
+def tree(labels: list[str], parents: list[int], pages: int, filled: list[int], lengths: list[int], linked: list[int], hashes: list[int], whole: list[int]) -> list:
+    nodes = [[x, pages, f, n, a, h, [], w] for x, f, n, a, h, w in zip(labels, filled, lengths, linked, hashes, whole, strict=True)]
     for k, p in enumerate(parents):
         if p >= 0:
             nodes[p][6].append(nodes[k])
     return nodes[0]
 
 
+def _same(a: int, b: int) -> int:
+    """The hash that two share, -1 if they differ; 0 stands for none."""
+    return a if a == b else (a or b) if not (a and b) else -1
+
+
 def matching(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two nodes with equal labels: the number of matched nodes, and the matched children."""
     x, y = a[6], b[6]
@@ -202,43 +243,80 @@ def matching(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
 
 def merged(a: list, b: list) -> list:
     """The template of two templates with equal root labels; nodes of only one are kept in place."""
-    one = a[5] if a[5] == b[5] else a[5] or b[5] if not (a[5] and b[5]) else -1
     children, i, j = [], 0, 0
     for p, q in [*matching(a, b)[1], (len(a[6]), len(b[6]))]:
         children += a[6][i:p] + b[6][j:q]
         if p < len(a[6]) and q < len(b[6]):
             children.append(merged(a[6][p], b[6][q]))
         i, j = p + 1, q + 1
-    return [a[0], *(a[k] + b[k] for k in range(1, 5)), one, children]
+    return [a[0], *(a[k] + b[k] for k in range(1, 5)), _same(a[5], b[5]), children, _same(a[7], b[7])]
+
+
+KEEP, OWN, ALL = 0, 1, 2
 
 
 def decided(template: list) -> list:
-    """[label, is content root, is template, children] of each node of a host's merged template."""
+    """[label, is content root, what is no content (KEEP nothing of it, its OWN text, or ALL below it), children] of each node of a host's merged template."""
+    pages = template[1]
+
+    def constant(node: list) -> bool:
+        return node[5] > 0 and node[7] < 0 and 2 * node[2] >= pages
 
-    def worth(node: list, boiler: bool = False) -> float:
-        boiler = boiler or is_boilerplate(node[0])
-        constant = node[5] > 0 and node[2] > 1
-        own = 0 if boiler or constant or 2 * node[4] > node[3] else node[3]
-        return own + sum(worth(c, boiler) for c in node[6])
+    def own(node: list) -> int:
+        return 0 if constant(node) or 2 * node[4] > node[3] else node[3]
+
+    def holds_content(node: list) -> bool:
+        return any(tag_of(c[0]) in CONTENT or holds_content(c) for c in node[6])
+
+    # top-most nodes that are named as something else, with the varying text outside all of them
+    aside: dict[int, list] = {}
+
+    def outside(node: list, in_content: bool = False) -> int:
+        """Varying text of a node that lies outside named nodes, which are put aside."""
+        tag = tag_of(node[0])
+        in_content = in_content or tag in ("main", "article")
+        if tag in NEVER or (tag in WRAPS or named(node[0])) and not holds_content(node) or is_header(node[0]) and not in_content and not holds_content(node):
+            aside[id(node)] = node
+            return 0
+        return own(node) + sum(outside(c, in_content) for c in node[6])
+
+    def all_below(node: list) -> int:
+        return own(node) + sum(all_below(c) for c in node[6] if tag_of(c[0]) not in NEVER)
+
+    left = outside(template)
+    while True:
+        large = [n for n in aside.values() if tag_of(n[0]) not in NEVER and left < LEFT * all_below(n)]
+        if not large:
+            break
+        node = max(large, key=all_below)
+        del aside[id(node)]
+        left += own(node) + sum(outside(c) for c in node[6])
+
+    def worth(node: list) -> int:
+        return 0 if id(node) in aside else own(node) + sum(worth(c) for c in node[6])
 
     root = template
     while True:
         total = worth(root)
-        tag = root[0].partition(".")[0]
-        inner = [c for c in root[6] if c[0].partition(".")[0] not in PROSE and not is_boilerplate(c[0]) and worth(c) >= 0.9 * total > 0]
-        headed = any(re.match(r"h[1-3](\.|$)", c[0]) for c in root[6])
-        if tag == "article" or headed or not inner:
+        inner = [c for c in root[6] if tag_of(c[0]) not in PROSE and worth(c) >= 0.9 * total > 0]
+        if tag_of(root[0]) == "article" or any(re.match(r"h[1-3](\.|$)", c[0]) for c in root[6]) or not inner:
             break
         root = inner[0]
 
-    def flat(node: list) -> list:
-        always = node[5] > 0 and node[2] == node[1] >= ALWAYS
-        return [node[0], int(node is root), int(always), [flat(c) for c in node[6]]]
+    def flat(node: list, in_root: bool = False) -> list:
+        gone = id(node) in aside and not (is_header(node[0]) and in_root)  # a header inside the article is the article's own
+        in_root = in_root or node is root and tag_of(node[0]) not in ("#page", "html", "body")
+        return [node[0], int(node is root), ALL if gone else OWN if constant(node) else KEEP, [flat(c, in_root) for c in node[6]]]
 
     return flat(template)
 
 
-def content_nodes(page: Page, wrapper: list | None) -> list[bool]:
+def alone(page: Page) -> list:
+    """The wrapper of a page that is compared with no other."""
+    return decided(tree(page.labels, page.parents, 1, [int(n > 0) for n in page.lengths], page.lengths, page.linked, page.hashes(), page.fingerprints()))
+
+
+def content_nodes(page: Page, wrapper: list) -> list[bool]:
     """Which nodes of a page's tree are content, by alignment with the host's wrapper. A part that the wrapper lacks goes with what it is in."""
     children: list[list] = [[] for _ in page.labels]
     for k, p in enumerate(page.parents):
@@ -250,17 +328,15 @@ def content_nodes(page: Page, wrapper: list | None) -> list[bool]:
         return [page.labels[k], 0, 0, 0, 0, 0, [shape(c) for c in children[k]]]
 
     def walk(k: int, node: list | None, mine: list, inside: bool) -> None:
-        if is_boilerplate(page.labels[k]):
+        if node[2] == ALL if node else tag_of(page.labels[k]) in NEVER or named(page.labels[k]):
             return
         inside = inside or bool(node and node[1])
-        keep[k] = inside and not (node and node[2])
+        keep[k] = inside and not (node and node[2] == OWN)
         pairs = dict(matching(mine, [node[0], 0, 0, 0, 0, 0, _shaped(node)])[1]) if node else {}
         for i, c in enumerate(children[k]):
             walk(c, node[3][pairs[i]] if i in pairs else None, mine[6][i], inside)
 
-    walk(0, wrapper, shape(0), wrapper is None)
-    if not any(keep[k] for k, _ in page.blocks):  # a page that shares nothing with the content root: all that is not boilerplate
-        walk(0, None, shape(0), True)
+    walk(0, wrapper, shape(0), False)
     return keep
 
 
@@ -287,14 +363,14 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             page = Page(html)
-            hashes, key = page.hashes(), (host, page.signature())
+            hashes, whole, key = page.hashes(), page.fingerprints(), (host, page.signature())
             filled = [int(h != 0) for h in hashes]
             old = seen.get(key)
             if old is None:
-                seen[key] = [1, filled, page.lengths, page.linked, hashes]
+                seen[key] = [1, filled, page.lengths, page.linked, hashes, whole]
             else:
-                one = [a if a == b else (a or b) if not (a and b) else -1 for a, b in zip(old[4], hashes, strict=True)]
-                seen[key] = [old[0] + 1, *([a + b for a, b in zip(x, y, strict=True)] for x, y in zip(old[1:4], (filled, page.lengths, page.linked), strict=True)), one]
+                sums = ([a + b for a, b in zip(x, y, strict=True)] for x, y in zip(old[1:4], (filled, page.lengths, page.linked), strict=True))
+                seen[key] = [old[0] + 1, *sums, *([*map(_same, x, y)] for x, y in ((old[4], hashes), (old[5], whole)))]
         if len(seen) > 2000:
             fold()
     fold()
@@ -323,28 +399,28 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: Page, wrapper: list | None, known: dict | None = None) -> str:
+    """The page's content blocks; ``known`` keeps what was decided for trees that were seen before. A page of which the wrapper leaves nothing is taken by itself."""
     known = {} if known is None else known
     key = page.signature()
-    if key not in known:
+    if wrapper and key not in known:
         known[key] = content_nodes(page, wrapper)
-    keep = known[key] if any(known[key][k] for k, _ in page.blocks) else content_nodes(page, wrapper)
+    keep = known.get(key)
+    if not keep or not any(keep[k] for k, _ in page.blocks):
+        keep = content_nodes(page, alone(page))
     return "\n".join(block for k, block in page.blocks if keep[k])
 
 
-#: Hosts (of a few kB each) up to which wrappers are broadcast to the pages.
-HOSTS = 20_000
-
-
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html, any other columns), whole pages.
 
     Blocks in page order, one on a line; character references decoded, runs of white space in a block one space.
     A null or empty page, or one without text, gives an empty text. Pages whose url is null or has no host
-    are one host. Repeated rows count as pages of their own. A host with a single page has no constant nodes.
+    are one host. Repeated rows count as pages of their own. A host with a single page, or with copies of one only, has no
+    constant nodes that would tell; its pages are taken by themselves.
     """
     rows = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
     found = cut(wrappers(rows))
-    rows = rows.join(small_enough(found, HOSTS), "host", "left")
+    rows = rows.join(within_bytes(found, F.octet_length("wrapper") + F.octet_length("host") + 32), "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[list | None, dict]] = {}

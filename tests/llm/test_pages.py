@@ -87,15 +87,55 @@ def test_main_text_of_a_host(spark):
 def test_constant_slots_are_template_and_varying_ones_content():
     make = lambda i: f"<body><div class=top><p>Always the same words here</p></div><div class=story><div><p>Story number {i} about thing {i}</p></div><p class=end>Thank you for reading</p></div>"
     parsed = [Page(make(i)) for i in range(10)]
+    for some in (parsed, parsed[2:4]):
+        assert main_text(parsed[3], decided(template_of(some))) == "Story number 3 about thing 3"
+    # the page by itself does not show what is template
+    assert main_text(parsed[3], None) != "Story number 3 about thing 3"
+    # nor do copies of it, which are taken by themselves
+    assert main_text(parsed[3], decided(template_of([parsed[3]] * 5))) == main_text(parsed[3], None)
+
+
+def template_of(parsed):
     template = None
     for p in parsed:
-        one = tree(p.labels, p.parents, 1, [int(h != 0) for h in p.hashes()], p.lengths, p.linked, p.hashes())
+        one = tree(p.labels, p.parents, 1, [int(h != 0) for h in p.hashes()], p.lengths, p.linked, p.hashes(), p.fingerprints())
         template = merged(template, one) if template else one
-    assert main_text(parsed[3], decided(template)) == "Story number 3 about thing 3"
+    return template
+
+
+def texts_by_host(make, n=6):
+    parsed = [Page(make(i)) for i in range(n)]
+    return {main_text(p, decided(template_of(parsed))).replace(str(i), "#") for i, p in enumerate(parsed)}, main_text(parsed[0], None).replace("0", "#")
+
+
+LONG = "Story {0} tells of thing {0} and of much else, at some length, for several lines of prose."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<header><p>Site name and slogan</p></header><div class=post><h1>T{0}</h1><p>LONG</p></div>", "T#\nLONG"),
+        ("<header><p>Hot now: {0}</p></header><p>LONG</p>", "LONG"),
+        ("<article><header><h1>T{0}</h1></header><p>LONG</p></article>", "T#\nLONG"),
+        ('<div class="entry social-science"><p>LONG</p></div>', "LONG"),
+        ('<div class="share"><p>LONG</p></div><div class=ad>Buy {0}</div>', "LONG"),
+        ('<body class="no-sidebar has-comments"><div class="content with-sidebar"><p>LONG</p></div><div class="sidebar"><p>Side {0}</p></div>', "LONG"),
+        ('<article class="post has-comments"><p>LONG</p><div id="reader-comments"><p>I think {0}</p></div></article>', "LONG"),
+        ("<article><p>LONG</p><math><mi>x</mi>=<mn>{0}</mn></math><svg><text>label</text></svg><noscript>more {0}</noscript></article>", "LONG\nx=#labelmore #"),
+        ("<form id=aspnet><div class=c><p>LONG</p></div><input name=q></form>", "LONG"),
+        ("<div class=c><p>LONG</p></div><div id=comments><p>" + "One says {0}. " * 40 + "</p></div>", "LONG"),
+        ("<nav><a href=/>Home {0}</a></nav><footer>End {0}</footer>", ""),
+    ],
+)
+def test_names_beside_induction(page, want):
+    by_host, single = texts_by_host(lambda i: page.replace("LONG", LONG).replace("{0}", str(i)))
+    want = want.replace("LONG", LONG.replace("{0}", "#"))
+    assert by_host == {want}
+    assert single == want or "slogan" in single or "labelmore" in want
 
 
 def test_simple_tree_matching_keeps_order():
-    node = lambda label, *children: [label, 1, 0, 0, 0, 0, list(children)]
+    node = lambda label, *children: [label, 1, 0, 0, 0, 0, list(children), 0]
     a, b = node("r", node("x"), node("y", node("z")), node("w")), node("r", node("y", node("z")), node("x"), node("w"))
     assert matching(a, b) == (4, [(1, 0), (2, 2)])
     assert [c[0] for c in merged(a, b)[6]] == ["x", "y", "x", "w"]
