@@ -1,18 +1,18 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network, trained here with numpy.
 
-Every word is predicted from the two words on either side: hidden = tanh(sum over the four places of a table row for
-the word there), logits over word classes = hidden @ O + b. A class is split into subclasses with logits of their own
-from the same hidden values; their number grows with the counted vocabulary. A subclass holds some of ``WORDS`` hash
-buckets, put there by corpus frequency, and a bucket holds words, told apart by 64-bit hashes:
-log p(word | sides) = log p(class | sides) + log p(subclass | class, sides) + log(count(word) / count(subclass)).
-A document's pseudo-likelihood is the sum over all its words.
-
-Spark encodes all texts once, deals them to shards by a hash (so every shard has the same mix of sources),
-and counts buckets with partial aggregation. Every shard trains on its words, in ``ROUNDS`` rounds over disjoint
-parts of the documents, and after a round the models are averaged, weighted by words, in two levels
-of grouped sums. All words take part in counts, training and scoring. Word counts are a Spark table with a row for each
-distinct word; tasks hold the most frequent ``KNOWN`` of them, and all other words of documents are joined to the table. Only
-the model and those frequent words are ever on the driver.
+Every word is predicted from the two words on either side: hidden = tanh(sum over the four places of the place's scale times
+the vector of the word there), class logits = hidden @ O + b. The ``VOCABULARY`` most frequent words have vectors and identifiers
+of their own, all others share ``RARE`` buckets by their hash. The most frequent identifiers are classes of their own; the others
+are clustered by the words that they occur beside, into more classes the more distinct words the corpus has:
+log p(word | sides) = log p(class | sides) + log p(identifier | class) + log p(word | identifier), the last two by counts of the
+whole corpus. A document's pseudo-likelihood is the sum over all its words.
+
+Spark counts all words (a table with a row for each distinct word, by its 64-bit hash), encodes all texts once and deals them to
+shards by a hash, so that every shard has the same mix of sources; how many shards there are follows from the bytes of text alone.
+Every shard adds up what occurs beside each identifier and trains on its words, in ``ROUNDS`` rounds over disjoint parts of the
+documents; after a round the models are averaged, weighted by words, in two levels of grouped sums in the order of the shards.
+All words take part in counts, training and scoring. Tasks hold the counts of the most frequent ``KNOWN`` words, all other words
+of documents are joined to the table. Only the model and those frequent words are ever on the driver.
 """
 
 from __future__ import annotations
@@ -28,53 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copysift.llm.frames import cut
-from copysift.llm.words import U64, buffers, portions, word_hashes, word_spans
+from copysift.llm.words import U64, buffers, mix, portions, word_hashes, word_spans
 
-WORDS, INPUTS, OWN, CLASSES, HIDDEN = 1 << 16, 1 << 12, 24, 48, 16
+IDS, VOCABULARY, RARE = 1 << 16, 15 << 12, 1 << 12
+OWN, HIDDEN, BESIDE = 16, 16, 16
 PLACES = (-2, -1, 1, 2)
-ROUNDS, BATCH, RATE = 2, 8192, 0.3
+ROUNDS, BATCH, RATE = 2, 4096, 0.1
 #: Most frequent words whose counts tasks hold (a few MB), so that a join by word has no hot key.
 KNOWN = 1 << 19
-#: Words that one task trains on at least, so that what models take in a shuffle stays a small share of the input.
-TASK_WORDS = 4_000_000
+#: Bytes of text that one task trains on, so that what models take in a shuffle stays a small share of the input.
+TASK_BYTES = 24_000_000
 #: Parameters of a model that are averaged as one row.
-PIECE = 16_384
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-
-def encoded(docs: DataFrame, shards: int) -> DataFrame:
-    """(key, doc_id, ids) for every row, dealt to shards; ids are the 16-bit word buckets of the whole text, equal rows have equal keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in portions(batch, "text"):
-                data, offsets = buffers(part.column("text"))
-                starts, ends, first = word_spans(data, offsets)
-                ids = (word_hashes(data, starts, ends) >> U64(48)).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["key", "doc_id", "ids"])
-
-    rows = _keyed(docs).mapInArrow(run, "key long, doc_id long, ids binary")
-    deal = F.xxhash64("doc_id", "ids")
-    return rows.repartition(shards, deal).sortWithinPartitions(deal)
-
-
-def bucket_counts(rows: DataFrame) -> np.ndarray:
-    """How often each bucket occurs in the corpus; WORDS numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(WORDS, np.int64)
-        for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), np.uint16), minlength=WORDS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["id", "n"])
-
-    got = rows.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(WORDS, np.int64)
-    out[got["id"].to_numpy()] = got["n"].to_numpy()
-    return out
+PIECE = 65_536
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -91,244 +56,278 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_terms(docs: DataFrame, rows: DataFrame, words: DataFrame, counts: np.ndarray, known: int = KNOWN) -> DataFrame:
-    """(key, term): sum of log p(word | bucket) over the words of each document; words: word_counts(), on a cut frame.
-
-    A bucket keeps half a count for words that the corpus lacks. ``rows`` says how many equal rows share a key.
+class Lexicon:
+    """The known words by hash with their counts and identifiers, and how often each identifier occurs."""
+
+    def __init__(self, words: DataFrame, known: int = KNOWN, vocabulary: int = VOCABULARY) -> None:
+        """words: word_counts(), on a cut frame; vocabulary: so many words have identifiers of their own."""
+        self.vocabulary = vocabulary
+        sizes = words.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
+        self.distinct = int(sizes["words"].sum())
+        often = sizes["n"][sizes["words"].cumsum() <= known]
+        self.least = int(often.min()) if len(often) else np.iinfo(np.int64).max
+        top = words.where(F.col("n") >= self.least).toPandas()
+        hashes, n = top["word"].to_numpy(np.int64).view(U64), top["n"].to_numpy(np.int64)
+        rank = np.empty(len(n), np.int64)
+        rank[np.lexsort((hashes, -n))] = np.arange(len(n))
+        order = np.argsort(hashes)
+        self.hashes, self.n, ids = hashes[order], n[order], np.where(rank < vocabulary, rank, self.rare(hashes))
+        self.ids = ids[order].astype(np.uint16)
+        self.counts = np.bincount(self.ids, self.n, IDS).astype(np.int64)
+        bucket = F.shiftrightunsigned("word", 64 - RARE.bit_length() + 1).cast("int").alias("bucket")
+        for row in words.where(F.col("n") < self.least).groupBy(bucket).agg(F.sum("n").alias("n")).collect():  # RARE rows at most
+            self.counts[vocabulary + row["bucket"]] += row["n"]
+
+    def rare(self, hashes: np.ndarray) -> np.ndarray:
+        return self.vocabulary + (hashes >> U64(64 - RARE.bit_length() + 1)).astype(np.int64)
+
+    def look_up(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(identifier, log p(word | identifier), whether the word is known) of each word; the log is that of 1 / count for words that are not known."""
+        ids, logs, here = self.rare(word), np.zeros(len(word)), np.zeros(len(word), bool)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, word), len(self.hashes) - 1)
+            here = self.hashes[at] == word
+            ids[here], logs[here] = self.ids[at[here]], np.log(self.n[at[here]])
+        return ids, logs - np.log(self.counts[ids] + 0.5), here
+
+
+def encoded(docs: DataFrame, lexicon: Lexicon, shards: int) -> DataFrame:
+    """(key, doc_id, ids, term, rare) for every row, dealt to shards and ordered by a hash.
+
+    ids are the 16-bit identifiers of all words, term is what lexicon.look_up() adds for them, rare has the words that it does not
+    know. Equal rows have equal keys.
     """
-    sizes = words.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
-    often = sizes["n"][sizes["words"].cumsum() <= known]
-    least = int(often.min()) if len(often) else np.iinfo(np.int64).max
-    top = words.where(F.col("n") >= least).toPandas()
-    hashes = top["word"].to_numpy(np.int64).view(U64)
-    order = np.argsort(hashes)
-    hashes, logs = hashes[order], np.log(top["n"].to_numpy(np.float64))[order]
-    bucket_logs = np.log(counts + 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch, "text"):
                 data, offsets = buffers(part.column("text"))
                 starts, ends, first = word_spans(data, offsets)
-                word = word_hashes(data, starts, ends)
+                words = word_hashes(data, starts, ends)
+                ids, logs, here = lexicon.look_up(words)
                 doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                term = -bucket_logs[(word >> U64(48)).astype(np.int64)]
-                at = np.minimum(np.searchsorted(hashes, word), max(0, len(hashes) - 1))
-                here = hashes[at] == word if len(hashes) else np.zeros(len(word), bool)
-                term[here] += logs[at[here]]
-                key = part.column("key").to_numpy(zero_copy_only=False)
-                sums = np.bincount(doc, term, len(key))
-                rare = np.flatnonzero(~here)
-                # a document's own row looks up nothing; it goes by its key, so that such rows are spread
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key, key[doc[rare]]])), pa.array(np.concatenate([key, word[rare].view(np.int64)])), pa.array(np.concatenate([sums, np.full(len(rare), np.nan)]), from_pandas=True)], names=["key", "word", "sums"])
-
-    each = _keyed(docs).select("key", "text").mapInArrow(run, "key long, word long, sums double")
-    rare = words.where(F.col("n") < least)
-    found = each.join(rare, "word", "left").select("key", F.coalesce("sums", F.log("n")).alias("term"), F.lit(0).alias("copies"))
-    both = found.unionByName(rows.select("key", F.lit(0.0).alias("term"), F.lit(1).alias("copies")))
-    return both.groupBy("key").agg((F.sum("term") / F.sum("copies")).alias("term"))
-
-
-def subclasses(words: int) -> int:
-    """Into how many parts a dealt class is split, for so many distinct words."""
-    return max(1, math.ceil((words / (CLASSES - OWN)) ** (1 / 3))) if words > WORDS // 16 else 1
-
-
-def fresh_model(counts: np.ndarray, seed: int = 5, words: int = 0) -> dict:
-    """Classes (each of the most frequent buckets has its own, the rest are dealt by frequency rank), their subclasses and small random weights.
-
-    Subclasses are runs of a class's buckets by frequency, with about equal counts; ``words`` is how many distinct words were counted.
-    """
-    rank = np.empty(WORDS, np.int64)
-    rank[np.lexsort((np.arange(WORDS), -counts))] = np.arange(WORDS)
-    classes = np.where(rank < OWN, rank, OWN + (rank - OWN) % (CLASSES - OWN)).astype(np.int64)
-    smooth = counts + 0.5  # a bucket that the corpus lacks has a probability too
-    mass = np.bincount(classes, smooth, CLASSES)
-    parts = subclasses(words)
-    inner = np.zeros(WORDS, np.int64)
-    by_rank = np.argsort(rank)
-    for c in range(OWN, CLASSES):
-        mine = by_rank[classes[by_rank] == c]
-        below = np.cumsum(smooth[mine]) - smooth[mine]
-        inner[mine] = np.minimum(parts - 1, (below / mass[c] * parts).astype(np.int64))
-    leaf = classes * parts + inner
-    leaf_mass = np.bincount(leaf, smooth, CLASSES * parts)
-    share = leaf_mass.reshape(CLASSES, parts)[OWN:] / mass[OWN:, None]
-    rng = np.random.default_rng(seed)
-    return {
-        "classes": classes.astype(np.uint8), "inner": inner.astype(np.uint16), "within": np.log(smooth / leaf_mass[leaf]),
-        "tables": (rng.standard_normal((len(PLACES), INPUTS + 1, HIDDEN)) * 0.1).astype(np.float32),
-        "out": (rng.standard_normal((HIDDEN, CLASSES)) * 0.1).astype(np.float32), "bias": np.log(mass / mass.sum()).astype(np.float32),
-        "inner_out": (rng.standard_normal((CLASSES - OWN, HIDDEN, parts)) * 0.1).astype(np.float32), "inner_bias": np.log(np.maximum(share, 1e-12)).astype(np.float32),
-    }
+                ids = ids.astype(np.uint16)
+                unknown = np.flatnonzero(~here)
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(unknown, first).astype(np.int32)), pa.array(words[unknown].view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key"), part.column("doc_id"), pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()), pa.array(np.bincount(doc, logs, len(first) - 1).astype(float)), lists],
+                    names=["key", "doc_id", "ids", "term", "rare"],
+                )
+
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "key long, doc_id long, ids binary, term double, rare array<long>")
+    deal = F.xxhash64("doc_id", "ids")
+    return rows.repartition(shards, deal).sortWithinPartitions(deal)
 
 
 def _sides(ids: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
-    """For each place, the input index of the word there; INPUTS where the document has none."""
+    """For each place, the identifier of the word there; IDS where the document has none."""
     found = []
     for d in PLACES:
-        out = np.full(len(ids), INPUTS, np.int64)
+        out = np.full(len(ids), IDS, np.int64)
         a, b = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
         if len(ids) > abs(d):
-            out[a] = np.where(doc[a] == doc[b], ids[b] >> 4, INPUTS)
+            out[a] = np.where(doc[a] == doc[b], ids[b], IDS)
         found.append(out)
     return found
 
 
+def _signs() -> np.ndarray:
+    """For each identifier BESIDE signs (+1 or -1) from a hash of it; zeros for no word."""
+    bits = mix(np.arange(1, IDS + 1, dtype=U64))[:, None] >> np.arange(BESIDE, dtype=U64) & U64(1)
+    return np.concatenate([bits.astype(np.int8) * 2 - 1, np.zeros((1, BESIDE), np.int8)])
+
+
+def _pieces(values: np.ndarray, words: int) -> Iterator[pa.RecordBatch]:
+    part = TaskContext.get().partitionId()
+    for i in range(0, len(values), PIECE):
+        yield pa.RecordBatch.from_arrays([pa.array([i // PIECE], pa.int32()), pa.array([part], pa.int32()), pa.array([words], pa.int64()), pa.array([values[i : i + PIECE].tobytes()], pa.binary())], names=["piece", "part", "words", "value"])
+
+
+_PIECE = "piece int, part int, words long, value binary"
+
+
+def _folded(pieces: DataFrame, kind: type, mean: bool) -> np.ndarray | None:
+    """The sum of what tasks sent, or its mean by words, added in two levels and in the order of the tasks; None if there is nothing."""
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        words = int(rows["words"].sum())
+        total = sum(np.frombuffer(v, kind) * (n / words if mean else 1) for v, n in zip(rows["value"], rows["words"], strict=True))
+        return pd.DataFrame([{"piece": key[0], "part": int(key[1]) if len(key) > 1 else 0, "words": words, "value": total.astype(kind).tobytes()}])
+
+    some = pieces.groupBy("piece", F.pmod("part", F.lit(32)).alias("at")).applyInPandas(add, _PIECE)
+    got = some.groupBy("piece").applyInPandas(add, _PIECE).toPandas().sort_values("piece")
+    return np.concatenate([np.frombuffer(v, kind) for v in got["value"]]) if len(got) else None
+
+
+def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    each = batch.column("ids").to_pylist()
+    sizes = np.array([len(x) // 2 for x in each], np.int64)
+    return np.frombuffer(b"".join(each), np.uint16).astype(np.int64), np.repeat(np.arange(len(each)), sizes), sizes
+
+
+def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """_words() of parts of batches with about two million words each."""
+    for batch in batches:
+        for part in portions(batch, "ids", 4_000_000):
+            yield (*_words(part), part)
+
+
+def beside(rows: DataFrame) -> np.ndarray:
+    """For each identifier the sum, over its occurrences, of the signs of the words on its sides: what it occurs with, folded into BESIDE numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signs, total, words = _signs(), np.zeros((BESIDE, IDS)), 0
+        for ids, doc, _, _ in _cut_batches(batches):
+            near = sum(signs[s].astype(np.int16) for s in _sides(ids, doc))
+            for k in range(BESIDE):
+                total[k] += np.bincount(ids, near[:, k], IDS)
+            words += len(ids)
+        if words:
+            yield from _pieces(total.ravel().astype(np.int64), words)
+
+    total = _folded(rows.select("ids").mapInArrow(run, _PIECE), np.int64, False)
+    return np.zeros((IDS, BESIDE)) if total is None else total.reshape(BESIDE, IDS).T.astype(np.float64)
+
+
+def clusters(points: np.ndarray, weights: np.ndarray, k: int, turns: int = 15) -> np.ndarray:
+    """Weighted k-means, begun with heavy points that are spread over the ranks."""
+    heavy = np.argsort(-weights, kind="stable")[: 4 * k]
+    centres = points[heavy[np.argsort(mix(heavy.astype(U64) + U64(1)), kind="stable")[:k]]].copy()
+    for _ in range(turns):
+        where = ((centres * centres).sum(1) - 2 * points @ centres.T).argmin(1)
+        mass = np.bincount(where, weights, k)
+        for j in range(points.shape[1]):
+            centres[:, j] = np.where(mass > 0, np.bincount(where, weights * points[:, j], k) / np.maximum(mass, 1e-9), centres[:, j])
+    return where
+
+
+def fresh_model(counts: np.ndarray, near: np.ndarray, distinct: int, seed: int = 5) -> dict:
+    """Classes by what identifiers occur beside, and small random weights; counts and near: of each identifier, distinct: words of the corpus."""
+    smooth = counts + 0.5
+    mean = near / (counts[:, None] + 5.0)  # what is seen a few times only is drawn to the middle
+    points = mean - (near.sum(0) / smooth.sum())[None, :] * (counts / (counts + 5.0))[:, None]
+    k = max(8, math.ceil(distinct**0.3))
+    classes = np.concatenate([np.arange(OWN), OWN + clusters(points[OWN:], smooth[OWN:], k)])
+    mass = np.bincount(classes, smooth, OWN + k)
+    rng = np.random.default_rng(seed)
+    return {
+        "classes": classes.astype(np.uint16), "within": np.log(smooth / mass[classes]),
+        "vectors": (rng.standard_normal((IDS + 1, HIDDEN)) * 0.1).astype(np.float32), "scales": np.ones((len(PLACES), HIDDEN), np.float32),
+        "out": (rng.standard_normal((HIDDEN, OWN + k)) * 0.1).astype(np.float32), "bias": np.log(np.maximum(mass, 0.5) / mass.sum()).astype(np.float32),
+    }
+
+
 def _forward(model: dict, sides: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    hidden = model["tables"][0][sides[0]]
-    for table, at in zip(model["tables"][1:], sides[1:], strict=True):
-        hidden += table[at]
+    hidden = sum(model["vectors"][s] * scale for s, scale in zip(sides, model["scales"], strict=True))
     np.tanh(hidden, out=hidden)
     logits = hidden @ model["out"] + model["bias"]
     logits -= logits.max(1, keepdims=True)
     return hidden, logits
 
 
-def _dealt(model: dict, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each dealt class that is split and occurs, counted from 0, and where it is the target."""
-    if model["inner_out"].shape[2] > 1:
-        order = np.argsort(target, kind="stable")
-        at = np.searchsorted(target[order], np.arange(OWN, CLASSES + 1))
-        for c in np.flatnonzero(np.diff(at)):
-            yield int(c), order[at[c] : at[c + 1]]
-
-
 def log_probabilities(model: dict, ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """log p of every word given its two sides; doc tells which document a word belongs to."""
+    """log p of every identifier given its two sides; doc tells which document a word belongs to."""
     out = np.empty(len(ids))
     sides = _sides(ids, doc)
     for k in range(0, len(ids), BATCH * 4):
         at = slice(k, k + BATCH * 4)
-        hidden, logits = _forward(model, [s[at] for s in sides])
-        target = model["classes"][ids[at]]
-        own = logits[np.arange(len(target)), target]
+        _, logits = _forward(model, [s[at] for s in sides])
+        own = logits[np.arange(len(logits)), model["classes"][ids[at]]]
         out[at] = own - np.log(np.exp(logits).sum(1)) + model["within"][ids[at]]
-        for c, where in _dealt(model, target):
-            inner = hidden[where] @ model["inner_out"][c] + model["inner_bias"][c]
-            inner -= inner.max(1, keepdims=True)
-            out[k + where] += inner[np.arange(len(where)), model["inner"][ids[at][where]]] - np.log(np.exp(inner).sum(1))
     return out
 
 
-def train(model: dict, ids: np.ndarray, doc: np.ndarray) -> None:
-    """One pass of gradient steps over all words, in place."""
+def train(model: dict, ids: np.ndarray, doc: np.ndarray, seen: dict) -> None:
+    """One pass of gradient steps over all words, in place; ``seen`` keeps the squares of earlier gradients, which steps are divided by."""
     sides = _sides(ids, doc)
+
+    def step(name: str, gradient: np.ndarray, at: np.ndarray | slice = slice(None)) -> None:
+        squares = gradient * gradient
+        seen[name][at] += squares.mean(1, keepdims=True) if name == "vectors" else squares
+        model[name][at] -= RATE * gradient / np.sqrt(seen[name][at])
+
     for k in range(0, len(ids), BATCH):
         near = [s[k : k + BATCH] for s in sides]
         hidden, p = _forward(model, near)
         np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
-        n = len(p)
-        target = model["classes"][ids[k : k + BATCH]]
-        p[np.arange(n), target] -= 1
-        back = p @ model["out"].T
-        for c, where in _dealt(model, target):
-            h = hidden[where]
-            q = h @ model["inner_out"][c] + model["inner_bias"][c]
-            q -= q.max(1, keepdims=True)
-            np.exp(q, out=q)
-            q /= q.sum(1, keepdims=True)
-            q[np.arange(len(where)), model["inner"][ids[k : k + BATCH][where]]] -= 1
-            back[where] += q @ model["inner_out"][c].T
-            # few words of a batch are in one class: the step is damped by the root of their share only
-            step = np.float32(RATE / np.sqrt(n * len(where)))
-            model["inner_out"][c] -= step * (h.T @ q)
-            model["inner_bias"][c] -= step * q.sum(0)
-        back *= 1 - hidden * hidden
-        model["out"] -= RATE / n * (hidden.T @ p)
-        model["bias"] -= RATE / n * p.sum(0)
-        # rows of a table: the gradient is summed over a batch, damped for words that fill much of it
-        columns = np.ascontiguousarray(back.T)
-        for table, at in zip(model["tables"], near, strict=True):
-            often = np.bincount(at, minlength=INPUTS + 1)
-            used = np.flatnonzero(often)
-            step = (RATE / np.sqrt(n * np.maximum(often[used], 1))).astype(np.float32) * 4
-            for h in range(HIDDEN):
-                table[used, h] -= step * np.bincount(at, columns[h], INPUTS + 1)[used].astype(np.float32)
-
-
-_NAMES = ("tables", "out", "bias", "inner_out", "inner_bias")
-
-
-def _flat(model: dict) -> np.ndarray:
-    return np.concatenate([model[n].ravel() for n in _NAMES])
-
-
-def _unflat(model: dict, values: np.ndarray) -> dict:
-    out, at = dict(model), 0
-    for n in _NAMES:
-        out[n] = values[at : at + model[n].size].reshape(model[n].shape).astype(np.float32)
-        at += model[n].size
-    return out
+        n = np.float32(len(p))
+        p[np.arange(len(p)), model["classes"][ids[k : k + BATCH]]] -= 1
+        back = p @ model["out"].T * (1 - hidden * hidden)
+        scales = np.stack([(back * model["vectors"][s]).sum(0) for s in near]) / n
+        at, values = np.concatenate(near), np.concatenate([back * scale for scale in model["scales"]])
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        step("vectors", np.add.reduceat(values[order], begins) / n, at[begins])
+        step("scales", scales)
+        step("out", hidden.T @ p / n)
+        step("bias", p.sum(0) / n)
 
 
-def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    each = batch.column("ids").to_pylist()
-    sizes = np.array([len(x) // 2 for x in each], np.int64)
-    return np.frombuffer(b"".join(each), np.uint16).astype(np.int64), np.repeat(np.arange(len(each)), sizes), sizes
+_NAMES = ("vectors", "scales", "out", "bias")
 
 
-def _averaged(pieces: DataFrame) -> DataFrame:
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        words = rows["words"].sum()
-        mean = sum(np.frombuffer(v, np.float32) * (n / words) for v, n in zip(rows["mean"], rows["words"], strict=True))
-        return pd.DataFrame([{"piece": key[0], "part": 0, "words": words, "mean": mean.astype(np.float32).tobytes()}])
-
-    kind = "piece int, part int, words long, mean binary"
-    some = pieces.groupBy("piece", F.pmod("part", F.lit(32)).alias("part")).applyInPandas(add, kind)
-    return some.groupBy("piece").applyInPandas(add, kind)
+def unseen(model: dict) -> dict:
+    return {n: np.full((len(model[n]), 1) if n == "vectors" else model[n].shape, 1e-8, np.float32) for n in _NAMES}
 
 
 def trained(rows: DataFrame, model: dict) -> dict:
-    """The model after ROUNDS rounds, each over the documents that a hash puts into it; rows: ids, dealt to shards."""
+    """The model after ROUNDS rounds, each over the documents that a hash puts into it; rows: encoded(), on a cut frame."""
     for turn in range(ROUNDS):
         now = model
 
         def run(batches: Iterator[pa.RecordBatch], now: dict = now) -> Iterator[pa.RecordBatch]:
             own = now | {n: now[n].copy() for n in _NAMES}
-            words = 0
-            for batch in batches:
-                ids, doc, _ = _words(batch)
-                train(own, ids, doc)
+            words, seen = 0, unseen(now)
+            for ids, doc, _, _ in _cut_batches(batches):
+                train(own, ids, doc, seen)
                 words += len(ids)
             if words:
-                flat = _flat(own)
-                part = TaskContext.get().partitionId()
-                for i in range(0, len(flat), PIECE):
-                    yield pa.RecordBatch.from_arrays([pa.array([i // PIECE], pa.int32()), pa.array([part], pa.int32()), pa.array([words], pa.int64()), pa.array([flat[i : i + PIECE].tobytes()], pa.binary())], names=["piece", "part", "words", "mean"])
+                yield from _pieces(np.concatenate([own[n].ravel() for n in _NAMES]), words)
 
         mine = rows.where(F.pmod(F.xxhash64(F.lit("round"), "ids"), F.lit(ROUNDS)) == turn).select("ids")
-        got = _averaged(mine.mapInArrow(run, "piece int, part int, words long, mean binary")).toPandas().sort_values("piece")
-        if len(got):
-            model = _unflat(model, np.concatenate([np.frombuffer(v, np.float32) for v in got["mean"]]))
+        flat = _folded(mine.mapInArrow(run, _PIECE), np.float32, True)
+        if flat is not None:
+            sizes = np.cumsum([model[n].size for n in _NAMES])
+            model = model | {n: v.reshape(model[n].shape).copy() for n, v in zip(_NAMES, np.split(flat, sizes[:-1]), strict=True)}
     return model
 
 
 def scored(rows: DataFrame, model: dict) -> DataFrame:
-    """(key, doc_id, n_words, log_likelihood, per_word) for every row, of the words' buckets."""
+    """(key, doc_id, n_words, log_likelihood) for every row of encoded(), without what words that the lexicon does not know add."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, doc, sizes = _words(batch)
-            total = np.bincount(doc, log_probabilities(model, ids, doc), len(sizes))
-            mean = [t / n if n else None for t, n in zip(total.tolist(), sizes.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(sizes), pa.array(total), pa.array(mean, pa.float64())], names=["key", "doc_id", "n_words", "log_likelihood", "per_word"])
+        for ids, doc, sizes, part in _cut_batches(batches):
+            total = np.bincount(doc, log_probabilities(model, ids, doc), len(sizes)) + part.column("term").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(sizes), pa.array(total)], names=["key", "doc_id", "n_words", "log_likelihood"])
+
+    return rows.select("key", "doc_id", "ids", "term").mapInArrow(run, "key long, doc_id long, n_words long, log_likelihood double")
+
 
-    return rows.select("key", "doc_id", "ids").mapInArrow(run, "key long, doc_id long, n_words long, log_likelihood double, per_word double")
+def rare_terms(rows: DataFrame, words: DataFrame, least: int) -> DataFrame:
+    """(key, more): the log counts of the words that the lexicon does not know, summed for each document."""
+    some = rows.where(F.size("rare") > 0)
+    found = some.select("key", F.explode("rare").alias("word")).join(words.where(F.col("n") < least), "word").select("key", F.log("n").alias("term"), F.lit(0).alias("copies"))
+    both = found.unionByName(some.select("key", F.lit(0.0).alias("term"), F.lit(1).alias("copies")))
+    return both.groupBy("key").agg((F.sum("term") / F.sum("copies")).alias("more"))
 
 
-def pseudo_likelihoods(docs: DataFrame, shards: int | None = None) -> DataFrame:
+def pseudo_likelihoods(docs: DataFrame, known: int = KNOWN, vocabulary: int = VOCABULARY) -> DataFrame:
     """(doc_id, n_words, log_likelihood, per_word) for every row of ``docs`` (doc_id, text, any other columns), whole texts.
 
     A text without words, or null, has log_likelihood 0 and per_word null, and trains nothing. Repeated rows and
-    rows with a null doc_id are rows like others. Without any words the model stays as it began.
+    rows with a null doc_id are rows like others. Without any words the model stays as it began; an empty table gives no rows.
+    Scores do not depend on how the input or the shuffles are partitioned.
     """
-    spark = docs.sparkSession
-    rows = cut(encoded(docs, shards or int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    counts = bucket_counts(rows)
+    docs = docs.select("doc_id", "text")
     words = cut(word_counts(docs))
-    tasks = -(-int(counts.sum()) // TASK_WORDS)
-    out = scored(rows, trained(rows.coalesce(max(1, tasks)), fresh_model(counts, words=words.count())))
-    whole = out.join(word_terms(docs, rows, words, counts), "key", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("term", F.lit(0.0)))
-    return whole.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("per_word"))
+    lexicon = Lexicon(words, known, vocabulary)
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    rows = cut(encoded(docs, lexicon, max(1, -(-size // TASK_BYTES))))
+    model = trained(rows, fresh_model(lexicon.counts, beside(rows), lexicon.distinct))
+    out = scored(rows, model)
+    if lexicon.distinct > len(lexicon.hashes):
+        out = out.join(rare_terms(rows, words, lexicon.least), "key", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
+    return out.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("per_word"))

@@ -178,7 +178,7 @@ def test_passage_repeated_within_a_text_and_unicode(spark):
     assert f"{passage} end of one.\n{passage}"[a:b].strip() == passage
 
 
-@pytest.mark.parametrize("op", [lambda d: span_dedup.without_repeats(d), lambda d: pii.private_spans(d), lambda d: pii.sanitised(d), lambda d: mixing.mixture(d.withColumnRenamed("spans", "source")), lambda d: mixing.mixed(d.withColumnRenamed("spans", "source")), lambda d: pseudo_lm.pseudo_likelihoods(d, 2)])
+@pytest.mark.parametrize("op", [lambda d: span_dedup.without_repeats(d), lambda d: pii.private_spans(d), lambda d: pii.sanitised(d), lambda d: mixing.mixture(d.withColumnRenamed("spans", "source")), lambda d: mixing.mixed(d.withColumnRenamed("spans", "source")), lambda d: pseudo_lm.pseudo_likelihoods(d)])
 def test_odd_and_empty_tables(spark, op):
     rows = op(frame(spark, ODD)).collect()
     assert len(rows) >= 1 and {r["doc_id"] for r in rows} >= {4, 5, 6, 7}
@@ -254,28 +254,108 @@ def test_splitting_tree_deals_every_draw_once(spark):
     assert max(each) - min(each) <= 1
 
 
-def test_pseudo_likelihood_matches_loops_and_learns(spark):
-    rng = random.Random(10)
-    text = lambda: " ".join(rng.choice(["red house", "blue river", "old tree", "cold wind"]) for _ in range(60))
-    docs = [(i, text()) for i in range(120)]
-    rows = pseudo_lm.encoded(frame(spark, docs), 2)
-    counts = pseudo_lm.bucket_counts(rows)
-    assert counts.sum() == sum(len(t.split()) for _, t in docs)
-    start = pseudo_lm.fresh_model(counts)
-    model = pseudo_lm.trained(rows, start)
-    mean = lambda m: np.mean([r["per_word"] for r in pseudo_lm.scored(rows, m).collect()])
-    assert mean(model) > mean(start) + 0.02
+def hash_of(word):
+    return int(words.word_hashes(np.frombuffer(word.encode(), np.uint8), np.array([0]), np.array([len(word)]))[0])
+
+
+def two_tongues(n=300, seed=10):
+    """Texts in two made-up languages with words of their own, and what a plain count of words says of each text."""
+    rng = random.Random(seed)
+    tongues = [[f"{c}{i}" for i in range(200)] for c in "ab"]
+    docs = [(i, " ".join(rng.choices(tongues[i % 2], [1 / (k + 1) for k in range(200)], k=rng.randrange(60, 90)))) for i in range(n)]
+    counts = {}
+    for _, t in docs:
+        for w in t.split():
+            counts[w] = counts.get(w, 0) + 1
+    total = sum(counts.values())
+    return docs, {i: sum(np.log(counts[w] / total) for w in t.split()) for i, t in docs}
+
+
+def parts_of(spark, docs, *options):
+    counted = pseudo_lm.cut(pseudo_lm.word_counts(frame(spark, docs)))
+    lexicon = pseudo_lm.Lexicon(counted, *options)
+    rows = pseudo_lm.cut(pseudo_lm.encoded(frame(spark, docs), lexicon, 2))
+    return counted, lexicon, rows
+
+
+def test_pseudo_likelihood_matches_loops(spark):
+    docs, _ = two_tongues(60)
+    _, lexicon, rows = parts_of(spark, docs)
+    assert lexicon.counts.sum() == sum(len(t.split()) for _, t in docs)
+    near = pseudo_lm.beside(rows)
+    signs, want = pseudo_lm._signs().astype(int), np.zeros_like(near)
+    id_of = lambda w: int(lexicon.look_up(np.array([hash_of(w)], np.uint64))[0][0])
+    for _, t in docs:
+        ids = [id_of(w) for w in t.split()]
+        for k, own in enumerate(ids):
+            want[own] += sum(signs[ids[k + d]] for d in pseudo_lm.PLACES if 0 <= k + d < len(ids))
+    assert (near == want).all()
+    model = pseudo_lm.trained(rows, pseudo_lm.fresh_model(lexicon.counts, near, lexicon.distinct))
     got = {r["doc_id"]: r["log_likelihood"] for r in pseudo_lm.scored(rows, model).collect()}
     for i, t in docs[:3]:
-        ids = [int(words.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] >> np.uint64(48)) for w in t.split()]
+        ids = [id_of(w) for w in t.split()]
         total = 0.0
         for k, own in enumerate(ids):
-            h = sum(model["tables"][p][ids[k + d] >> 4 if 0 <= k + d < len(ids) else pseudo_lm.INPUTS].astype(float) for p, d in enumerate(pseudo_lm.PLACES))
+            h = sum(model["scales"][p].astype(float) * model["vectors"][ids[k + d] if 0 <= k + d < len(ids) else pseudo_lm.IDS] for p, d in enumerate(pseudo_lm.PLACES))
             z = np.tanh(h) @ model["out"] + model["bias"]
-            total += z[model["classes"][own]] - np.log(np.exp(z).sum()) + model["within"][own]
+            total += z[model["classes"][own]] - np.log(np.exp(z).sum()) + model["within"][own] + np.log(lexicon.counts[own] / (lexicon.counts[own] + 0.5))
         assert got[i] == pytest.approx(total, rel=1e-4)
 
 
+def test_pseudo_likelihood_gains_over_counts_of_words(spark):
+    docs, unigram = two_tongues(2400)
+    rows = {r["doc_id"]: r for r in pseudo_lm.pseudo_likelihoods(frame(spark, docs)).collect()}
+    total = sum(r["n_words"] for r in rows.values())
+    # to know the language from both sides is worth log 2 = 0.69 a word
+    assert sum(rows[i]["log_likelihood"] - unigram[i] for i, _ in docs) / total > 0.4
+    # where the two are mixed word by word, the sides say little, so a text gains less than any other
+    mixed = [(0, " ".join(w for pair in zip(docs[0][1].split(), docs[1][1].split(), strict=False) for w in pair))]
+    again = {r["doc_id"]: r for r in pseudo_lm.pseudo_likelihoods(frame(spark, docs[2:] + mixed)).collect()}
+    counts = {}
+    for w in " ".join(t for _, t in docs).split():
+        counts[w] = counts.get(w, 0) + 1
+    own = sum(np.log(counts[w] / total) for w in mixed[0][1].split())
+    assert (again[0]["log_likelihood"] - own) / again[0]["n_words"] < min((again[i]["log_likelihood"] - unigram[i]) / again[i]["n_words"] for i in range(2, 2400))
+
+
+def test_pseudo_likelihood_does_not_depend_on_partitions(spark):
+    docs, _ = two_tongues(80)
+    found = []
+    for n in ("2", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sorted(map(str, pseudo_lm.pseudo_likelihoods(frame(spark, docs).repartition(int(n))).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1]
+
+
+def test_probabilities_of_all_identifiers_add_up_to_one():
+    rng = np.random.default_rng(3)
+    counts = rng.zipf(1.3, pseudo_lm.IDS).clip(0, 100_000)
+    few, many = (pseudo_lm.fresh_model(counts, rng.standard_normal((pseudo_lm.IDS, pseudo_lm.BESIDE)), n) for n in (4_000, 4_000_000))
+    assert pseudo_lm.OWN < few["out"].shape[1] < many["out"].shape[1]
+    ids = rng.choice(pseudo_lm.IDS, 20_000, p=counts / counts.sum())
+    before = pseudo_lm.log_probabilities(few, ids, np.zeros(len(ids), int)).mean()
+    pseudo_lm.train(few, ids, np.zeros(len(ids), int), pseudo_lm.unseen(few))
+    assert pseudo_lm.log_probabilities(few, ids, np.zeros(len(ids), int)).mean() > before
+    sides = np.array([7, 8, 0, 9, 10])
+    total = 0.0
+    for part in np.array_split(np.arange(pseudo_lm.IDS), 8):
+        tried = np.tile(sides, (len(part), 1))
+        tried[:, 2] = part
+        total += np.exp(pseudo_lm.log_probabilities(few, tried.ravel(), np.repeat(np.arange(len(part)), 5))[2::5]).sum()
+    assert total == pytest.approx(1, rel=1e-3)
+
+
+def test_rare_words_keep_a_probability_of_their_own(spark):
+    junk, river = "qq", "river"
+    docs = [(i, "the is wide " * 20 + (river if i else "")) for i in range(50)] + [(90, f"the {junk} is wide"), (91, f"the {river} is wide"), (91, f"the {river} is wide")]
+    held = {r["doc_id"]: r["log_likelihood"] for r in pseudo_lm.pseudo_likelihoods(frame(spark, docs), vocabulary=3).collect()}
+    joined = {r["doc_id"]: r["log_likelihood"] for r in pseudo_lm.pseudo_likelihoods(frame(spark, docs), known=3, vocabulary=3).collect()}
+    assert joined == pytest.approx(held) and held[91] > held[90]
+    counted, lexicon, _ = parts_of(spark, docs, 3, 3)
+    assert len(lexicon.hashes) == 3 and lexicon.distinct == 5 and lexicon.counts[3:].sum() == 52
+
+
 @given(st.lists(st.text(alphabet="aB é\t\n\x0b.x", max_size=30), max_size=6), st.integers(1, 4))
 def test_shingles_are_those_of_words(texts, k):
     import pyarrow as pa
@@ -292,37 +372,3 @@ def test_shingles_are_those_of_words(texts, k):
 
 def test_words_are_split_as_told():
     assert re.findall(r"[^\x20\x09-\x0D]+", "a\x1cb c\xa0d") == brute.words("a\x1cb c\xa0d")
-
-
-def test_pseudo_likelihood_tells_apart_words_of_one_bucket(spark):
-    hash_of = lambda w: int(words.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0])
-    bucket = hash_of("river") >> 48
-    junk = next(w for w in (f"q{i}" for i in range(10_000_000)) if hash_of(w) >> 48 == bucket)
-    docs = [(i, "the river is wide " * 20) for i in range(50)] + [(90, f"the {junk} is wide"), (91, "the river is wide"), (91, "the river is wide")]
-    got = {r["doc_id"]: r["log_likelihood"] for r in pseudo_lm.pseudo_likelihoods(frame(spark, docs), 2).collect()}
-    # same buckets and sides; only the count of the word itself differs
-    assert got[91] - got[90] == pytest.approx(np.log(50 * 20 + 2), rel=1e-9)
-    rows = pseudo_lm.encoded(frame(spark, docs), 2)
-    counts, table = pseudo_lm.bucket_counts(rows), pseudo_lm.word_counts(frame(spark, docs))
-    held = {r["key"]: r["term"] for r in pseudo_lm.word_terms(frame(spark, docs), rows, table, counts).collect()}
-    joined = {r["key"]: r["term"] for r in pseudo_lm.word_terms(frame(spark, docs), rows, table, counts, known=1).collect()}
-    assert joined == pytest.approx(held) and len(held) == 52
-
-
-def test_pseudo_likelihood_subclasses_grow_and_add_up():
-    rng = np.random.default_rng(3)
-    counts = rng.zipf(1.3, pseudo_lm.WORDS).clip(0, 100_000)
-    few, many = pseudo_lm.fresh_model(counts, words=400_000), pseudo_lm.fresh_model(counts, words=40_000_000)
-    assert 1 < few["inner_out"].shape[2] < many["inner_out"].shape[2]
-    ids = rng.choice(pseudo_lm.WORDS, 20_000, p=counts / counts.sum())
-    before = pseudo_lm.log_probabilities(few, ids, np.zeros(len(ids), int)).mean()
-    pseudo_lm.train(few, ids, np.zeros(len(ids), int))
-    assert pseudo_lm.log_probabilities(few, ids, np.zeros(len(ids), int)).mean() > before
-    # the probabilities of all buckets at one place add up to 1
-    sides = np.array([7, 8, 0, 9, 10])
-    total = 0.0
-    for part in np.array_split(np.arange(pseudo_lm.WORDS), 8):
-        tried = np.tile(sides, (len(part), 1))
-        tried[:, 2] = part
-        total += np.exp(pseudo_lm.log_probabilities(few, tried.ravel(), np.repeat(np.arange(len(part)), 5))[2::5]).sum()
-    assert total == pytest.approx(1, rel=1e-3)
