@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,32 @@ def indent_of(line: str) -> int:
     return len(_INDENT.match(line)[0].replace("\t", "    "))
 
 
+class _Outline:
+    """The structure of a source as arrays over its lines: nesting once a line has closed what it closes, what it opens, and indents (-1 on blank lines)."""
+
+    def __init__(self, source: str) -> None:
+        lines = structural_view(source).split("\n")
+        opened, self.closed = np.array([net_braces(line) for line in lines], np.int64).reshape(-1, 2).T
+        self.depth = np.cumsum(opened - self.closed) - opened
+        self.indent = np.array([indent_of(line) if line.strip(_STRIP) else -1 for line in lines], np.int64)
+        shown = np.flatnonzero(self.indent >= 0)
+        deeper = np.zeros(len(lines), bool)
+        deeper[shown[:-1]] = np.diff(self.indent[shown]) > 0
+        announced = np.array([line.rstrip(_STRIP).endswith((":", "-")) for line in lines], bool)
+        self.by_brace = (opened > 0) & (self.indent >= 0)
+        self.by_indent = ~self.by_brace & deeper & announced
+        self.inside = self.depth + opened
+        self.size = len(lines)
+
+    def natural_ends(self, line: int) -> np.ndarray:
+        """The moments at which the block that begins on ``line`` may end, ordered: 2 * line for a closing brace, 2 * line + 1 for an indent."""
+        after = np.arange(line + 1, self.size)
+        if self.by_brace[line]:
+            return 2 * after[(self.closed[after] > 0) & (self.depth[after] < self.inside[line])]
+        after = after[1:]  # a body has a line at least
+        return 2 * after[(self.indent[after] >= 0) & (self.indent[after] <= self.indent[line]) & (self.depth[after] == self.depth[line])] + 1
+
+
 def extents(source: str) -> list[tuple[int, int]]:
     """(first, last) line, from 1, of every block in the order in which blocks end.
 
@@ -37,28 +64,27 @@ def extents(source: str) -> list[tuple[int, int]]:
     inside it. A line that ends in : or - and is followed by a deeper one starts a block that lasts until a line
     at its depth is indented no deeper. The innermost block ends first, so one that does not end holds
     back those around it; what is open at the end of the file ends there.
+
+    When a block ends depends on it and on the blocks that begin within it, so blocks are settled from the last to the first:
+    each takes the first of its natural ends at which none that began after it is open.
     """
-    lines = structural_view(source).split("\n")
-    shown = [i for i, line in enumerate(lines) if line.strip(_STRIP)]
-    follower = dict(zip(shown, shown[1:], strict=False))
-    done: list[tuple[int, int]] = []
-    stack: list[tuple[str, int, int, int]] = []  # kind, first line, depth, indent
-    depth = 0
-    for i, line in enumerate(lines):
-        opened, closed = net_braces(line)
-        depth -= closed
-        while closed and stack and stack[-1][0] == "brace" and stack[-1][2] > depth:
-            done.append((stack.pop()[1], i + 1))
-        if i in follower or (shown and i == shown[-1]):
-            indent = indent_of(line)
-            while stack and stack[-1][0] == "indent" and stack[-1][2] == depth and indent <= stack[-1][3] and stack[-1][1] < i:
-                done.append((stack.pop()[1], i))
-            if opened:
-                stack.append(("brace", i + 1, depth + opened, indent))
-            elif line.rstrip(_STRIP).endswith((":", "-")) and i in follower and indent_of(lines[follower[i]]) > indent:
-                stack.append(("indent", i + 1, depth, indent))
-        depth += opened
-    return done + [(block[1], len(lines)) for block in reversed(stack)]
+    outline = _Outline(source)
+    starts = np.flatnonzero(outline.by_brace | outline.by_indent)
+    never = 2 * outline.size
+    ends = np.full(len(starts), never)
+    for k in range(len(starts) - 1, -1, -1):
+        moments = outline.natural_ends(int(starts[k]))
+        inner, at = k + 1, 0  # the next block within that is not known to have ended, and the next moment
+        while at < len(moments):
+            if inner >= len(starts) or moments[at] <= 2 * starts[inner] + 1:
+                ends[k] = moments[at]
+                break
+            # nothing can end before that block has; a brace that ends with an indent waits for the next line, which its moments see to
+            at = int(np.searchsorted(moments, ends[inner]))
+            inner = int(np.searchsorted(2 * starts + 1, ends[inner]))
+    order = np.lexsort((-starts, ends))
+    lasts = np.where(ends == never, outline.size, ends // 2 + 1 - ends % 2)
+    return [(int(starts[k]) + 1, int(lasts[k])) for k in order]
 
 
 def normalized(text: str) -> str:

@@ -4,6 +4,8 @@ import json
 import os
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from copysift.config import Query, Settings, load_config, merged
 from copysift.functions.report import to_yaml
@@ -52,6 +54,12 @@ def test_yaml():
     assert to_yaml([]) == "[]" and to_yaml(float("inf")) == '"Infinity"'
 
 
+@given(st.recursive(st.none() | st.booleans() | st.integers(-(2**70), 2**70) | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=12) | st.sampled_from(["2024-01-01", ".inf", ".nan", "y", "N", "<<", "=", "~", "1_000", "0x1f", "1e3", "12:30:45", "2001-12-14t21:59:43.10-05:00", "a: b", "a #b", "a:", "-", "? x", "\u0085", "\u2028", "é😀", "No", "off", "+.5", "0b1"]), lambda v: st.lists(v, max_size=4) | st.dictionaries(st.text(max_size=6), v, max_size=4), max_leaves=12))
+def test_yaml_is_read_back(value):
+    yaml = pytest.importorskip("yaml")
+    assert yaml.safe_load(to_yaml(value)) == value
+
+
 def test_listing(spark, tmp_path):
     root = project(tmp_path, {"a/__init__.py": "", "a/_x.ts": "", ".eslintrc.js": "", "dist/y.js": "", ".hidden/z.js": "", "lib/own/.git/HEAD": "", "lib/own/q.ts": "", "r.txt": "", "s.min.js": ""})
     rows = listing(spark, root, Settings()).collect()
