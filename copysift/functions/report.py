@@ -8,13 +8,13 @@ import re
 from collections.abc import Iterator
 from typing import Any
 
-_CHAR = r"[^\s:#\x00-\x1f\x7f-\x9f﻿\ud800-\udfff￾￿]"
+_CHAR = r"[^\s:#\x00-\x1f\x7f-\x9f\ufeff\ud800-\udfff\ufffe\uffff]"
 #: Text that may stand without quotes: YAML's production of plain scalars, narrowed to those that begin with a letter, _ or /.
 #: No number, date, infinity, merge key or indicator begins so; what is left are the words of the boolean and null types.
 _PLAIN = re.compile(rf"[A-Za-z_/](?:{_CHAR}|:(?={_CHAR})|(?<!\s)\#|\x20(?=[^\s#]))*")
 _WORDS = frozenset("y n yes no on off true false null".split())
 #: Characters that JSON leaves as they are and YAML takes for line breaks, or does not allow.
-_ESCAPED = re.compile(r"[\x7f-\x9f  ﻿\ud800-\udfff￾￿]")
+_ESCAPED = re.compile(r"[\x7f-\x9f\u2028\u2029\ufeff\ud800-\udfff\ufffe\uffff]")
 
 
 def _text(text: str) -> str:
