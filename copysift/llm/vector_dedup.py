@@ -1,14 +1,16 @@
 """Near-duplicate vectors by int8 tile products with a rigorous error bound and exact recomputation.
 
-Equal vectors of a label are folded into one first. The rest of a label is dealt into tiles of a bounded
-number of vectors, and every pair of tiles is one row of a join on the tile, so a label with a third of all
-vectors becomes many equal tasks. In a task, unit vectors are held as scale * int8 with the length of the
-rounding error; integer products are exact in single precision, and
+Equal vectors of a label are folded into one first. The rest of a label is dealt into tiles of a bounded number of vectors, by
+the side of the label's mean on which they lie along the axes that vary most, so that a tile holds neighbours. A tile knows the
+box around its vectors; two tiles whose boxes are farther apart than vectors with the least cosine can be hold no link and
+are not multiplied. A label with a third of all vectors becomes many equal tasks. In a task, unit vectors are held
+as scale * int8 with the length of the rounding error; integer products are exact in single precision, and
 
     |x.y - x'.y'| <= |ex| |y'| + |x'| |ey| + |ex| |ey|
 
-for quantised x' and y', so a pair below the threshold by more than that is dismissed without loss. Only the
-others are computed again in double precision. A task returns one row for each linked vector (how many it is
+for quantised x' and y', so a pair below the threshold by more than that is dismissed without loss. Only int8 values, scales and
+errors are shuffled to all pairs of tiles; the vectors themselves go to those pairs where some product may reach the threshold, and
+only these products are computed again in double precision. A task returns one row for each linked vector (how many it is
 linked with in the pair of tiles, and the smallest vector it reaches there), never one for each link.
 """
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copysift.llm.components import components
-from copysift.llm.frames import cut
+from copysift.llm.frames import cut, within_bytes
 
 TILE = 1024
 #: Pairs recomputed at once in double precision.
@@ -71,48 +73,108 @@ def smallest_reached(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarra
             return out
 
 
+#: Axes that vectors are dealt by at most; a tile that is still too large is dealt by a hash.
+AXES = 20
+
+
+def _axes(vectors: DataFrame, tile: int) -> DataFrame:
+    """(label, dim, axes, middle): for each label the axes along which its unit vectors vary most, as many as halvings make tiles, and the mean there."""
+    kind = "label long, dim int, n long, sums binary, squares binary"
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+        for frame in frames:
+            for key, rows in frame.groupby(["label", "dim"]):
+                x = np.array(rows["embedding"].tolist(), np.float64)
+                x /= np.sqrt((x * x).sum(1))[:, None]
+                old = held.setdefault(key, [0, 0.0, 0.0])
+                held[key] = [old[0] + len(x), old[1] + x.sum(0), old[2] + (x * x).sum(0)]
+        if held:
+            yield pd.DataFrame([(*key, n, s.tobytes(), q.tobytes()) for key, (n, s, q) in held.items()], columns=["label", "dim", "n", "sums", "squares"])
+
+    def choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        n = int(rows["n"].sum())
+        sums, squares = (sum(np.frombuffer(v) for v in rows[c]) for c in ("sums", "squares"))
+        axes = np.argsort(-(squares / n - (sums / n) ** 2), kind="stable")[: min(AXES, max(0, int(np.ceil(np.log2(n / tile)))))]
+        return pd.DataFrame([{"label": key[0], "dim": key[1], "axes": axes.tolist(), "middle": (sums / n)[axes].tolist()}])
+
+    return vectors.select("label", "dim", "embedding").mapInPandas(add, kind).groupBy("label", "dim").applyInPandas(choose, "label long, dim int, axes array<int>, middle array<double>")
+
+
 def _packed(vectors: DataFrame, tile: int) -> DataFrame:
-    """One row for each tile: its ids, multiplicities, vectors and their quantised form as bytes."""
-    tiles = vectors.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(tile)).alias("tiles"))
-    dealt = vectors.join(tiles, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("node", "embedding"), "tiles").cast("int"))
+    """One row for each tile: its ids, multiplicities, vectors and their quantised form as bytes, and the box around its unit vectors."""
+    axes = within_bytes(cut(_axes(vectors, tile)), 64 + 12 * F.size("axes"))
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    sides = F.zip_with("axes", "middle", lambda a, m: (F.element_at("embedding", a + 1) / F.col("length") > m).cast("long"))
+    dealt = vectors.withColumn("length", length).join(axes, ["label", "dim"]).withColumn("side", F.aggregate(sides, F.lit(0).cast("long"), lambda s, x: s * 2 + x)).drop("axes", "middle", "length")
+    sizes = dealt.groupBy("label", "dim", "side").agg(F.ceil(F.count("*") / F.lit(tile)).alias("parts"))
+    dealt = dealt.join(within_bytes(cut(sizes), F.lit(48)), ["label", "dim", "side"]).withColumn("part", F.pmod(F.xxhash64("node", "embedding"), "parts"))
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = np.array(rows["embedding"].tolist(), np.float64)
-        q, s, e = quantise(x / np.sqrt((x * x).sum(1))[:, None])
-        one = {"label": key[0], "dim": key[1], "tile": key[2], "tiles": rows["tiles"].iloc[0]}
+        unit = x / np.sqrt((x * x).sum(1))[:, None]
+        q, s, e = quantise(unit)
+        one = {"label": key[0], "dim": key[1], "tile": f"{key[2]}:{key[3]}", "low": unit.min(0), "high": unit.max(0)}
         one |= {"ids": rows["node"].to_numpy(np.int64).tobytes(), "copies": rows["copies"].to_numpy(np.int64).tobytes(), "x": x.tobytes(), "q": q.tobytes(), "s": s.tobytes(), "e": e.tobytes()}
         return pd.DataFrame([one])
 
-    return dealt.groupBy("label", "dim", "tile").applyInPandas(pack, "label long, dim int, tile int, tiles long, ids binary, copies binary, x binary, q binary, s binary, e binary")
+    return dealt.groupBy("label", "dim", "side", "part").applyInPandas(pack, "label long, dim int, tile string, low array<double>, high array<double>, ids binary, copies binary, x binary, q binary, s binary, e binary")
+
+
+def _near_tiles(blocks: DataFrame, least: float) -> DataFrame:
+    """(label, dim, t1, t2): the pairs of tiles of a label whose boxes are near enough for a link.
+
+    Unit vectors with a cosine of ``least`` are sqrt(2 - 2 least) apart, no closer than the boxes around them.
+    """
+    boxes = cut(blocks.select("label", "dim", "tile", "low", "high"))
+    one, two = boxes.toDF("label", "dim", "t1", "low1", "high1"), boxes.toDF("label", "dim", "t2", "low2", "high2")
+    gap = lambda a, b: F.zip_with(a, b, lambda low, high: F.greatest(F.lit(0.0), low - high))
+    apart = F.zip_with(gap("low1", "high2"), gap("low2", "high1"), lambda x, y: F.greatest(x, y))
+    squared = F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x)
+    return one.join(two, ["label", "dim"]).where((F.col("t1") <= F.col("t2")) & (squared <= 2 - 2 * least + 1e-9)).select("label", "dim", "t1", "t2")
 
 
 def tile_links(vectors: DataFrame, least: float, tile: int = TILE) -> DataFrame:
     """(node, links, root) for every pair of tiles in which the vector ``node`` is linked; vectors: node, label, dim, embedding, copies."""
     blocks = cut(_packed(vectors, tile))
-    pairs = blocks.select("label", "dim", F.col("tile").alias("t1"), F.explode(F.sequence(F.col("tile"), (F.col("tiles") - 1).cast("int"))).alias("t2"))
-    names = ("ids", "copies", "x", "q", "s", "e")
+    pairs = cut(_near_tiles(blocks, least))
+
+    def both(pairs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+        def side(k: int) -> DataFrame:
+            return blocks.select("label", "dim", F.col("tile").alias(f"t{k}"), *(F.col(c).alias(f"{c}{k}") for c in names))
 
-    def side(k: int) -> DataFrame:
-        return blocks.select("label", "dim", F.col("tile").alias(f"t{k}"), *(F.col(c).alias(f"{c}{k}") for c in names))
+        return pairs.join(side(1), ["label", "dim", "t1"]).join(side(2), ["label", "dim", "t2"])
 
-    def opened(row, k: int) -> tuple:
-        d, ids = row.dim, np.frombuffer(getattr(row, f"ids{k}"), np.int64)
-        read = lambda c, kind: np.frombuffer(getattr(row, f"{c}{k}"), kind)
-        return ids, read("copies", np.int64), read("x", np.float64).reshape(len(ids), d), (read("q", np.int8).reshape(len(ids), d), read("s", np.float64), read("e", np.float64))
+    def read(row, name: str, kind: type) -> np.ndarray:
+        return np.frombuffer(getattr(row, name), kind)
+
+    def quantised(row, k: int) -> tuple:
+        s = read(row, f"s{k}", np.float64)
+        return read(row, f"q{k}", np.int8).reshape(len(s), row.dim), s, read(row, f"e{k}", np.float64)
+
+    def possible(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keep = []
+            for row in frame.itertuples():
+                i, j = possible_pairs(quantised(row, 1), quantised(row, 2), least)
+                keep.append(bool((i < j).any() if row.t1 == row.t2 else len(i)))
+            yield frame.loc[keep, ["label", "dim", "t1", "t2"]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                (ids1, n1, x1, q1), (ids2, n2, x2, q2) = opened(row, 1), opened(row, 2)
-                i, j = linked(x1, x2, q1, q2, least, row.t1 == row.t2)
+                ids1, ids2 = (read(row, f"ids{k}", np.int64) for k in (1, 2))
+                n1, n2 = (read(row, f"copies{k}", np.int64) for k in (1, 2))
+                x1, x2 = (read(row, f"x{k}", np.float64).reshape(-1, row.dim) for k in (1, 2))
+                i, j = linked(x1, x2, quantised(row, 1), quantised(row, 2), least, row.t1 == row.t2)
                 if len(i):
                     ids = np.concatenate([ids1, ids2])
                     links = np.bincount(i, n2[j], len(ids)) + np.bincount(j + len(ids1), n1[i], len(ids))
                     root = smallest_reached(ids, i, j + len(ids1))
                     yield pd.DataFrame({"node": ids, "links": links.astype(np.int64), "root": root})[links > 0]
 
-    both = pairs.join(side(1), ["label", "dim", "t1"]).join(side(2), ["label", "dim", "t2"])
-    return both.mapInPandas(run, "node long, links long, root long")
+    some = cut(both(pairs, ("q", "s", "e")).mapInPandas(possible, "label long, dim int, t1 string, t2 string"))
+    return both(some, ("ids", "copies", "x", "q", "s", "e")).mapInPandas(run, "node long, links long, root long")
 
 
 def near_duplicate_vectors(rows: DataFrame, least: float = 0.98, tile: int = TILE) -> DataFrame:
