@@ -30,10 +30,13 @@ from pyspark.sql import functions as F
 from copysift.llm.frames import cut
 from copysift.llm.words import U64, buffers, mix, portions, word_hashes, word_spans
 
-IDS, VOCABULARY, RARE = 1 << 16, 15 << 12, 1 << 12
+#: Identifiers are 16 bits: frequent words, buckets of the others, and the last one for no word.
+VOCABULARY, RARE = (15 << 12) - 1, 1 << 12
+NONE = VOCABULARY + RARE
+IDS = NONE + 1
 OWN, HIDDEN, BESIDE = 16, 16, 16
 PLACES = (-2, -1, 1, 2)
-ROUNDS, BATCH, RATE = 2, 4096, 0.1
+ROUNDS, BATCH, RATE = 2, 8192, 0.12
 #: Most frequent words whose counts tasks hold (a few MB), so that a join by word has no hot key.
 KNOWN = 1 << 19
 #: Bytes of text that one task trains on, so that what models take in a shuffle stays a small share of the input.
@@ -120,21 +123,23 @@ def encoded(docs: DataFrame, lexicon: Lexicon, shards: int) -> DataFrame:
 
 
 def _sides(ids: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
-    """For each place, the identifier of the word there; IDS where the document has none."""
+    """For each place, the identifier of the word there; NONE where the document has none."""
     found = []
     for d in PLACES:
-        out = np.full(len(ids), IDS, np.int64)
+        out = np.full(len(ids), NONE, np.uint16)
         a, b = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
         if len(ids) > abs(d):
-            out[a] = np.where(doc[a] == doc[b], ids[b], IDS)
+            out[a] = np.where(doc[a] == doc[b], ids[b], NONE)
         found.append(out)
     return found
 
 
 def _signs() -> np.ndarray:
-    """For each identifier BESIDE signs (+1 or -1) from a hash of it; zeros for no word."""
+    """For each identifier BESIDE signs (+1 or -1) from a hash of it; zeros for NONE."""
     bits = mix(np.arange(1, IDS + 1, dtype=U64))[:, None] >> np.arange(BESIDE, dtype=U64) & U64(1)
-    return np.concatenate([bits.astype(np.int8) * 2 - 1, np.zeros((1, BESIDE), np.int8)])
+    signs = bits.astype(np.int8) * 2 - 1
+    signs[NONE] = 0
+    return signs
 
 
 def _pieces(values: np.ndarray, words: int) -> Iterator[pa.RecordBatch]:
@@ -146,24 +151,29 @@ def _pieces(values: np.ndarray, words: int) -> Iterator[pa.RecordBatch]:
 _PIECE = "piece int, part int, words long, value binary"
 
 
-def _folded(pieces: DataFrame, kind: type, mean: bool) -> np.ndarray | None:
+def _folded(pieces: DataFrame, sent: type, mean: bool) -> np.ndarray | None:
     """The sum of what tasks sent, or its mean by words, added in two levels and in the order of the tasks; None if there is nothing."""
+    kind = sent if mean else np.int64
 
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("part")
-        words = int(rows["words"].sum())
-        total = sum(np.frombuffer(v, kind) * (n / words if mean else 1) for v, n in zip(rows["value"], rows["words"], strict=True))
-        return pd.DataFrame([{"piece": key[0], "part": int(key[1]) if len(key) > 1 else 0, "words": words, "value": total.astype(kind).tobytes()}])
+    def added(read: type):
+        def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("part")
+            words, total = int(rows["words"].sum()), 0
+            for value, n in zip(rows["value"], rows["words"], strict=True):
+                total = total + np.frombuffer(value, read) * (n / words if mean else np.int64(1))
+            return pd.DataFrame([{"piece": key[0], "part": int(key[1]) if len(key) > 1 else 0, "words": words, "value": total.astype(kind).tobytes()}])
 
-    some = pieces.groupBy("piece", F.pmod("part", F.lit(32)).alias("at")).applyInPandas(add, _PIECE)
-    got = some.groupBy("piece").applyInPandas(add, _PIECE).toPandas().sort_values("piece")
+        return add
+
+    some = pieces.groupBy("piece", F.pmod("part", F.lit(32)).alias("at")).applyInPandas(added(sent), _PIECE)
+    got = some.groupBy("piece").applyInPandas(added(kind), _PIECE).toPandas().sort_values("piece")
     return np.concatenate([np.frombuffer(v, kind) for v in got["value"]]) if len(got) else None
 
 
 def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     each = batch.column("ids").to_pylist()
     sizes = np.array([len(x) // 2 for x in each], np.int64)
-    return np.frombuffer(b"".join(each), np.uint16).astype(np.int64), np.repeat(np.arange(len(each)), sizes), sizes
+    return np.frombuffer(b"".join(each), np.uint16), np.repeat(np.arange(len(each)), sizes), sizes
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
@@ -184,9 +194,9 @@ def beside(rows: DataFrame) -> np.ndarray:
                 total[k] += np.bincount(ids, near[:, k], IDS)
             words += len(ids)
         if words:
-            yield from _pieces(total.ravel().astype(np.int64), words)
+            yield from _pieces(total.ravel().astype(np.int32), words)
 
-    total = _folded(rows.select("ids").mapInArrow(run, _PIECE), np.int64, False)
+    total = _folded(rows.select("ids").mapInArrow(run, _PIECE), np.int32, False)
     return np.zeros((IDS, BESIDE)) if total is None else total.reshape(BESIDE, IDS).T.astype(np.float64)
 
 
@@ -207,13 +217,13 @@ def fresh_model(counts: np.ndarray, near: np.ndarray, distinct: int, seed: int =
     smooth = counts + 0.5
     mean = near / (counts[:, None] + 5.0)  # what is seen a few times only is drawn to the middle
     points = mean - (near.sum(0) / smooth.sum())[None, :] * (counts / (counts + 5.0))[:, None]
-    k = max(8, math.ceil(distinct**0.3))
+    k = max(8, math.ceil(distinct**0.27))
     classes = np.concatenate([np.arange(OWN), OWN + clusters(points[OWN:], smooth[OWN:], k)])
     mass = np.bincount(classes, smooth, OWN + k)
     rng = np.random.default_rng(seed)
     return {
         "classes": classes.astype(np.uint16), "within": np.log(smooth / mass[classes]),
-        "vectors": (rng.standard_normal((IDS + 1, HIDDEN)) * 0.1).astype(np.float32), "scales": np.ones((len(PLACES), HIDDEN), np.float32),
+        "vectors": (rng.standard_normal((IDS, HIDDEN)) * 0.1).astype(np.float32), "scales": np.ones((len(PLACES), HIDDEN), np.float32),
         "out": (rng.standard_normal((HIDDEN, OWN + k)) * 0.1).astype(np.float32), "bias": np.log(np.maximum(mass, 0.5) / mass.sum()).astype(np.float32),
     }
 
@@ -325,8 +335,9 @@ def pseudo_likelihoods(docs: DataFrame, known: int = KNOWN, vocabulary: int = VO
     words = cut(word_counts(docs))
     lexicon = Lexicon(words, known, vocabulary)
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    rows = cut(encoded(docs, lexicon, max(1, -(-size // TASK_BYTES))))
-    model = trained(rows, fresh_model(lexicon.counts, beside(rows), lexicon.distinct))
+    shards = max(1, -(-size // TASK_BYTES))
+    rows = cut(encoded(docs, lexicon, shards))
+    model = trained(rows.coalesce(shards), fresh_model(lexicon.counts, beside(rows.coalesce(shards)), lexicon.distinct))
     out = scored(rows, model)
     if lexicon.distinct > len(lexicon.hashes):
         out = out.join(rare_terms(rows, words, lexicon.least), "key", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
