@@ -217,8 +217,8 @@ def test_mixture_meets_targets(spark):
     rng = random.Random(9)
     docs = [(i, " ".join("w" for _ in range(rng.randrange(0, 50))), rng.choice(["b", "a", "c", None, "é"]), 1) for i in range(600)] + [(i, "w " * 9000, "huge", 1) for i in range(600, 603)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string, size int")
-    rows = mixing.mixture(df, blocks=16, shards=4).collect()
-    again = mixing.mixture(df.repartition(7), blocks=16, shards=4).collect()
+    rows = mixing.mixture(df, shards=4).collect()
+    again = mixing.mixture(df.repartition(7), shards=4).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again)) and len(rows) == len(docs)
     sizes, names = {}, ["a", "b", "c", "huge", "é", None]
     for _, text, source, _ in docs:
@@ -239,19 +239,32 @@ def test_mixture_meets_targets(spark):
         own = [r for r in rows if source_of[r["doc_id"]] == s]
         assert all(r["source_size"] == sizes[s] and r["target"] == pytest.approx(goal[s]) and r["taken"] <= 3 * r["size"] for r in own)
         assert abs(sum(r["taken"] for r in own) - goal[s]) <= 1
-    copies = mixing.mixed(df, blocks=16, shards=4).collect()
+    copies = mixing.mixed(df, shards=4).collect()
     assert sum(r["words"] for r in copies) == sum(r["taken"] for r in rows)
     assert all(len(r["text"].split()) == r["words"] for r in copies) and {r["shard"] for r in copies} == {0, 1, 2, 3}
 
 
-def test_splitting_tree_deals_every_draw_once(spark):
+def test_mixture_keeps_columns_with_the_names_of_intermediate_results(spark):
+    names = ["key", "block", "blocks_of", "bucket", "passes", "edge", "part", "words_before", "weight", "draws", "place", "pos"]
+    df = spark.createDataFrame([(i, "a b c", "s", *range(12)) for i in range(9)], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    for rows in (mixing.mixture(df).collect(), mixing.mixed(df).collect()):
+        assert len(rows) == 9 and all(tuple(r[n] for n in names) == tuple(range(12)) for r in rows)
+
+
+def test_splitting_tree_deals_every_draw_once_and_draws_the_hypergeometric(spark):
     quotas = spark.createDataFrame([("x", 40), ("y", 7), ("z", 0)], "key string, draws long")
-    rows = mixing.split_quotas(quotas, 8, 3).collect()
-    for key, n in (("x", 40), ("y", 7), ("z", 0)):
-        runs = sorted((r["from"], r["to"]) for r in rows if r["key"] == key)
-        assert runs[0][0] == 0 and runs[-1][1] == n and all(a[1] == b[0] for a, b in zip(runs, runs[1:], strict=False))
-    each = [sum(r["to"] - r["from"] for r in rows if r["shard"] == s) for s in range(8)]
-    assert max(each) - min(each) <= 1
+    first = []
+    for seed in range(3, 43):
+        rows = mixing.split_quotas(quotas, 8, seed).collect()
+        for key, n in (("x", 40), ("y", 7), ("z", 0)):
+            runs = sorted((r["from"], r["to"]) for r in rows if r["key"] == key)
+            assert runs[0][0] == 0 and runs[-1][1] == n and all(a[1] == b[0] for a, b in zip(runs, runs[1:], strict=False))
+        each = [sum(r["to"] - r["from"] for r in rows if r["shard"] == s) for s in range(8)]
+        assert max(each) - min(each) <= 1
+        # what the left half of the tree has of y: 23 of 47 draws, 7 of which are y
+        first.append(sum(r["to"] - r["from"] for r in rows if r["key"] == "y" and r["shard"] < 4))
+    mean, variance = 23 * 7 / 47, 23 * (7 / 47) * (40 / 47) * (24 / 46)
+    assert abs(np.mean(first) - mean) < 4 * (variance / 40) ** 0.5 and 0.4 * variance < np.var(first) < 2 * variance
 
 
 def hash_of(word):
@@ -296,7 +309,7 @@ def test_pseudo_likelihood_matches_loops(spark):
         ids = [id_of(w) for w in t.split()]
         total = 0.0
         for k, own in enumerate(ids):
-            h = sum(model["scales"][p].astype(float) * model["vectors"][ids[k + d] if 0 <= k + d < len(ids) else pseudo_lm.IDS] for p, d in enumerate(pseudo_lm.PLACES))
+            h = sum(model["scales"][p].astype(float) * model["vectors"][ids[k + d] if 0 <= k + d < len(ids) else pseudo_lm.NONE] for p, d in enumerate(pseudo_lm.PLACES))
             z = np.tanh(h) @ model["out"] + model["bias"]
             total += z[model["classes"][own]] - np.log(np.exp(z).sum()) + model["within"][own] + np.log(lexicon.counts[own] / (lexicon.counts[own] + 0.5))
         assert got[i] == pytest.approx(total, rel=1e-4)
