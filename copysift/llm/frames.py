@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,21 +20,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and goes on from there, so that a lost executor costs no recomputation.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where it names none
-    (a local session, as in tests) a temporary one is set.
+    Spark removes what is no longer referred to where spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share, below spark.checkpoint.dir; where that is unset, a temporary one is set first."""
+    """A folder that driver and executors share, below spark.checkpoint.dir.
+
+    Where that is unset, a temporary one is set in a local session (as in tests); on a cluster that is an error, as its machines share no local folder.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -6,6 +6,8 @@ protocol. Of records with equal payloads of at least ``least`` bytes, the one wi
 the payload and the others are revisits that refer to it. Only digests are shuffled to find them; the few
 revisits are broadcast to the pages while their counted number allows it, else joined.
 
+A file ends when it has ``ARCHIVE_BYTES``, so what a reading task holds is bounded by bytes and not by a number of records.
+
 Reading. An archive is one row of bytes, parsed in a task. Every record is checked (version line, headers,
 length, end marker, block digest, payload digest). Where a check fails, the reader looks for the next place
 where a valid record begins (a version line, or a gzip member), goes on from there and logs the bytes
@@ -21,14 +23,17 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copysift.llm.frames import cut, small_enough
 
 END = "\r\n\r\n"
-#: Records in an archive at most; it bounds the memory of a reading task.
-ARCHIVE_RECORDS = 5_000
+#: Bytes after which a new archive is begun; with the record that goes beyond it they bound the memory of a reading task.
+ARCHIVE_BYTES = 64_000_000
+#: Bytes that a gzip member may have inside; a larger one is quarantined with that reason.
+MEMBER_BYTES = 1 << 30
 LEAST_BYTES = 1000
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _GZIP = b"\x1f\x8b\x08"
@@ -73,9 +78,26 @@ def records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     return rows.select(F.concat(head, F.col("block")).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, archive_records: int = ARCHIVE_RECORDS) -> None:
-    """Writes pages (page_id, url, html; nulls are empty) as archives of up to ``archive_records`` records below ``path``."""
-    records(pages, least).write.mode("overwrite").option("lineSep", END).option("maxRecordsPerFile", archive_records).text(path)
+def filed(rows: DataFrame, most: int = ARCHIVE_BYTES) -> DataFrame:
+    """(file, record): the records in their order, with the number of the file within their partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, size = 0, 0
+        for batch in batches:
+            files = []
+            for n in pc.binary_length(batch.column("record")).to_pylist():
+                if size >= most:
+                    file, size = file + 1, 0
+                size += n
+                files.append(file)
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), batch.column("record")], names=["file", "record"])
+
+    return rows.select("record").mapInArrow(run, "file int, record string")
+
+
+def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, most: int = ARCHIVE_BYTES) -> None:
+    """Writes pages (page_id, url, html; nulls are empty) as archives of about ``most`` bytes below ``path``."""
+    filed(records(pages, least), most).write.mode("overwrite").option("lineSep", END).partitionBy("file").text(path)
 
 
 def _headers(data: bytes) -> dict[str, str] | None:
@@ -130,8 +152,8 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int] | str:
     return head | {"http": http, "payload": body, "size": size}, over + 4
 
 
-def salvage(data: bytes) -> tuple[list[tuple[int, dict]], list[tuple[int, int, str]]]:
-    """(records with their places, quarantined gaps as (start, end, reason)) of an archive, plain or gzip members."""
+def salvage(data: bytes, packed: bool = True) -> tuple[list[tuple[int, dict]], list[tuple[int, int, str]]]:
+    """(records with their places, quarantined gaps as (start, end, reason)) of an archive, plain or, if ``packed``, gzip members (which hold no further ones)."""
     found, gaps = [], []
     at, bad, reason = 0, -1, ""
 
@@ -147,18 +169,18 @@ def salvage(data: bytes) -> tuple[list[tuple[int, dict]], list[tuple[int, int, s
             bad, reason = place, why
 
     while at < len(data):
-        if data.startswith(_GZIP, at):
+        if packed and data.startswith(_GZIP, at):
             opened = _member(data, at)
-            if opened is not None:
+            if isinstance(opened, tuple):
                 inner, over = opened
-                records_, inner_gaps = salvage(inner)
+                records_, inner_gaps = salvage(inner, False)
                 if records_ or not inner:
                     good(at)
                     found += [(at, r) for _, r in records_]
                     gaps += [(at, over, f"in the member: {why}") for _, _, why in inner_gaps]
                     at = over
                     continue
-            wrong(at, "bad gzip member")
+            wrong(at, opened if isinstance(opened, str) else "bad gzip member")
         else:
             got = parse_record(data, at)
             if not isinstance(got, str):
@@ -168,23 +190,27 @@ def salvage(data: bytes) -> tuple[list[tuple[int, dict]], list[tuple[int, int, s
                 continue
             wrong(at, got)
         m = _VERSION.search(data, at + 1)
-        places = [p for p in (m.start() if m else -1, data.find(_GZIP, at + 1)) if p >= 0]
+        places = [p for p in (m.start() if m else -1, data.find(_GZIP, at + 1) if packed else -1) if p >= 0]
         at = min(places, default=len(data))
     good(len(data))
     return found, gaps
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The content of the gzip member at ``at`` and the place behind it; None if it is damaged."""
-    one, view, out = zlib.decompressobj(31), memoryview(data), []
+def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
+    """The content of the gzip member at ``at`` and the place behind it, or what is wrong with it."""
+    one, view, out, size = zlib.decompressobj(31), memoryview(data), [], 0
     try:
         while not one.eof:
             if at >= len(data):
-                return None
-            out.append(one.decompress(view[at : at + (1 << 16)]))
+                return "gzip member cut short"
+            piece = one.decompress(view[at : at + (1 << 16)])
+            size += len(piece)
+            if size > MEMBER_BYTES:
+                return "gzip member too large"
+            out.append(piece)
             at += 1 << 16
     except zlib.error:
-        return None
+        return "bad gzip member"
     return b"".join(out), min(at, len(data)) - len(one.unused_data)
 
 
@@ -218,13 +244,23 @@ def page_of(record_id: Column) -> Column:
 
 
 def archived(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> DataFrame:
-    """Writes ``pages`` to archives below ``path`` and reads them back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
+    """Writes ``pages`` to archives below ``path``/archives and reads them back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
     payload_digest is the bare SHA-1 of the full payload: computed again from a response, as stated for a revisit.
     Null html is an empty payload; a null page_id is a response that nothing refers to. Of rows with the same
     page_id and payload all are responses or all are revisits. An empty table gives no rows.
+
+    Gaps are logged as Parquet (archive, place, gap_end, reason) below ``path``/gaps; as these archives have just been written, it is an
+    error if there are any, or if not as many records are read as there are pages.
     """
-    write_archives(pages, path, least)
-    rows = read_archives(pages.sparkSession, path).where("record_type != 'quarantined'")
+    write_archives(pages, f"{path}/archives", least)
     digest = F.when(F.col("record_type") == "revisit", F.lower(F.substring_index("stated_digest", ":", -1))).otherwise(F.sha1("payload"))
-    return rows.select(page_of(F.col("record_id")).alias("page_id"), F.col("size").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", page_of(F.col("refers_to_id")).alias("refers_to"))
+    names = ("archive", "place", "gap_end", "reason", "record_type")
+    rows = cut(read_archives(pages.sparkSession, f"{path}/archives").select(*names, page_of(F.col("record_id")).alias("page_id"), F.col("size").alias("payload_bytes"), digest.alias("payload_digest"), page_of(F.col("refers_to_id")).alias("refers_to")))
+    gaps = rows.where("record_type = 'quarantined'")
+    gaps.select(*names[:4]).write.mode("overwrite").parquet(f"{path}/gaps")
+    rows = rows.where("record_type != 'quarantined'")
+    read, written, lost = rows.count(), pages.count(), gaps.count()
+    if lost or read != written:
+        raise RuntimeError(f"{written} pages were written and {read} read, {lost} gaps are in {path}/gaps")
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

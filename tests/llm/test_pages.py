@@ -59,6 +59,44 @@ def test_salvage_goes_on_behind_damage(spark, tmp_path, packed):
     assert sum(r["record_type"] == "quarantined" for r in rows) == 3 and sum(r["record_type"] == "response" for r in rows) == 4
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, "http://a/", f"{i} " * (30_000 if i % 10 == 0 else 10)) for i in range(60)]
+    warc.write_archives(pages(spark, rows).coalesce(1), str(tmp_path / "a"), most=100_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "a").rglob("*.txt")]
+    assert len(sizes) > 2 and max(sizes) < 300_000
+    assert {warc_id(r) for r in warc.read_archives(spark, str(tmp_path / "a")).collect()} == set(range(60))
+
+
+def warc_id(row):
+    return int(row["record_id"].removeprefix("<urn:page:").removesuffix(">"))
+
+
+def test_lost_records_are_an_error_and_logged(spark, tmp_path, monkeypatch):
+    write = warc.write_archives
+
+    def damaged(table, path, least):
+        write(table, path, least)
+        file = max((f for f in (tmp_path / "a").rglob("*.txt")), key=lambda f: f.stat().st_size)
+        data = bytearray(file.read_bytes())
+        data[len(data) // 2] ^= 0xFF
+        file.write_bytes(bytes(data))
+        for crc in file.parent.glob(".*.crc"):
+            crc.unlink()
+
+    monkeypatch.setattr(warc, "write_archives", damaged)
+    with pytest.raises(RuntimeError, match="9 pages were written and 8 read, 1 gaps"):
+        warc.archived(pages(spark, [(i, "u", f"text {i} " * 50) for i in range(9)]).coalesce(1), str(tmp_path / "a"))
+    gap = spark.read.parquet(str(tmp_path / "a" / "gaps")).first()
+    assert gap["reason"] in ("block digest differs", "bad header", "no version line", "no end marker") and gap["gap_end"] > gap["place"]
+
+
+def test_a_member_that_is_too_large_is_quarantined(monkeypatch):
+    one = gzip.compress(record(1, b"x"))
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1000)
+    found, gaps = warc.salvage(gzip.compress(record(2, b"y" * 5000)) + one)
+    assert names(found) == ["<urn:page:1>"] and gaps[0][2] == "gzip member too large"
+
+
 def test_salvage_of_nothing_and_of_noise():
     assert warc.salvage(b"") == ([], [])
     assert warc.salvage(b"WARC/1.1\r\nnothing")[1] == [(0, 17, "headers do not end")]
