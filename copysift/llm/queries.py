@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from copysift.llm import decontam, minhash_dedup, mixing, pii, pseudo_lm, quality, span_dedup, vector_dedup, warc, wrapper
 from copysift.llm.frames import new_folder, table
@@ -39,7 +40,8 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "shards")
+    rows = mixing.mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.transform("shards", lambda s: s.cast("string")), ",").alias("shards"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("doc", "doc_id")
+    return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -103,6 +105,40 @@ FROM t LEFT JOIN spans USING (doc_id) GROUP BY t.doc_id"""
 _PII = _PII.replace("{matches}", " UNION ALL ".join(_matches("t", p, f"{k} AS k, '{kind}' AS kind,") for k, (kind, p) in enumerate(_KINDS.items()))).replace("{words}", _matches("t", _TERM)).replace("{blank_words}", _matches("blanked", _TERM))
 
 
+def _level(n: int) -> str:
+    """One level of the splitting tree: the draws of each node in order, which of them go to its first child, and the quotas of both."""
+    return f"""
+e{n} AS (SELECT node, key, j, row_number() OVER (PARTITION BY node ORDER BY key, j) - 1 AS g, count(*) OVER (PARTITION BY node) AS total,
+    ('0x' || substr(md5('11|' || node || '|' || key || '|' || j), 1, 13))::BIGINT / pow(16, 13) AS u FROM (SELECT node, key, unnest(range(1, draws + 1)) AS j FROM n{n})),
+r{n} AS (SELECT node, list(key ORDER BY g) AS keys, list_reduce(list({{'u': u, 'g': g, 'n': total}} ORDER BY g), lambda a, x: {{'taken': a.taken + (CASE WHEN x.u < (x.n // 2 - a.taken) / (x.n - x.g) THEN 1 ELSE 0 END),
+    'hits': list_append(a.hits, CASE WHEN x.u < (x.n // 2 - a.taken) / (x.n - x.g) THEN 1 ELSE 0 END)}}, {{'taken': 0, 'hits': []::INT[]}}).hits AS hits FROM e{n} GROUP BY node),
+h{n} AS (SELECT node, key, sum(hit) AS n FROM (SELECT node, unnest(keys) AS key, unnest(hits) AS hit FROM r{n}) GROUP BY ALL),
+n{n + 1} AS (SELECT 2 * node AS node, key, n::BIGINT AS draws FROM h{n} UNION ALL SELECT 2 * node + 1, key, (draws - n)::BIGINT FROM h{n} JOIN n{n} USING (node, key))"""
+
+
+_MIX = r"""
+WITH d AS (SELECT doc_id, coalesce('=' || source, 'null') AS key, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, ('0x' || substr(md5('11|bucket|' || doc_id), 1, 3))::INT AS bucket FROM documents),
+s AS (SELECT source, key, sum(size) AS source_size FROM d GROUP BY ALL),
+weighed AS (SELECT *, ([5.0, 2.0, 1.0])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, 3.0::DOUBLE * source_size AS most FROM s),
+risen AS (SELECT *, row_number() OVER w AS rank, (sum(source_size) OVER () - coalesce(sum(most) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level FROM weighed
+    WINDOW w AS (ORDER BY most / weight, source NULLS LAST), before AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+goals AS (SELECT key, source_size::BIGINT AS source_size, coalesce(least(most, (SELECT arg_min(level, rank) FROM risen WHERE level * weight <= most) * weight), most) AS target,
+    least(4096, greatest(64, pow(2, ceil(log2(greatest(source_size / 2e6, 1))))))::INT AS blocks FROM risen),
+b AS (SELECT key, bucket % blocks AS block, source_size, target, sum(size)::BIGINT AS block_size, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM d JOIN goals USING (key) GROUP BY ALL),
+p AS (SELECT *, round(target)::BIGINT - whole * source_size AS rest, unnest(range(0, whole + 1)) AS pass FROM b),
+q AS (SELECT *, row_number() OVER w AS rank, sum(block_size) OVER w - block_size AS before FROM p WINDOW w AS (PARTITION BY key, pass ORDER BY md5('11|' || key || '|' || pass || '|' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+draws AS (SELECT *, CASE WHEN pass < whole THEN block_size ELSE greatest(0, least(block_size, rest - before)) END AS words FROM q),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pass, rank) - 1 AS place FROM draws WHERE words > 0),
+n0 AS (SELECT 0 AS node, key, count(*) AS draws FROM drawn GROUP BY key),{levels},
+runs AS (SELECT node AS shard, key, sum(draws) OVER w - draws AS low, sum(draws) OVER w AS high FROM n3 WINDOW w AS (PARTITION BY key ORDER BY node)),
+shards_of AS (SELECT key, block, list(shard ORDER BY pass) AS shards FROM drawn JOIN runs USING (key) WHERE place >= low AND place < high GROUP BY ALL),
+told AS (SELECT key, block, source_size, target, count(*) FILTER (words > 0 AND words = block_size) AS passes, coalesce(max(words) FILTER (words > 0 AND words < block_size), 0) AS edge FROM draws GROUP BY ALL),
+taken AS (SELECT doc_id, size, t.source_size, t.target, passes, coalesce(shards, []) AS shards,
+    CASE WHEN edge > 0 THEN greatest(0, least(size, edge - coalesce(sum(size) OVER (PARTITION BY d.key, t.block ORDER BY md5('11|row|' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) ELSE 0 END AS part
+    FROM d JOIN goals g USING (key) JOIN told t ON t.key = d.key AND t.block = d.bucket % g.blocks LEFT JOIN shards_of o ON o.key = t.key AND o.block = t.block)
+SELECT doc_id, size, source_size, target, (passes * size + part)::BIGINT AS taken, array_to_string(shards[1:CASE WHEN size > 0 THEN passes + (part > 0)::INT ELSE 0 END], ',') AS shards FROM taken""".replace("{levels}", ",".join(map(_level, range(3))))
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can express; it compares all pairs that share something, so it is for small tables."""
     return {
@@ -125,6 +161,7 @@ links AS (SELECT l.vec_id AS a, r.vec_id AS b FROM good l JOIN good r ON l.label
 nodes AS (SELECT vec_id AS id FROM v), {_REACHED},
 counts AS (SELECT a, count(*) AS n FROM sides GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN found ON id = vec_id LEFT JOIN counts ON a = vec_id""",
+        "op9_source_mixing": _MIX,
         "op10_benchmark_decontamination": f"""
 WITH w AS (SELECT doc_id, NULL AS item_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}') AS w FROM documents UNION ALL SELECT NULL, item_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}') FROM benchmark),
 s AS (SELECT doc_id, item_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),

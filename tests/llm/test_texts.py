@@ -116,7 +116,7 @@ def test_decontamination_against_brute_force(spark):
             text[5:5] = piece
         docs.append((i, " ".join(text)))
     docs += [(500, items[0][1].upper()), (501, None), (502, "")]
-    got = {(r["doc"], r["item_id"]): (r["n_shared"], r["n_item"]) for r in decontam.contained_items(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    got = {(r["doc_id"], r["item_id"]): (r["n_shared"], r["n_item"]) for r in decontam.contained_items(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == brute.contained_items([(i, t.lower() if t else t) for i, t in docs], items, 5, 80) and len(got) > 30
     kept = {r["doc_id"] for r in decontam.decontaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert kept == {i for i, _ in docs} - {d for d, _ in got}
@@ -188,7 +188,7 @@ def test_odd_and_empty_tables(spark, op):
 def test_decontamination_of_odd_and_empty_tables(spark):
     items = spark.createDataFrame([(1, "a"), (2, None), (3, "word " * 9), (None, "b c d e f g")], "item_id long, text string")
     rows = decontam.contained_items(frame(spark, ODD), items).collect()
-    assert sorted((r["doc"], r["item_id"]) for r in rows) == [(4, 1), (5, 3)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in rows) == [(4, 1), (5, 3)]
     assert len(decontam.decontaminated(frame(spark, ODD), items).collect()) == len(ODD) - 3
     assert decontam.contained_items(frame(spark, ODD), items.limit(0)).count() == 0 == decontam.contained_items(frame(spark, []), items).count()
 
