@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from copysift.llm.frames import free_name
 from copysift.llm.words import U64, buffers, portions, word_hashes, word_spans
 
 #: Labelled documents that the weights are fitted to, at most (about).
@@ -114,19 +115,28 @@ def learn(docs: DataFrame, labels: DataFrame, at: float = 0.3, most: int = SAMPL
     return fit(x, np.array([got["quality"][i] == 1 for i in order], bool), at)
 
 
-def quality_scores(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of ``docs`` and ``score``, a double from 0 to 1. Null and empty texts have the score of no features."""
-    kept = docs.drop("score")
-    kind = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
+def quality_scores(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score as ``name``, a double from 0 to 1; a column called so is replaced.
+
+    Null and empty texts have the score of no features; repeated rows have equal scores. An empty table gives no rows.
+    """
+    kept = docs.drop(name)
+    kind = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch, "text"):
-                yield part.append_column("score", pa.array(scores(model, features(part.column("text"))), pa.float64()))
+                yield part.append_column(name, pa.array(scores(model, features(part.column("text"))), pa.float64()))
 
     return kept.mapInArrow(run, kind)
 
 
+def accepted(docs: DataFrame, labels: DataFrame, at: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, with a score of ``at`` or more."""
+    name = free_name(docs, "score")
+    return quality_scores(docs, learn(docs, labels, at), name).where(F.col(name) >= at).drop(name)
+
+
 def classified(docs: DataFrame, labels: DataFrame, at: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``; predicted is 1 if score >= at.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copysift.llm import decontam, minhash_dedup, mixing, pii, quality
-from copysift.llm.frames import cut, new_folder, small_enough, table
+from copysift.llm.frames import cut, new_folder, remove_folder, small_enough, table
 
 #: Score from which a document is kept.
 GOOD = 0.3
@@ -19,8 +19,7 @@ GOOD = 0.3
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a quality score of GOOD or more."""
-    model = quality.learn(docs, table(spark, sf_dir, "labels"), GOOD)
-    return quality.quality_scores(docs, model).where(F.col("score") >= GOOD).select(*docs.columns)
+    return quality.accepted(docs, table(spark, sf_dir, "labels"), GOOD)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +38,11 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with personal data in the text replaced and n_chars that of the new text."""
-    return pii.sanitised(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """All rows, with personal data in the text replaced, and n_chars, where there is one, that of the new text."""
+    rows = pii.sanitised(docs)
+    if "n_chars" not in docs.columns:
+        return rows
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +62,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents; each result is written as Parquet to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages in order over documents; each result is written as Parquet to the shared folder and read again.
+
+    What a stage has written is deleted once the next one has written its own; the last result stays.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return docs
