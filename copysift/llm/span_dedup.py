@@ -99,9 +99,7 @@ def repeated_ranges(docs: DataFrame, several: int, least: int) -> DataFrame:
     counted = found.groupBy("span").agg(F.count("*").alias("times"), F.min("doc").alias("first_doc")).where("times > 1")
     # counts are cut before each join: both sides are then plain shuffles, of which Spark splits a hot span's partition
     again = cut(found.join(cut(counted.select("span", "first_doc")), "span"))
-    versions = cut(again.where("doc = first_doc").groupBy("span").agg(F.min("version").alias("first_version")))
-    again = again.join(versions, "span")
-    first = cut(again.where("doc = first_doc and version = first_version").groupBy("span").agg(F.min("begin").alias("first_begin")))
+    first = cut(again.where("doc = first_doc").groupBy("span").agg(F.min(F.struct("version", "begin")).alias("first")).select("span", "first.*").toDF("span", "first_version", "first_begin"))
     later = again.join(first, "span").where("doc != first_doc or version != first_version or begin != first_begin")
     # exact copies make a range for each sentence: partial sets by begin keep the longest only
     longest = later.groupBy("doc", "version", "begin").agg(F.max("until").alias("until"), F.min("first_doc").alias("first_doc"))
