@@ -7,8 +7,10 @@ do not carry over to it.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -64,6 +66,43 @@ class StructureEmbedder:
         return vectors(text)
 
 
+_WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def prose_vector(text: str, size: int) -> list[float]:
+    """Pairs of neighbouring words (a lone word by itself), each a signed count in a bucket that its MD5 names."""
+    words = _WORD.findall(text.lower())
+    out = np.zeros(size)
+    for pair, n in Counter(map(" ".join, zip(words, words[1:], strict=False)) if len(words) > 1 else words).items():
+        digest = hashlib.md5(pair.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+        out[int.from_bytes(digest[:4]) % size] += n if digest[4] < 128 else -n
+    length = np.sqrt((out * out).sum())
+    return (out / length if length else out).astype(np.float32).tolist()
+
+
+@dataclass(frozen=True)
+class ProseEmbedder:
+    """Vectors of running text: texts that share most pairs of words are near, others nearly at right angles."""
+
+    size: int = 256
+
+    @property
+    def model_id(self) -> str:
+        return f"prose-{self.size}"
+
+    def status(self) -> str:
+        return "ready"
+
+    def column(self, text: Column) -> Column:
+        size = self.size
+
+        @F.pandas_udf("array<float>")
+        def vectors(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: prose_vector(t or "", size))
+
+        return vectors(text)
+
+
 #: Limits of one call of a model: blocks, tokens of a block, and blocks times the square of the longest (attention is quadratic).
 BATCH_BLOCKS, BLOCK_TOKENS, ATTENTION_CELLS = 32, 1024, 8 * 512**2
 

@@ -1,7 +1,7 @@
 """The registered queries: each operator on the driver's tables, and the same in SQL for DuckDB.
 
-Whole documents stand for blocks (file = source/doc_id.txt). Where a query needs vectors of blocks, those of the
-embeddings table with the same number are used; the pairing is arbitrary and only feeds the operator.
+Whole documents stand for blocks (file = source/doc_id.txt). Queries of single index operators (look-ups, near pairs) take the
+vectors of the embeddings table; the flagship computes a vector from every whole text.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from copysift.config import Idiom
 from copysift.frames import spread
 from copysift.functions import measure as M
 from copysift.functions import text as X
+from copysift.functions.embed import ProseEmbedder
 from copysift.operators import rank
 from copysift.operators.blocks import extract_blocks, line_windows
 from copysift.operators.idioms import directories, suppression
@@ -212,11 +213,12 @@ def page_structure_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole analysis on documents as blocks: exact and near clusters, containment, idioms."""
+    """The whole analysis on all documents as blocks: exact and near clusters, containment, idioms; vectors are those of the whole texts."""
     none = F.lit(None).cast("int")
     docs = _documents(spark, sf_dir).where("sig_lines > 0")
     blocks = docs.select("file", F.lit(1).alias("start_line"), F.col("lines").alias("end_line"), "text", "norm_hash", "sig_lines", none.alias("block_start"), none.alias("block_end"))
-    vectors = docs.join(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id").groupBy("norm_hash").agg(F.min_by("vector", "doc_id").alias("vector"))
+    # texts with one normal form have the same words and the same vector
+    vectors = docs.groupBy("norm_hash").agg(F.min_by("text", "doc_id").alias("text")).select("norm_hash", ProseEmbedder().column(F.col("text")).alias("vector"))
     return find_clusters(blocks, vectors, BASE).select("id", "frequency", "median_lines", "removable_lines", "severity", "similarity", "alignment", "match_type", "confidence", "preview", F.col("suppressed.rule").alias("rule"))
 
 
@@ -262,8 +264,91 @@ WITH e AS (SELECT vec_id, coalesce(label, 0) + 10 AS n, embedding::DOUBLE[] AS v
 pairs AS (SELECT l.vec_id AS a, r.vec_id AS b, list_dot_product(l.v, r.v) AS similarity FROM e l JOIN e r ON l.vec_id < r.vec_id AND least(l.n, r.n) / greatest(l.n, r.n)::DOUBLE >= 0.7)"""
 
 
+#: A text without line comments; strings stay.
+_STRIPPED = r"""regexp_replace(text, '("(?:\\[^\n]?|[^"\\\n])*"?|' || chr(39) || '(?:\\[^\n]?|[^' || chr(39) || '\\\n])*' || chr(39) || '?)|//[^\n]*|#[^\n]*', '\1', 'g')"""
+#: Of {pairs} (a, b) and {texts} (k, text) the alignment of each pair: words of lines, how far back they were last used, and the common subsequence row by row.
+_ALIGNED = f"""
+used AS (SELECT k, string_split({_STRIPPED}, chr(10)) AS lines FROM texts WHERE k IN (SELECT a FROM pairs UNION SELECT b FROM pairs)),
+worded AS (SELECT k, generate_subscripts(lines, 1) AS l, regexp_extract_all(unnest(lines), '[A-Za-z_][A-Za-z0-9_]*|[0-9]+') AS words FROM used),
+tokens AS (SELECT k, l, i, word, row_number() OVER (PARTITION BY k ORDER BY l, i) AS pos FROM (SELECT k, l, generate_subscripts(words, 1) AS i, unnest(words) AS word FROM worded)),
+reused AS (SELECT *, coalesce(pos - lag(pos) OVER (PARTITION BY k, word ORDER BY pos), 0) AS back FROM tokens),
+shaped AS (SELECT k, l, list(DISTINCT word) AS words, CASE WHEN max(back) > 0 THEN list(back ORDER BY pos) END AS shape FROM reused GROUP BY k, l),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY l) AS n, count(*) OVER (PARTITION BY k) AS lines FROM shaped),
+agree AS (SELECT a, b, x.n AS i, list(coalesce(x.shape = y.shape, false) OR len(list_intersect(x.words, y.words)) >= 0.5 * (len(x.words) + len(y.words) - len(list_intersect(x.words, y.words))) ORDER BY y.n) AS same, least(any_value(x.lines), any_value(y.lines)) AS shorter
+    FROM pairs JOIN numbered x ON x.k = a JOIN numbered y ON y.k = b GROUP BY a, b, x.n),
+common AS (SELECT a, b, any_value(shorter) AS shorter, list_reduce(list(same ORDER BY i), lambda best, row: list_reduce(range(1, len(row) + 1), lambda acc, j: list_append(acc, greatest(acc[len(acc)], best[j + 1], CASE WHEN row[j] THEN best[j] + 1 ELSE 0 END)), [0::BIGINT]), list_resize([0::BIGINT], len(any_value(same)) + 1, 0)) AS best FROM agree GROUP BY a, b),
+aligned AS (SELECT a, b, coalesce(best[len(best)] / shorter, 0.0)::DOUBLE AS alignment FROM pairs LEFT JOIN common USING (a, b))"""
+#: Of {edges} (a, b) and {ranked} (k, i) the stars: one step for each node that has later neighbours.
+_STARS = """
+later AS (SELECT e.s, list(e.m) AS members, any_value(r.i) AS i FROM (SELECT CASE WHEN x.i < y.i THEN a ELSE b END AS s, CASE WHEN x.i < y.i THEN b ELSE a END AS m FROM edges JOIN ranked x ON x.k = a JOIN ranked y ON y.k = b) e JOIN ranked r ON r.k = e.s GROUP BY e.s),
+steps AS (SELECT *, row_number() OVER (ORDER BY i) AS step FROM later),
+walk(step, taken, seed, found) AS (SELECT 0::BIGINT, []::VARCHAR[], NULL::VARCHAR, []::VARCHAR[] UNION ALL
+    SELECT s.step, CASE WHEN list_contains(taken, s.s) THEN taken ELSE list_concat(taken, list_filter(members, lambda m: NOT list_contains(taken, m))) END,
+        s.s, CASE WHEN list_contains(taken, s.s) THEN [] ELSE list_filter(members, lambda m: NOT list_contains(taken, m)) END FROM walk JOIN steps s ON s.step = walk.step + 1),
+stars AS (SELECT seed, unnest(found) AS member FROM walk),
+grouped AS (SELECT seed, member FROM stars UNION ALL SELECT DISTINCT seed, seed FROM stars)"""
+_FLAG = _DOCS.replace("WITH cleaned", "WITH RECURSIVE cleaned") + f""",
+blocks AS (SELECT doc_id, source || '/' || doc_id || '.txt' AS file, source, text, lines, sig_lines, norm_hash FROM docs WHERE sig_lines > 0),
+firsts AS (SELECT norm_hash AS k, arg_min(text, file) AS text, arg_min(sig_lines, file) AS n, arg_min(file, file) AS file, arg_min(lines, file) AS lines, count(*) AS copies FROM blocks GROUP BY norm_hash),
+words AS (SELECT k, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM firsts),
+bigrams AS (SELECT k, md5(unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)) AS h FROM words),
+signed AS (SELECT k, ('0x' || substr(h, 7, 2))::INT AS bucket, sum(CASE WHEN ('0x' || substr(h, 9, 2))::INT < 128 THEN 1 ELSE -1 END)::DOUBLE AS v FROM bigrams GROUP BY ALL),
+vectors AS (SELECT k, bucket, (v / sqrt(sum(v * v) OVER (PARTITION BY k)))::FLOAT::DOUBLE AS v FROM signed),
+cosines AS (SELECT x.k AS a, y.k AS b, least(1.0, sum(x.v * y.v)) AS similarity FROM vectors x JOIN vectors y ON x.bucket = y.bucket AND x.k < y.k GROUP BY ALL),
+pairs AS (SELECT a, b, similarity FROM cosines JOIN firsts x ON x.k = a JOIN firsts y ON y.k = b WHERE least(x.n, y.n) / greatest(x.n, y.n)::DOUBLE >= 0.7
+    AND similarity >= CASE WHEN least(x.n, y.n) <= 25 THEN 0.45 ELSE least(0.98, 0.45 + least(1.0, (least(x.n, y.n) - 25) / 75.0) * 0.35) END::DOUBLE),
+texts AS (SELECT k, text FROM firsts),{_ALIGNED},
+edges AS (SELECT a, b, similarity, alignment FROM pairs JOIN aligned USING (a, b) WHERE alignment >= 0.65),
+ranked AS (SELECT k, row_number() OVER (ORDER BY n DESC, file, k) AS i FROM firsts),{_STARS},
+near AS (SELECT seed, member, CASE WHEN seed = member THEN 1.0 ELSE similarity END AS similarity, CASE WHEN seed = member THEN 1.0 ELSE alignment END AS alignment FROM grouped LEFT JOIN edges ON least(seed, member) = a AND greatest(seed, member) = b),
+members AS (SELECT true AS near, seed AS cluster, similarity, alignment, seed = member AS is_first, blocks.* FROM near JOIN blocks ON norm_hash = member
+    UNION ALL SELECT false, k, 1.0, NULL, blocks.file = firsts.file, blocks.* FROM firsts JOIN blocks ON norm_hash = k WHERE copies > 1),
+built AS (SELECT near, cluster, count(*) AS frequency, floor(median(sig_lines) + 0.5)::INT AS median_lines, floor(min(similarity) * 1000 + 0.5) / 1000 AS similarity, floor(min(alignment) * 1000 + 0.5) / 1000 AS alignment,
+    min(file) FILTER (is_first) AS head, arg_min(text, file) FILTER (is_first) AS text, list(norm_hash) AS hashes, count(DISTINCT source) AS directories,
+    substr(sha256(string_agg(file || ':1-' || lines, '|' ORDER BY file)), 1, 12) AS id FROM members GROUP BY near, cluster HAVING count(*) > 1),
+kept AS (SELECT * FROM built e WHERE near OR NOT EXISTS (SELECT 1 FROM built o WHERE o.near AND list_contains(o.hashes, e.cluster) AND o.median_lines > e.median_lines)),
+measured AS (SELECT *, {_HELD.replace('lines', 'median_lines').format(low='0.2::DOUBLE', high='0.57::DOUBLE')} AS expected FROM kept),
+levels AS (SELECT *, greatest(0, (CASE WHEN similarity - expected >= 0.25 THEN 2 WHEN similarity - expected >= 0.1 THEN 1 ELSE 0 END) - (CASE WHEN median_lines <= 8 THEN 1 ELSE 0 END)) AS level, CASE WHEN alignment >= 0.75 THEN 2 WHEN alignment >= 0.7 THEN 1 ELSE 0 END AS by_lines FROM measured),
+shown AS (SELECT *, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^{{space}}|{{space}}$', '', 'g')), lambda x: x <> '')[1:2], ' ') AS line FROM levels)
+SELECT id, frequency::INT AS frequency, median_lines, (median_lines * (frequency - 1))::INT AS removable_lines, floor(pow(median_lines::DOUBLE, 1.5) * log2(frequency::DOUBLE) * 100 + 0.5) / 100 AS severity, similarity, alignment,
+    CASE WHEN near THEN 'near-identical' ELSE 'identical' END AS match_type, CASE WHEN near THEN (['low', 'moderate', 'high'])[least(level, by_lines) + 1] ELSE 'certain' END AS confidence,
+    CASE WHEN length(line) > 120 THEN substr(line, 1, 120) || '...' ELSE line END AS preview,
+    CASE WHEN median_lines <= 5 AND frequency >= 10 THEN 'small-and-frequent' WHEN median_lines <= 10 AND frequency >= 10 AND directories >= greatest(4.0, frequency * 0.8) THEN 'widespread-idiom' END AS rule FROM shown"""
+_FLAG = _FLAG.replace("{space}", _SPACE)
+
+
+#: Blocks by braces; the outlines have no line that introduces an indented body.
+_STRINGS = r"""'"(?:\\[^\n]?|[^"\\\n])*"?|' || chr(39) || '(?:\\[^\n]?|[^' || chr(39) || '\\\n])*' || chr(39) || '?'"""
+_CODE_LINE = _STRIPPED.replace("text,", "line,", 1).replace("#[^\\n]*', '\\1'", "#[^\\n]*|(^|' || '" + _SPACE.removesuffix('+') + "' || ')--[^\\n]*', '\\1\\2'")
+_BLOCKS = f"""
+WITH lines AS (SELECT file, generate_subscripts(ls, 1) AS n, unnest(ls) AS line, len(ls) AS total FROM (SELECT page_id || '.html' AS file,
+    string_split(regexp_replace(regexp_replace(html, '</[a-zA-Z0-9]+>', chr(10) || '}}' || chr(10), 'g'), '<([a-zA-Z0-9]+)[^>]*>', chr(10) || '\\1 {{' || chr(10), 'g'), chr(10)) AS ls FROM pages WHERE html <> '')),
+code AS (SELECT *, {_CODE_LINE} AS kept FROM lines),
+netted AS (SELECT *, trim(regexp_replace(kept, '{_SPACE}', ' ', 'g')) AS normal, replace(replace(replace(replace(regexp_replace(regexp_replace(kept, {_STRINGS}, '', 'g'), '[^{{}}]', '', 'g'), '{{}}', ''), '{{}}', ''), '{{}}', ''), '{{}}', '') AS braces FROM code),
+nested AS (SELECT file, n, total, normal, opened, closed, sum(opened - closed) OVER (PARTITION BY file ORDER BY n) - opened AS depth FROM (SELECT *, length(replace(braces, '}}', '')) AS opened, length(replace(braces, '{{', '')) AS closed FROM netted)),
+ended AS (SELECT o.file, o.n AS start_line, any_value(o.total) AS total, min(c.n) AS end_line FROM nested o LEFT JOIN nested c ON c.file = o.file AND c.n > o.n AND c.closed > 0 AND c.depth < o.depth + o.opened WHERE o.opened > 0 GROUP BY o.file, o.n),
+whole AS (SELECT file, start_line, coalesce(end_line, total) AS end_line, end_line IS NULL AS open FROM ended),
+page AS (SELECT file, list(normal ORDER BY n) AS normal FROM nested GROUP BY file),
+sized AS (SELECT w.*, list_filter(normal[start_line:end_line], lambda x: x <> '') AS kept, NULL::BIGINT AS block_start, NULL::BIGINT AS block_end FROM whole w JOIN page USING (file)),
+cut AS (SELECT file, a AS start_line, least(a + 119, end_line) AS end_line, open, list_filter(normal[a:least(a + 119, end_line)], lambda x: x <> '') AS kept, start_line AS block_start, end_line AS block_end
+    FROM (SELECT *, unnest(range(start_line, start_line + 60 * (greatest(0, ceil((end_line - start_line - 119) / 60.0))::INT + 1), 60)) AS a FROM sized WHERE len(kept) > 120) JOIN page USING (file)),
+both_ AS (SELECT * FROM sized WHERE len(kept) BETWEEN 3 AND 120 UNION ALL SELECT * FROM cut WHERE len(kept) >= 3)
+SELECT file, start_line::INT AS start_line, end_line::INT AS end_line, substr(sha256(array_to_string(kept, chr(10))), 1, 32) AS norm_hash, len(kept)::INT AS sig_lines, block_start::INT AS block_start, block_end::INT AS block_end FROM both_
+QUALIFY row_number() OVER (PARTITION BY file, start_line, end_line ORDER BY open, coalesce(block_end, end_line), coalesce(block_start, start_line) DESC) = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "duplicate_clusters": _FLAG,
+        "page_structure_blocks": _BLOCKS,
+        "greedy_groups": _NEAR.replace("WITH e AS", "WITH RECURSIVE e AS") + f""",
+            edges AS (SELECT lpad(a::VARCHAR, 12, '0') AS a, lpad(b::VARCHAR, 12, '0') AS b, similarity FROM pairs WHERE similarity >= {BASE}),
+            ranked AS (SELECT lpad(vec_id::VARCHAR, 12, '0') AS k, row_number() OVER (ORDER BY coalesce(label, 0) DESC, lpad(vec_id::VARCHAR, 12, '0')) AS i FROM embeddings),{_STARS}
+            SELECT seed::BIGINT AS seed, member::BIGINT AS member, CASE WHEN seed = member THEN 1.0 ELSE floor(similarity * 1000000 + 0.5) / 1000000 END AS similarity FROM grouped LEFT JOIN edges ON least(seed, member) = a AND greatest(seed, member) = b""",
+        "line_alignment": f"""WITH d AS (SELECT doc_id, text, split_part(text, chr(10), 1) AS opening FROM documents WHERE text IS NOT NULL),
+            pairs AS (SELECT first::VARCHAR AS a, doc_id::VARCHAR AS b FROM d JOIN (SELECT opening, min(doc_id) AS first FROM d GROUP BY opening) USING (opening) WHERE first < doc_id),
+            texts AS (SELECT doc_id::VARCHAR AS k, text FROM d),{_ALIGNED}
+            SELECT a::BIGINT AS a, b::BIGINT AS b, floor(alignment * 1000 + 0.5) / 1000 AS alignment FROM aligned""",
         "norm_lines": _DOCS + " SELECT doc_id, norm_hash, sig_lines FROM docs",
         "identical_groups": _GROUPS + " SELECT norm_hash, frequency, first_doc FROM groups",
         "cluster_stats": _GROUPS + " SELECT norm_hash, frequency, median_lines, removable_lines, severity FROM groups",

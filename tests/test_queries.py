@@ -1,4 +1,4 @@
-"""Every registered query of the engine against its SQL, or against a plain version."""
+"""Every registered query of the engine against its SQL."""
 
 import os
 
@@ -12,17 +12,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the drive
 
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_query_equals_sql(spark, name):
-    same(spark, Q.queries()[name], Q.oracle_sql()[name])
-
-
-def test_queries_without_sql(spark):
-    near = {(r["a"], r["b"]) for r in Q.near_pairs(spark, DATA).collect()}
-    groups = Q.greedy_groups(spark, DATA).collect()
-    members = [r["member"] for r in groups]
-    assert len(members) == len(set(members)) and all(r["seed"] == r["member"] or tuple(sorted((r["seed"], r["member"]))) in near for r in groups)
-    exact = {r["norm_hash"]: r["frequency"] for r in Q.identical_groups(spark, DATA).collect()}
-    found = Q.duplicate_clusters(spark, DATA).collect()
-    assert sorted(r["frequency"] for r in found if r["match_type"] == "identical") == sorted(exact.values())
-    assert all(0 <= r["alignment"] <= 1 for r in Q.line_alignment(spark, DATA).collect())
-    blocks = Q.page_structure_blocks(spark, DATA).collect()
-    assert blocks and all(r["start_line"] <= r["end_line"] and r["sig_lines"] >= 3 for r in blocks)
+    assert same(spark, Q.queries()[name], Q.oracle_sql()[name]) >= 1
+
+
+def test_every_query_has_sql():
+    assert set(Q.queries()) == set(Q.oracle_sql())
