@@ -187,17 +187,18 @@ def beside(rows: DataFrame) -> np.ndarray:
     """For each identifier the sum, over its occurrences, of the signs of the words on its sides: what it occurs with, folded into BESIDE numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signs, total, words = _signs(), np.zeros((BESIDE, IDS)), 0
+        signs, total, words = _signs(), np.zeros((IDS, BESIDE), np.int32), 0
         for ids, doc, _, _ in _cut_batches(batches):
-            near = sum(signs[s].astype(np.int16) for s in _sides(ids, doc))
-            for k in range(BESIDE):
-                total[k] += np.bincount(ids, near[:, k], IDS)
+            near = signs.take(_sides(ids, doc), 0).sum(0, dtype=np.int16)
+            order = np.argsort(ids, kind="stable")
+            begins = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))[: len(ids)]
+            total[ids[order[begins]]] += np.add.reduceat(near.take(order, 0), begins, dtype=np.int32) if len(ids) else 0
             words += len(ids)
         if words:
-            yield from _pieces(total.ravel().astype(np.int32), words)
+            yield from _pieces(total.ravel(), words)
 
     total = _folded(rows.select("ids").mapInArrow(run, _PIECE), np.int32, False)
-    return np.zeros((IDS, BESIDE)) if total is None else total.reshape(BESIDE, IDS).T.astype(np.float64)
+    return np.zeros((IDS, BESIDE)) if total is None else total.reshape(IDS, BESIDE).astype(np.float64)
 
 
 def clusters(points: np.ndarray, weights: np.ndarray, k: int, turns: int = 15) -> np.ndarray:
@@ -217,7 +218,7 @@ def fresh_model(counts: np.ndarray, near: np.ndarray, distinct: int, seed: int =
     smooth = counts + 0.5
     mean = near / (counts[:, None] + 5.0)  # what is seen a few times only is drawn to the middle
     points = mean - (near.sum(0) / smooth.sum())[None, :] * (counts / (counts + 5.0))[:, None]
-    k = max(8, math.ceil(distinct**0.27))
+    k = max(8, math.ceil(distinct**0.25))
     classes = np.concatenate([np.arange(OWN), OWN + clusters(points[OWN:], smooth[OWN:], k)])
     mass = np.bincount(classes, smooth, OWN + k)
     rng = np.random.default_rng(seed)
@@ -228,12 +229,17 @@ def fresh_model(counts: np.ndarray, near: np.ndarray, distinct: int, seed: int =
     }
 
 
-def _forward(model: dict, sides: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    hidden = sum(model["vectors"][s] * scale for s, scale in zip(sides, model["scales"], strict=True))
+def _forward(model: dict, sides: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(hidden values, logits less their largest, the vectors of the words on the sides)."""
+    seen = [model["vectors"].take(s, 0) for s in sides]
+    hidden = seen[0] * model["scales"][0]
+    for vectors, scale in zip(seen[1:], model["scales"][1:], strict=True):
+        hidden += vectors * scale
     np.tanh(hidden, out=hidden)
-    logits = hidden @ model["out"] + model["bias"]
+    logits = hidden @ model["out"]
+    logits += model["bias"]
     logits -= logits.max(1, keepdims=True)
-    return hidden, logits
+    return hidden, logits, seen
 
 
 def log_probabilities(model: dict, ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -242,9 +248,9 @@ def log_probabilities(model: dict, ids: np.ndarray, doc: np.ndarray) -> np.ndarr
     sides = _sides(ids, doc)
     for k in range(0, len(ids), BATCH * 4):
         at = slice(k, k + BATCH * 4)
-        _, logits = _forward(model, [s[at] for s in sides])
+        _, logits, _ = _forward(model, [s[at] for s in sides])
         own = logits[np.arange(len(logits)), model["classes"][ids[at]]]
-        out[at] = own - np.log(np.exp(logits).sum(1)) + model["within"][ids[at]]
+        out[at] = own - np.log(np.exp(logits, out=logits).sum(1)) + model["within"][ids[at]]
     return out
 
 
@@ -259,19 +265,19 @@ def train(model: dict, ids: np.ndarray, doc: np.ndarray, seen: dict) -> None:
 
     for k in range(0, len(ids), BATCH):
         near = [s[k : k + BATCH] for s in sides]
-        hidden, p = _forward(model, near)
+        hidden, p, vectors = _forward(model, near)
         np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
         n = np.float32(len(p))
         p[np.arange(len(p)), model["classes"][ids[k : k + BATCH]]] -= 1
-        back = p @ model["out"].T * (1 - hidden * hidden)
-        scales = np.stack([(back * model["vectors"][s]).sum(0) for s in near]) / n
-        at, values = np.concatenate(near), np.concatenate([back * scale for scale in model["scales"]])
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        step("vectors", np.add.reduceat(values[order], begins) / n, at[begins])
-        step("scales", scales)
+        back = p @ model["out"].T
+        back *= 1 - hidden * hidden
+        for at, scale in zip(near, model["scales"], strict=True):
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            step("vectors", np.add.reduceat(back.take(order, 0), begins) * (scale / n), at[begins])
+        step("scales", np.stack([np.einsum("ij,ij->j", back, v) for v in vectors]) / n)
         step("out", hidden.T @ p / n)
         step("bias", p.sum(0) / n)
 
@@ -318,10 +324,10 @@ def scored(rows: DataFrame, model: dict) -> DataFrame:
 
 def rare_terms(rows: DataFrame, words: DataFrame, least: int) -> DataFrame:
     """(key, more): the log counts of the words that the lexicon does not know, summed for each document."""
-    some = rows.where(F.size("rare") > 0)
-    found = some.select("key", F.explode("rare").alias("word")).join(words.where(F.col("n") < least), "word").select("key", F.log("n").alias("term"), F.lit(0).alias("copies"))
-    both = found.unionByName(some.select("key", F.lit(0.0).alias("term"), F.lit(1).alias("copies")))
-    return both.groupBy("key").agg((F.sum("term") / F.sum("copies")).alias("more"))
+    each = rows.where(F.size("rare") > 0).select("key", F.posexplode("rare").alias("at", "word"))
+    found = each.join(words.where(F.col("n") < least), "word")
+    # equal rows share a key; each of them has one first word
+    return found.groupBy("key").agg((F.sum(F.log("n")) / F.count_if(F.col("at") == 0)).alias("more"))
 
 
 def pseudo_likelihoods(docs: DataFrame, known: int = KNOWN, vocabulary: int = VOCABULARY) -> DataFrame:
