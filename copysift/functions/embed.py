@@ -122,13 +122,13 @@ def plan_batches(tokens: list[int]) -> list[list[int]]:
 
 @dataclass(frozen=True)
 class ModelEmbedder:
-    """Any model as a provider: ``load()`` gives (count_tokens(text), encode(texts)) and is called once in each Python worker batch stream.
+    """Any model as a provider: ``load()`` gives (count_tokens(text), shorten(text, tokens), encode(texts)) and is called once in each Python worker batch stream.
 
-    Texts are encoded in planned batches, their vectors scaled to unit length and given back in the order of the rows.
+    Texts are shortened to ``BLOCK_TOKENS`` and encoded in planned batches, their vectors scaled to unit length and given back in the order of the rows.
     """
 
     model_id: str
-    load: Callable[[], tuple[Callable[[str], int], Callable[[list[str]], np.ndarray]]]
+    load: Callable[[], tuple[Callable[[str], int], Callable[[str, int], str], Callable[[list[str]], np.ndarray]]]
     ready: Callable[[], str] = lambda: "ready"
 
     def status(self) -> str:
@@ -139,11 +139,13 @@ class ModelEmbedder:
 
         @F.pandas_udf("array<float>")
         def vectors(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            count, encode = load()
+            count, shorten, encode = load()
             for texts in columns:
                 texts = texts.fillna("").tolist()
                 out: list = [None] * len(texts)
-                for batch in plan_batches([count(t) for t in texts]):
+                sizes = [count(t) for t in texts]
+                texts = [shorten(t, BLOCK_TOKENS) if n > BLOCK_TOKENS else t for t, n in zip(texts, sizes, strict=True)]
+                for batch in plan_batches(sizes):
                     found = np.asarray(encode([texts[i] for i in batch]), np.float64)
                     found /= np.maximum(np.sqrt((found * found).sum(1, keepdims=True)), 1e-12)
                     for i, vector in zip(batch, found.astype(np.float32).tolist(), strict=True):

@@ -30,6 +30,8 @@ CONFIDENCE_GUIDE = {
     "low": "alike in outline; read both before acting",
 }
 REFRESH_SECONDS = 2.0
+#: A checkout writes several files of the repository; it is over when they have stayed as they are for so long.
+SETTLE_SECONDS = 0.3
 
 
 class Findings:
@@ -69,9 +71,23 @@ def git_fingerprint(root: str) -> str | None:
     return "|".join(parts)
 
 
-def listed(paths: list[str], most: int = C.MAX_LISTED) -> str:
-    more = len(paths) - most
-    return ", ".join(paths[:most]) + (f" and {more} more" if more > 0 else "")
+def settled_fingerprint(root: str, seconds: float = SETTLE_SECONDS, most: float = 5.0) -> str | None:
+    """git_fingerprint(), once it has not changed for ``seconds`` (after ``most`` seconds as it is)."""
+    until, last = time.monotonic() + most, git_fingerprint(root)
+    while last is not None and time.monotonic() < until:
+        time.sleep(seconds)
+        now = git_fingerprint(root)
+        if now == last:
+            break
+        last = now
+    return last
+
+
+def listed(paths: list[str], total: int | None = None) -> str:
+    """Some paths by name, and how many more there are of ``total``."""
+    shown = paths[: C.MAX_LISTED]
+    more = (len(paths) if total is None else total) - len(shown)
+    return ", ".join(shown) + (f" and {more} more" if more > 0 else "")
 
 
 class Engine:
@@ -86,6 +102,7 @@ class Engine:
         self.findings = Findings()
         self._lock, self._refreshed, self._tree = threading.RLock(), 0.0, None
         self._files: DataFrame | None = None
+        self._indexing: threading.Thread | None = None
 
     # -- keeping current
 
@@ -100,6 +117,8 @@ class Engine:
         """Looks for changes, at most every two seconds unless the checked-out commit is another."""
         with self._lock:
             tree = git_fingerprint(self.root)
+            if tree != self._tree and self._tree is not None:
+                tree = settled_fingerprint(self.root)  # another commit is being checked out
             if not force and tree == self._tree and time.monotonic() - self._refreshed < REFRESH_SECONDS and self._files is not None:
                 return
             self.adopt_config()
@@ -112,6 +131,35 @@ class Engine:
         with self._lock:
             return drain(self.store, self.root, self.settings, self.embedder) if self.embedder.status() == "ready" else 0
 
+    def start(self) -> bool:
+        """Goes on indexing in the background, if something is left to do and the model is there; says whether it does."""
+        if self._indexing is not None and self._indexing.is_alive():
+            return True
+        if self.embedder.status() != "ready" or not self.store.counts()["pending"]:
+            return False
+        self._indexing = threading.Thread(target=self.index, name="copysift-index", daemon=True)
+        self._indexing.start()
+        return True
+
+    def wait(self, seconds: float | None = None) -> bool:
+        """Waits for the background indexing; says whether it is done."""
+        if self._indexing is not None:
+            self._indexing.join(seconds)
+        return self._indexing is None or not self._indexing.is_alive()
+
+    def watch(self, seconds: float = REFRESH_SECONDS) -> threading.Event:
+        """Looks at the repository's state every few seconds and refreshes when it has settled on another commit, until the returned event is set."""
+        stop, seen = threading.Event(), git_fingerprint(self.root)
+
+        def look(seen: str | None = seen) -> None:
+            while not stop.wait(seconds):
+                if git_fingerprint(self.root) != seen:
+                    seen = settled_fingerprint(self.root)
+                    self.refresh(force=True)
+
+        threading.Thread(target=look, name="copysift-watch", daemon=True).start()
+        return stop
+
     def _source(self) -> DataFrame:
         return self._files.where("kind = 'file'")
 
@@ -124,10 +172,23 @@ class Engine:
         return {"files_in_scope": scope, "files_embedded": done, "pending_files": counts["pending"], "percent_complete": 100 * done // scope if scope else 100}
 
     def scope(self) -> dict[str, Any]:
-        skipped = sorted(r["file"] for r in self._files.where("kind = 'repository'").limit(10_000).collect())
+        skipped = self._files.where("kind = 'repository'")
         out = {"files_in_scope": self._source().count(), "config_file": C.CONFIG_FILE, "configured": os.path.exists(os.path.join(self.root, C.CONFIG_FILE))}
         out["largest_folders"] = [r.asDict() for r in rank.largest_folders(self._source()).collect()]
-        return out | ({"skipped_nested_repositories": skipped} if skipped else {})
+        if n := skipped.count():
+            out |= {"skipped_nested_repositories": [r["file"] for r in skipped.orderBy("file").limit(C.MAX_LISTED).collect()], "skipped_nested_repositories_count": n}
+        return out
+
+    @staticmethod
+    def scope_notice(scope: dict[str, Any]) -> str | None:
+        """What a reader may want to change about the scope: repositories that are left out, or a large project without settings."""
+        parts = []
+        if names := scope.get("skipped_nested_repositories"):
+            parts.append(f"{scope['skipped_nested_repositories_count']} repositories inside this one are left out: {listed(names, scope['skipped_nested_repositories_count'])}. \"includeNestedRepositories\": true in {C.CONFIG_FILE} takes them in.")
+        if not scope["configured"] and scope["files_in_scope"] >= C.SMALL_PROJECT_FILES:
+            folders = ", ".join(f"{f['folder']} ({f['files']})" for f in scope["largest_folders"])
+            parts.append(f"All {scope['files_in_scope']} source files are in scope, as there is no {C.CONFIG_FILE}; most are in {folders}. Name what is not this team's code there, as globs under \"exclude\" (or \"include\"); the next request reads it.")
+        return " ".join(parts) or None
 
     def status(self) -> dict[str, Any]:
         with self._lock:
@@ -150,8 +211,14 @@ class Engine:
         return {"notice": notice, "analysis_mode": "heuristic", "confidence_guide": CONFIDENCE_GUIDE, "duplications": [], "summary": {"clusters_found": 0, "total_removable_lines": 0, "files_involved": 0, "by_confidence": {}}} | more
 
     def detect(self, query: C.Query | None = None) -> dict[str, Any]:
-        """The report: ranked clusters, totals over all that are trusted enough, and how complete the index is."""
+        """The report: ranked clusters, totals over all that are trusted enough, and how complete the index is. What is not indexed yet is, in the background, afterwards."""
         query = query or C.Query()
+        try:
+            return self._detect(query)
+        finally:
+            self.start()
+
+    def _detect(self, query: C.Query) -> dict[str, Any]:
         with self._lock:
             self.refresh()
             if self.embedder.status() != "ready":
@@ -168,10 +235,8 @@ class Engine:
             if progress["pending_files"]:
                 report |= {"notice": f"{progress['pending_files']} files are still to be indexed; near copies in them may be missing.", "progress": progress}
             scope = self.scope()
-            if "skipped_nested_repositories" in scope or not scope["configured"] and scope["files_in_scope"] >= C.SMALL_PROJECT_FILES:
-                report["scope"] = scope
-                if skipped := scope.get("skipped_nested_repositories"):
-                    report["scope_notice"] = f"Repositories inside this one are left out: {listed(skipped)}."
+            if notice := self.scope_notice(scope):
+                report |= {"scope": scope, "scope_notice": notice}
             if query.include_suppressed:
                 report["suppressed_idioms"] = [r.asDict(True) for r in rank.top(judged.where("suppressed is not null"), query.order_by, query.top).drop("cluster", "place").collect()]
             self._remember(first)

@@ -185,19 +185,28 @@ def folder_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.largest_folders(_documents(spark, sf_dir))
 
 
+def _meeting(left: DataFrame, right: DataFrame, size: int) -> DataFrame:
+    """Pairs of windows (start_line, end_line) and (c, d) of a document that begin within ``size`` lines of each other, and some more.
+
+    Windows meet by the stretch of ``size`` lines in which they begin, so a long text costs its number of windows and not its square.
+    """
+    stretch = F.floor(F.col("start_line") / size)
+    right = right.toDF("doc_id", "c", "d").withColumn("stretch", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.floor(F.col("c") / size) + k)))
+    return left.withColumn("stretch", stretch).join(right, ["doc_id", "stretch"])
+
+
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each window of 20 lines how many other windows of its document share a line with it."""
-    left = _windows(spark, sf_dir, 20)
-    right = left.select("doc_id", F.col("start_line").alias("c"), F.col("end_line").alias("d"))
-    rows = left.join(right, "doc_id").where(M.overlapping(F.col("start_line"), F.col("end_line"), F.col("c"), F.col("d")) & (F.col("start_line") != F.col("c")))
+    windows = _windows(spark, sf_dir, 20)
+    rows = _meeting(windows, windows, 20).where(M.overlapping(F.col("start_line"), F.col("end_line"), F.col("c"), F.col("d")) & (F.col("start_line") != F.col("c")))
     return rows.groupBy("doc_id", "start_line", "end_line").agg(F.count("*").alias("overlapping"))
 
 
 def coverage_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 lines that a window of 20 lines of the document covers by 80 % or more."""
-    inner, outer = _windows(spark, sf_dir, 10), _windows(spark, sf_dir, 20).select("doc_id", F.col("start_line").alias("c"), F.col("end_line").alias("d"))
     share = M.coverage(F.col("start_line"), F.col("end_line"), F.col("c"), F.col("d"))
-    return inner.join(outer, "doc_id").where(share >= 0.8).groupBy("doc_id", "start_line", "end_line").agg(F.count("*").alias("covering"))
+    rows = _meeting(_windows(spark, sf_dir, 10), _windows(spark, sf_dir, 20), 20).where(share >= 0.8)
+    return rows.groupBy("doc_id", "start_line", "end_line").agg(F.count("*").alias("covering"))
 
 
 def paths_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from copysift.functions.embed import ATTENTION_CELLS, ModelEmbedder, StructureEmbedder, plan_batches, structure_vector
+from copysift.functions.embed import ATTENTION_CELLS, ModelEmbedder, ProseEmbedder, StructureEmbedder, plan_batches, prose_vector, structure_vector
 
 
 def test_batches():
@@ -27,13 +27,25 @@ def test_renamed_code_is_nearer_than_other_code():
     assert cos(code, "import a from b; export default class C extends D {}") < 0.8
 
 
+def test_prose_vectors_tell_edited_copies_from_other_texts(spark):
+    rng = random.Random(2)
+    text = [f"w{rng.randrange(300)}" for _ in range(200)]
+    edited = [w if rng.random() > 0.05 else "changed" for w in text]
+    other = [f"w{rng.randrange(300)}" for _ in range(200)]
+    cos = lambda a, b: float(np.dot(prose_vector(" ".join(a), 256), prose_vector(" ".join(b), 256)))
+    assert cos(text, edited) > 0.8 and abs(cos(text, other)) < 0.3 and cos(text, [w.upper() for w in text]) > 0.999
+    assert prose_vector("", 4) == [0.0] * 4 and max(map(abs, prose_vector("one", 4))) == 1.0
+    rows = spark.createDataFrame([("a b",), (None,)], "t string").select(ProseEmbedder(8).column(F.col("t")).alias("v")).collect()
+    assert [len(r["v"]) for r in rows] == [8, 8] and not any(rows[1]["v"])
+
+
 def test_providers_keep_the_order_of_rows(spark):
-    texts = ["a", "b b b", None, "c c"] * 20
+    texts = ["a", "b b b", None, "c c"] * 20 + ["d " * 3000]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    model = ModelEmbedder("lengths", lambda: (lambda t: len(t.split()), lambda ts: np.array([[len(t), 3.0] for t in ts])))
+    model = ModelEmbedder("lengths", lambda: (lambda t: len(t.split()), lambda t, n: " ".join(t.split()[:n]), lambda ts: np.array([[len(t), 3.0] for t in ts])))
     got = {r["i"]: r["v"] for r in rows.select("i", model.column(F.col("t")).alias("v")).collect()}
     for i, t in enumerate(texts):
-        want = np.array([len(t or ""), 3.0])
+        want = np.array([min(len(t or ""), 2 * 1024 - 1), 3.0])
         assert np.allclose(got[i], want / np.linalg.norm(want), atol=1e-6)
     assert model.status() == StructureEmbedder().status() == "ready"
     assert len(rows.select(StructureEmbedder(16).column(F.col("t")).alias("v")).first()["v"]) == 16

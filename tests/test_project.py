@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import pytest
 from hypothesis import given
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 
 from copysift.config import Query, Settings, load_config, merged
 from copysift.functions.report import to_yaml
-from copysift.plans.engine import Engine, Findings
+from copysift.plans.engine import Engine, Findings, git_fingerprint, settled_fingerprint
 from copysift.sources.globs import matches
 from copysift.sources.project import listing
 from copysift.sources.store import Store
@@ -118,6 +119,35 @@ def test_engine(spark, tmp_path):
     assert "notice" in engine.explain("nothing")
 
 
+def test_an_answer_goes_on_indexing(spark, tmp_path):
+    root = project(tmp_path / "p", {f"a/f{i}.ts": BODY.replace("total", f"t{i}") for i in range(3)} | {"sub/own/.git/HEAD": "ref: refs/heads/main"})
+    engine = Engine(spark, root, index=str(tmp_path / "index"))
+    report = engine.detect()
+    assert report["progress"]["pending_files"] == 3 and "notice" in report
+    assert engine.wait(300)
+    report = engine.detect()
+    assert "progress" not in report and report["status"]["pending"] == 0 and not engine.start()
+    assert report["scope"]["skipped_nested_repositories_count"] == 1 and "sub/own" in report["scope_notice"]
+    assert engine.wait(0) and engine.scope_notice({"configured": False, "files_in_scope": 900, "largest_folders": [{"folder": "a", "files": 899}]}).count("a (899)") == 1
+
+
+def test_a_checkout_is_seen_when_it_has_settled(spark, tmp_path):
+    root = project(tmp_path / "p", {"a.ts": BODY, ".git/HEAD": "ref: refs/heads/main", ".git/refs/heads/main": "1"})
+    engine = Engine(spark, root, index=str(tmp_path / "index"))
+    engine.refresh(force=True)
+    stop = engine.watch(0.05)
+    try:
+        (tmp_path / "p" / "b.ts").write_text(BODY)
+        (tmp_path / "p" / ".git" / "HEAD").write_text("ref: refs/heads/other")
+        until = time.monotonic() + 120
+        while engine.store.counts()["files"] < 2 and time.monotonic() < until:
+            time.sleep(1)
+        assert engine.store.counts()["files"] == 2
+    finally:
+        stop.set()
+    assert settled_fingerprint(root, 0.01) == git_fingerprint(root) and settled_fingerprint(str(tmp_path)) is None
+
+
 def test_stream(spark, tmp_path):
     kind = "file string, mtime double, size long, content string"
     store = Store(spark, str(tmp_path / "index"), "structure-64")
