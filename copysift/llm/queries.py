@@ -20,7 +20,8 @@ def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = span_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.withColumn("first_docs", F.array_join(F.transform("first_docs", lambda d: d.cast("string")), ","))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +140,30 @@ taken AS (SELECT doc_id, size, t.source_size, t.target, passes, coalesce(shards,
 SELECT doc_id, size, source_size, target, (passes * size + part)::BIGINT AS taken, array_to_string(shards[1:CASE WHEN size > 0 THEN passes + (part > 0)::INT ELSE 0 END], ',') AS shards FROM taken""".replace("{levels}", ",".join(map(_level, range(3))))
 
 
+_SPANS = r"""
+WITH found AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, string_split_regex(text, '[^\x20\x09-\x0D]+') AS gaps FROM documents),
+words AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word, unnest(gaps[1:len(ws)]) AS gap, unnest(gaps[2:len(ws) + 1]) AS after, len(ws) AS n FROM found WHERE len(ws) > 0),
+placed AS (SELECT *, sum(length(gap) + length(word)) OVER w - length(word) AS start, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run
+    FROM (SELECT *, right(word, 1) IN ('.', '!', '?') OR contains(after, chr(10)) OR i = n AS ends FROM words) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+pieces AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, run ORDER BY i) - 1) // 30 AS piece FROM placed),
+sentences AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS s, min(i) - 1 AS c, min(start) AS start FROM pieces GROUP BY doc_id, run, piece),
+bounds AS (SELECT doc_id, s AS k, c FROM sentences UNION ALL SELECT doc_id, max(s) + 1, (SELECT max(n) FROM words w WHERE w.doc_id = o.doc_id) FROM sentences o GROUP BY doc_id),
+runs AS (SELECT a.doc_id, a.k AS b, min(z.k) AS e FROM bounds a JOIN bounds z ON z.doc_id = a.doc_id AND z.k BETWEEN a.k + 2 AND a.k + 15 AND z.c >= a.c + 15 GROUP BY ALL
+    UNION SELECT z.doc_id, max(a.k), z.k FROM bounds z JOIN bounds a ON a.doc_id = z.doc_id AND a.k BETWEEN z.k - 15 AND z.k - 2 AND z.c >= a.c + 15 GROUP BY z.doc_id, z.k),
+lowered AS (SELECT doc_id, list_transform(ws, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM found),
+spans AS (SELECT r.doc_id, r.b, r.e, md5(array_to_string(ws[a.c + 1:z.c], ' ')) AS span FROM runs r JOIN bounds a ON a.doc_id = r.doc_id AND a.k = r.b JOIN bounds z ON z.doc_id = r.doc_id AND z.k = r.e JOIN lowered l ON l.doc_id = r.doc_id),
+later AS (SELECT * FROM (SELECT *, first_value(doc_id) OVER w AS first_doc, row_number() OVER w AS nth FROM spans WINDOW w AS (PARTITION BY span ORDER BY doc_id, b)) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(b, e)) AS s FROM later),
+marked AS (SELECT s.doc_id, s.s, s.start, g.s IS NOT NULL AS gone, coalesce(lead(s.start) OVER w, length(text)) AS stop, s.s - sum((g.s IS NOT NULL)::INT) OVER w AS island, text FROM sentences s JOIN found USING (doc_id) LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.s = s.s WINDOW w AS (PARTITION BY s.doc_id ORDER BY s.s)),
+islands AS (SELECT doc_id, min(start) AS a, max(stop) AS z FROM marked WHERE gone GROUP BY doc_id, island),
+texts AS (SELECT doc_id, any_value(substr(text, 1, first::BIGINT)) || coalesce(string_agg(substr(text, start::BIGINT + 1, (stop - start)::BIGINT), '' ORDER BY s) FILTER (NOT gone), '') AS text, count(*) AS n_sentences, count(*) FILTER (gone) AS n_removed
+    FROM (SELECT *, min(start) OVER (PARTITION BY doc_id) AS first FROM marked) GROUP BY doc_id),
+told AS (SELECT doc_id, string_agg(first_doc, ',' ORDER BY first_doc) AS first_docs FROM (SELECT DISTINCT doc_id, first_doc FROM later) GROUP BY doc_id),
+removed AS (SELECT doc_id, string_agg(a::BIGINT || '-' || z::BIGINT, ',' ORDER BY a) AS removed FROM islands GROUP BY doc_id)
+SELECT f.doc_id, coalesce(t.text, f.text) AS text, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, first_docs
+FROM found f LEFT JOIN texts t USING (doc_id) LEFT JOIN told USING (doc_id) LEFT JOIN removed USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can express; it compares all pairs that share something, so it is for small tables."""
     return {
@@ -153,6 +178,7 @@ SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN last END AS refers_to FROM m""",
+        "op3_substring_dedup": _SPANS,
         "op5_pii": _PII,
         "op8_embedding_near_dedup": f"""
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
