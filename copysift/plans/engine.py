@@ -98,6 +98,8 @@ class Engine:
         self.embedder = embedder or StructureEmbedder()
         self._given = settings
         self.settings = C.read_config(self.root) or settings or C.Settings()
+        if index is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name an index folder that the driver and all executors share")
         self.store = Store(spark, index or folder_for(self.root), self.embedder.model_id)
         self.findings = Findings()
         self._lock, self._refreshed, self._tree = threading.RLock(), 0.0, None
@@ -280,7 +282,7 @@ class Engine:
         with self._lock:
             self.store.mark_all_dirty()
             if full:
-                self.store._write("vectors", self.store.all_vectors().where(F.col("model_id") != self.embedder.model_id))
+                self.store.drop_vectors()
             self.refresh(force=True)
             return {"embedded": self.index() if wait else 0, "pending_files": self.store.counts()["pending"]}
 

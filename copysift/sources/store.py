@@ -1,21 +1,23 @@
-"""The index of a project: a table of block vectors and a table of file states, as versioned Parquet snapshots.
+"""The index of a project: a table of block vectors and a table of file states, each an append-only Parquet folder.
 
-A write makes a new snapshot folder and then moves a pointer file, so readers see the old state or the new
-one. One writer at a time. Folders are read and written by Spark; only the pointers are small local files in
-the index folder.
+A write appends rows with a version, or marks of what is gone; a read takes the last row of each key. So a write costs what it
+adds and not what is there, Spark's commit decides whether it counts, and the folder may be in any store that Spark reaches.
+``compact`` leaves the last rows only. One writer at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import shutil
-import uuid
+import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from copysift.frames import cut
+
 VECTORS = "norm_hash string, vector array<float>, model_id string, created_at timestamp"
 STATE = "file string, mtime double, size long, content_hash string, dirty boolean, chunk_hashes array<string>"
 
@@ -47,39 +49,33 @@ def orphans(vectors: DataFrame, state: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Reads and writes of one index folder for one model."""
+    """Reads and writes of one index folder, which driver and executors share, for one model."""
 
     def __init__(self, spark: SparkSession, path: str, model_id: str) -> None:
         self.spark, self.path, self.model_id = spark, path, model_id
-        os.makedirs(path, exist_ok=True)
-
-    def _pointer(self, name: str) -> str:
-        return os.path.join(self.path, f"{name}.current")
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def _rows(self, name: str, schema: str) -> DataFrame:
+        kind = f"{schema}, version long, gone boolean"  # a column that older files lack is read as null
         try:
-            with open(self._pointer(name), encoding="utf-8") as f:
-                folder = f.read()
-        except OSError:
-            return self.spark.createDataFrame([], schema)
-        # a column that an older snapshot lacks is read as null
-        return self.spark.read.schema(schema).parquet(os.path.join(self.path, folder))
-
-    def _write(self, name: str, rows: DataFrame) -> None:
-        folder = f"{name}-{uuid.uuid4().hex}"
-        rows.write.parquet(os.path.join(self.path, folder))
-        with open(self._pointer(name) + ".partial", "w", encoding="utf-8") as f:
-            f.write(folder)
-        old = None
-        if os.path.exists(self._pointer(name)):
-            with open(self._pointer(name), encoding="utf-8") as f:
-                old = f.read()
-        os.replace(self._pointer(name) + ".partial", self._pointer(name))
-        if old:
-            shutil.rmtree(os.path.join(self.path, old), ignore_errors=True)
+            return self.spark.read.schema(kind).parquet(f"{self.path}/{name}")
+        except AnalysisException:  # nothing has been written yet
+            return self.spark.createDataFrame([], kind)
+
+    def _read(self, name: str, schema: str, *key: str) -> DataFrame:
+        rows = self._rows(name, schema).withColumn("key", F.concat_ws("|", *key))
+        return latest(rows, "key", F.col("version")).where(~F.coalesce("gone", F.lit(False))).drop("key", "version", "gone")
+
+    def _append(self, name: str, rows: DataFrame, gone: bool = False) -> None:
+        rows.withColumn("version", F.lit(time.time_ns())).withColumn("gone", F.lit(gone)).write.mode("append").parquet(f"{self.path}/{name}")
+
+    def compact(self) -> None:
+        """Leaves the last row of each key only."""
+        for name, rows in (("vectors", self.all_vectors()), ("state", self.state())):
+            kept = cut(rows)
+            kept.withColumn("version", F.lit(time.time_ns())).withColumn("gone", F.lit(False)).write.mode("overwrite").parquet(f"{self.path}/{name}")
 
     def all_vectors(self) -> DataFrame:
-        return self._read("vectors", VECTORS)
+        return self._read("vectors", VECTORS, "model_id", "norm_hash")
 
     def vectors(self) -> DataFrame:
         """(norm_hash, vector) of this store's model."""
@@ -94,40 +90,40 @@ class Store:
 
     def put_vectors(self, rows: DataFrame) -> None:
         """Adds or replaces vectors (norm_hash, vector)."""
-        fresh = rows.select("norm_hash", F.col("vector").cast("array<float>").alias("vector"), F.lit(self.model_id).alias("model_id"), F.current_timestamp().alias("created_at"))
-        both = self.all_vectors().withColumn("turn", F.lit(0)).unionByName(fresh.withColumn("turn", F.lit(1)))
-        keyed = both.withColumn("key", F.concat_ws("|", "model_id", "norm_hash"))
-        self._write("vectors", latest(keyed, "key", F.col("turn"), F.col("created_at")).drop("key", "turn"))
+        self._append("vectors", rows.select("norm_hash", F.col("vector").cast("array<float>").alias("vector"), F.lit(self.model_id).alias("model_id"), F.current_timestamp().alias("created_at")))
+
+    def drop_vectors(self) -> None:
+        """Removes all vectors of this model."""
+        self._append("vectors", self.all_vectors().where(F.col("model_id") == self.model_id), gone=True)
 
     def state(self) -> DataFrame:
-        return self._read("state", STATE)
+        return self._read("state", STATE, "file")
 
     def dirty_files(self) -> DataFrame:
         return self.state().where("dirty").orderBy("file")
 
     def merge_state(self, changes: DataFrame, keep: DataFrame | None = None) -> None:
         """Adds or replaces file rows; with ``keep`` (file), others are removed. Null chunk_hashes keep the old ones."""
-        old = self.state()
+        old = cut(self.state())
         if keep is not None:
+            self._append("state", left_out(old, keep, "file"), gone=True)
             old = present(old, keep, "file")
-        old_hashes = old.select("file", F.col("chunk_hashes").alias("old_hashes"))
-        rows = changes.join(old_hashes, "file", "left").withColumn("chunk_hashes", F.coalesce("chunk_hashes", "old_hashes", F.array().cast("array<string>"))).drop("old_hashes")
-        rest = left_out(old, changes, "file")
-        self._write("state", rest.unionByName(rows.select(*rest.columns)))
+        rows = changes.join(old.select("file", F.col("chunk_hashes").alias("old_hashes")), "file", "left")
+        self._append("state", rows.withColumn("chunk_hashes", F.coalesce("chunk_hashes", "old_hashes", F.array().cast("array<string>"))).select(*old.columns))
 
     def mark_all_dirty(self) -> None:
-        self._write("state", self.state().withColumn("dirty", F.lit(True)))
+        self._append("state", self.state().withColumn("dirty", F.lit(True)))
 
     def remove_file(self, file: str) -> None:
-        self._write("state", self.state().where(F.col("file") != file))
+        self._append("state", self.state().where(F.col("file") == file), gone=True)
 
     def prune(self) -> int:
         """Removes vectors, of any model, that no file refers to; returns how many."""
-        everything = self.all_vectors()
-        gone = orphans(everything, self.state())
-        n = gone.count()
+        lost = cut(orphans(self.all_vectors(), self.state()))
+        n = lost.count()
         if n:
-            self._write("vectors", present(everything, self.state().select(F.explode("chunk_hashes").alias("norm_hash")), "norm_hash"))
+            self._append("vectors", lost, gone=True)
+            self.compact()
         return n
 
     def counts(self) -> dict[str, int]:

@@ -83,6 +83,12 @@ def test_store(spark, tmp_path):
     assert store.prune() == 1 and store.prune() == 0
     store.remove_file("f")
     assert store.counts() == {"pending": 0, "files": 1, "vectors": 2}
+    before = sorted(map(str, store.state().collect()))
+    store.compact()
+    assert sorted(map(str, store.state().collect())) == before and store.counts()["vectors"] == 2
+    other.put_vectors(vectors("z"))
+    store.drop_vectors()
+    assert store.counts()["vectors"] == 0 and other.counts()["vectors"] == 1
 
 
 def test_findings():
