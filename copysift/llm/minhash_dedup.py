@@ -120,8 +120,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     smallest doc_id that links reach. With the defaults a pair at the threshold escapes all bands with
     probability 6e-5 (3e-7 at 0.85); what bands find is confirmed exactly.
 
-    Null and blank texts have no shingles and are linked with nothing. Rows with the same doc_id are the same
-    document: their links join. A null doc_id takes part as a copy of an equal set only; component_id is then
+    Null and blank texts have no shingles and are linked with nothing. Equal sets are told by a 128-bit digest. A pair whose sketches
+    differ by ``ERRORS`` standard errors more than the threshold allows is dismissed before confirmation. Rows with the same doc_id are
+    the same document: their links join (in buckets of more than ``SMALL`` nodes those of one of its texts only). A null doc_id takes part as a copy of an equal set only; component_id is then
     that set's, or null, and such a row is kept only if no row with an id has its set. An empty table gives no rows.
     """
     signed = cut(sketches(docs, k, bands, rows))
