@@ -23,7 +23,7 @@ def frame(spark, docs):
 ODD = [(None, None), (1, None), (2, ""), (3, " \n\t "), (4, "a"), (4, "a"), (5, "word " * 60_000), (6, "y" * 400_000), (7, "x é 😀. a@b.co é. " * 3)]
 
 PRIVATE = [
-    "mail a@b.c_d@e.f.g, x@y and foo@bar.com.", "a" * 30_000 + " z@z.zz", "1.2.3.4.5 256.1.1.1 007.0.0.255 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112", "1" * 100_000,
+    "mail a@b.c_d@e.f.g, x@y and foo@bar.com.", "a" * 30_000 + " z@z.zz", "1.2.3.4.5 256.1.1.1 007.0.0.255 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112", "1" * 20_000,
     "+1 (555) 123-4567 +49 30 1234 +1+2 +123456789012345678", "é😀 a@b.cd 4041894974608795", None, "", "a@b.c@d.e a..b@c--.d-.e %@1.2", "12-34 56--78 " + "4 2" * 9, "x@y.z" * 40,
 ]
 
