@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copysift.llm import decontam, minhash_dedup, mixing, pii, pseudo_lm, quality, span_dedup, vector_dedup, warc, wrapper
+from copysift.llm import decontam, filter_audit, minhash_dedup, mixing, pii, pseudo_lm, quality, span_dedup, vector_dedup, warc, wrapper
 from copysift.llm.frames import new_folder, table
 
 
@@ -53,6 +53,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f) and "_" in name and name[2].isdigit()]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
@@ -164,6 +168,22 @@ SELECT f.doc_id, coalesce(t.text, f.text) AS text, coalesce(n_sentences, 0) AS n
 FROM found f LEFT JOIN texts t USING (doc_id) LEFT JOIN told USING (doc_id) LEFT JOIN removed USING (doc_id)"""
 
 
+_AUDIT = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+known AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
+masks AS (SELECT part, quality, toxic, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS mask FROM t LEFT JOIN known USING (doc_id)),
+cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS bad FROM masks GROUP BY ALL),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(letter, bit)),
+orders(prefix, bit, before, applied) AS (SELECT '', 0, 0, 0 UNION ALL SELECT prefix || letter, l.bit, applied, applied | l.bit FROM orders JOIN letters l ON applied & l.bit = 0),
+steps AS (SELECT part, prefix, coalesce(sum(n) FILTER (mask & applied = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(bad) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost
+    FROM cells CROSS JOIN orders WHERE prefix <> '' GROUP BY ALL),
+placed AS (SELECT part, o.prefix AS filter_order, length(s.prefix)::INT AS step, right(s.prefix, 1) AS filter, kept, removed, redundant, unique_fails, good_lost, toxic_lost FROM steps s JOIN orders o ON length(o.prefix) = 5 AND starts_with(o.prefix, s.prefix))
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM placed"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can express; it compares all pairs that share something, so it is for small tables."""
     return {
@@ -188,6 +208,7 @@ nodes AS (SELECT vec_id AS id FROM v), {_REACHED},
 counts AS (SELECT a, count(*) AS n FROM sides GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN found ON id = vec_id LEFT JOIN counts ON a = vec_id""",
         "op9_source_mixing": _MIX,
+        "op11_filter_audit": _AUDIT,
         "op10_benchmark_decontamination": f"""
 WITH w AS (SELECT doc_id, NULL AS item_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}') AS w FROM documents UNION ALL SELECT NULL, item_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}') FROM benchmark),
 s AS (SELECT doc_id, item_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
