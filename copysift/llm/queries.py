@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copysift.llm import decontam, filter_audit, minhash_dedup, mixing, pii, pseudo_lm, quality, span_dedup, vector_dedup, warc, wrapper
+from copysift.llm import decontam, filter_audit, minhash_dedup, mixing, pii, pseudo_lm, quality, sharding, span_dedup, vector_dedup, warc, wrapper
 from copysift.llm.frames import new_folder, table
 
 
@@ -57,6 +57,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assigned(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f) and "_" in name and name[2].isdigit()]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
@@ -184,6 +188,45 @@ placed AS (SELECT part, o.prefix AS filter_order, length(s.prefix)::INT AS step,
 SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM placed"""
 
 
+#: CRC-32 by a table that follows from its polynomial: {crc_table}, and of a text {crc}.
+_CRC_TABLE = "crc_table AS (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS crcs FROM (SELECT unnest(range(256)) AS n))"
+_CRC = "xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)"
+def _before(block: str) -> str:
+    """How many of n rows are before a block, of 8 shards of 4 blocks."""
+    size = f"(n // 8 + ({block} // 4 < n % 8)::INT)"
+    return f"({block} // 4 * (n // 8) + least({block} // 4, n % 8) + {block} % 4 * ({size} // 4) + least({block} % 4, {size} % 4))"
+
+
+#: How many of the part p go left, given the rows and the places on the left that are still to deal (s): {a, b} is where values can be, cum their cumulative weights.
+_DRAW = """list_transform([{'n': p.n::DOUBLE, 'm': s.marked::DOUBLE, 't': s.total::DOUBLE, 'low': greatest(0, p.n + s.marked - s.total), 'high': least(p.n, s.marked)}], lambda q:
+    list_transform([{'mode': least(q.high, greatest(q.low, floor((q.n + 1) * (q.m + 1) / (q.t + 2))::BIGINT)), 'reach': ceil(9 * sqrt(q.n * (q.m / greatest(q.t, 1.0)) * ((q.t - q.m) / greatest(q.t, 1.0)) * ((q.t - q.n) / greatest(q.t - 1, 1.0))))::BIGINT + 16}], lambda r:
+    list_transform([{'a': greatest(q.low, r.mode - r.reach), 'cum': list_reduce(range(greatest(q.low, r.mode - r.reach), least(q.high, r.mode + r.reach) + 1), lambda c, x:
+        {'w': c.w * (((q.n - x) * (q.m - x)) / ((x + 1.0::DOUBLE) * (q.t - q.n - q.m + x + 1.0::DOUBLE))), 'sum': c.sum + c.w, 'cum': list_append(c.cum, c.sum + c.w)}, {'w': 1.0::DOUBLE, 'sum': 0.0::DOUBLE, 'cum': []::DOUBLE[]}).cum}], lambda v:
+    least(q.high, v.a + len(list_filter(v.cum, lambda c: c <= v.cum[len(v.cum)] * (('0x' || substr(md5('13|' || a || '|' || b || '|' || p.part), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)))))[1])[1])[1]"""
+
+
+def _halved(k: int) -> str:
+    """The nodes of one level of the tree, halved: every part in turn draws how many of its rows go left."""
+    return f"""
+x{k} AS (SELECT a, b, (a + b) // 2 AS m, parts, list_reduce(parts, lambda s, p: list_transform([{_DRAW}], lambda x: {{'total': s.total - p.n, 'marked': s.marked - x, 'xs': list_append(s.xs, x)}})[1],
+    {{'total': {_before("b")} - {_before("a")}, 'marked': {_before("((a + b) // 2)")} - {_before("a")}, 'xs': []::BIGINT[]}}).xs AS xs FROM p{k}, rows_of),
+p{k + 1} AS (SELECT a, m AS b, list_transform(range(1, len(parts) + 1), lambda i: {{'part': parts[i].part, 'n': xs[i]}}) AS parts FROM x{k} UNION ALL SELECT m, b, list_transform(range(1, len(parts) + 1), lambda i: {{'part': parts[i].part, 'n': parts[i].n - xs[i]}}) FROM x{k})"""
+
+
+#: For up to a million rows, which have 32 parts and as many blocks.
+_SHARDS = rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE {_CRC.replace("{text}", "text")} END AS text_crc32 FROM documents, crc_table),
+r AS (SELECT *, ('0x' || substr(digest, 1, 6))::BIGINT % 32 AS part FROM (SELECT *, md5('13|' || coalesce(doc_id::VARCHAR, 'null') || '|' || text_crc32) AS digest FROM d)),
+rows_of AS (SELECT count(*) AS n FROM r),
+p0 AS (SELECT 0 AS a, 32 AS b, list({{'part': part, 'n': n}} ORDER BY part) AS parts FROM (SELECT part, count(*) AS n FROM r GROUP BY part)),{",".join(map(_halved, range(5)))},
+cells AS (SELECT block, p.part, p.n AS n FROM (SELECT a AS block, unnest(parts) AS p FROM p5)),
+ends AS (SELECT part, block, sum(n) OVER w - n AS low, sum(n) OVER w AS high FROM cells WINDOW w AS (PARTITION BY part ORDER BY block)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY digest) - 1 AS rank FROM r),
+sent AS (SELECT doc_id, size, text_crc32, block, row_number() OVER (PARTITION BY block ORDER BY md5('13|again|' || digest), digest) - 1 AS place FROM ranked JOIN ends USING (part) WHERE rank >= low AND rank < high)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (block // 4)::INT AS shard, ({_before("block")} - {_before("(block // 4 * 4)")} + place)::BIGINT AS slot, NULL::INT AS grown_shard FROM sent, rows_of"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can express; it compares all pairs that share something, so it is for small tables."""
     return {
@@ -209,6 +252,7 @@ counts AS (SELECT a, count(*) AS n FROM sides GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN found ON id = vec_id LEFT JOIN counts ON a = vec_id""",
         "op9_source_mixing": _MIX,
         "op11_filter_audit": _AUDIT,
+        "op13_sharding": _SHARDS,
         "op10_benchmark_decontamination": f"""
 WITH w AS (SELECT doc_id, NULL AS item_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}') AS w FROM documents UNION ALL SELECT NULL, item_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}') FROM benchmark),
 s AS (SELECT doc_id, item_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
