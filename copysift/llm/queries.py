@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copysift.llm import decontam, filter_audit, minhash_dedup, mixing, pii, pseudo_lm, quality, sharding, span_dedup, vector_dedup, warc, wrapper
+from copysift.llm import decontam, filter_audit, minhash_dedup, mixing, pii, pseudo_lm, quality, sharding, span_dedup, spelling, vector_dedup, warc, wrapper
 from copysift.llm.frames import new_folder, table
 
 
@@ -57,6 +57,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assigned(table(spark, sf_dir, "documents"))
 
@@ -191,6 +195,25 @@ SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FRO
 #: CRC-32 by a table that follows from its polynomial: {crc_table}, and of a text {crc}.
 _CRC_TABLE = "crc_table AS (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS crcs FROM (SELECT unnest(range(256)) AS n))"
 _CRC = "xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)"
+#: Words that differ by one replaced code point are equal but for one place; of two that differ by a deleted one, the shorter is the longer without it.
+_SPELLING = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{_UPPER}', '{_LOWER}') AS run FROM documents),
+hashed AS (SELECT run, {_CRC.replace("{text}", "doc_id || ':' || run")} AS h FROM runs, crc_table),
+slipped AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, count(*) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+less AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS short FROM places),
+masks AS (SELECT word, n, i, substr(word, 1, i - 1) || '|' || substr(word, i + 1) AS mask FROM places),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM masks a JOIN masks b ON a.mask = b.mask AND a.word <> b.word
+    UNION ALL SELECT l.word, l.n, w.word, w.n FROM less l JOIN words w ON l.short = w.word UNION ALL SELECT w.word, w.n, l.word, l.n FROM less l JOIN words w ON l.short = w.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+forms AS (SELECT word, min(other) AS form, any_value(near.m) AS form_n FROM near JOIN best USING (word, m) WHERE near.m >= 10 * near.n GROUP BY word),
+ways(word, last) AS (SELECT word, word FROM words UNION ALL SELECT ways.word, form FROM ways JOIN forms ON last = forms.word),
+roots AS (SELECT word, last AS root FROM ways WHERE last NOT IN (SELECT word FROM forms))
+SELECT word, form, root, n, coalesce(n_near, 0) AS n_near, form_n FROM words LEFT JOIN forms USING (word) JOIN roots USING (word) LEFT JOIN best USING (word)"""
+
+
 def _before(block: str) -> str:
     """How many of n rows are before a block, of 8 shards of 4 blocks."""
     size = f"(n // 8 + ({block} // 4 < n % 8)::INT)"
@@ -252,6 +275,7 @@ counts AS (SELECT a, count(*) AS n FROM sides GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN found ON id = vec_id LEFT JOIN counts ON a = vec_id""",
         "op9_source_mixing": _MIX,
         "op11_filter_audit": _AUDIT,
+        "op12_spelling_variants": _SPELLING,
         "op13_sharding": _SHARDS,
         "op10_benchmark_decontamination": f"""
 WITH w AS (SELECT doc_id, NULL AS item_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}') AS w FROM documents UNION ALL SELECT NULL, item_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}') FROM benchmark),
