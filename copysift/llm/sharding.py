@@ -51,30 +51,31 @@ def _with(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def hypergeometric(draws: Column, marked: Column, total: Column, u: Column) -> Column:
     """How many of ``total`` things, ``marked`` of them, are marked among ``draws`` drawn ones: the quantile ``u`` (0 to 1) of that number. All are longs."""
-    n, m, t = draws.cast("double"), marked.cast("double"), total.cast("double")
-    low, high = F.greatest(F.lit(0).cast("long"), draws + marked - total), F.least(draws, marked)
-    spread = F.sqrt(n * (m / F.greatest(t, F.lit(1.0))) * ((t - m) / F.greatest(t, F.lit(1.0))) * ((t - n) / F.greatest(t - 1, F.lit(1.0))))
-    reach = (F.ceil(DEVIATIONS * spread) + LEAST_REACH).cast("long")
-    mode = F.least(high, F.greatest(low, F.floor((n + 1) * (m + 1) / (t + 2)).cast("long")))
-    window = F.struct(F.greatest(low, mode - reach).alias("a"), F.least(high, mode + reach).alias("b"))
+    given = F.struct(draws.cast("double").alias("n"), marked.cast("double").alias("m"), total.cast("double").alias("t"), F.greatest(F.lit(0).cast("long"), draws + marked - total).alias("low"), F.least(draws, marked).alias("high"), u.alias("u"))
 
-    def quantile(r: Column) -> Column:
-        values = F.sequence(r["a"], r["b"])
+    def window(q: Column) -> Column:
+        n, m, t = q["n"], q["m"], q["t"]
+        spread = F.sqrt(n * (m / F.greatest(t, F.lit(1.0))) * ((t - m) / F.greatest(t, F.lit(1.0))) * ((t - n) / F.greatest(t - 1, F.lit(1.0))))
+        mode = F.least(q["high"], F.greatest(q["low"], F.floor((n + 1) * (m + 1) / (t + 2)).cast("long")))
+        around = F.struct(mode.alias("mode"), (F.ceil(DEVIATIONS * spread) + LEAST_REACH).cast("long").alias("reach"))
+        return _with(around, lambda r: F.sequence(F.greatest(q["low"], r["mode"] - r["reach"]), F.least(q["high"], r["mode"] + r["reach"])))
 
-        def step(s: Column, x: Column) -> Column:
-            x = x.cast("double")
-            ratio = ((n - x) * (m - x)) / ((x + 1.0) * (t - n - m + x + 1.0))
-            return F.struct((s["weight"] * ratio).alias("weight"), (s["sum"] + s["weight"]).alias("sum"), s["below"].alias("below"), s["goal"].alias("goal"))
+    def quantile(q: Column, values: Column) -> Column:
+        def grown(weight: Column, x: Column) -> Column:
+            return weight * (((q["n"] - x) * (q["m"] - x)) / ((x + 1.0) * (q["t"] - q["n"] - q["m"] + x + 1.0)))
 
-        def counted(s: Column, x: Column) -> Column:
-            next_ = step(s, x)
-            return F.struct(next_["weight"].alias("weight"), next_["sum"].alias("sum"), (s["below"] + F.when(next_["sum"] <= s["goal"], 1).otherwise(0)).alias("below"), s["goal"].alias("goal"))
+        def add(s: Column, x: Column) -> Column:
+            return F.struct(grown(s["weight"], x).alias("weight"), (s["sum"] + s["weight"]).alias("sum"))
 
-        start = lambda goal: F.struct(F.lit(1.0).alias("weight"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("below"), goal.alias("goal"))
-        goal = F.aggregate(values, start(F.lit(0.0)), step, lambda s: s["sum"] * u)
-        return _with(goal, lambda g: F.least(r["b"], r["a"] + F.aggregate(values, start(g), counted, lambda s: s["below"])))
+        def count(s: Column, x: Column) -> Column:
+            return F.struct(grown(s["weight"], x).alias("weight"), (s["sum"] + s["weight"]).alias("sum"), (s["below"] + F.when(s["sum"] + s["weight"] <= s["goal"], 1).otherwise(0)).alias("below"), s["goal"])
 
-    return _with(window, quantile)
+        start = (F.lit(1.0).alias("weight"), F.lit(0.0).alias("sum"))
+        goal = F.aggregate(values, F.struct(*start), add, lambda s: s["sum"] * q["u"])
+        below = F.aggregate(values, F.struct(*start, F.lit(0).cast("long").alias("below"), goal.alias("goal")), count, lambda s: s["below"])
+        return F.least(q["high"], values[0] + below)
+
+    return _with(given, lambda q: _with(window(q), lambda values: quantile(q, values)))
 
 
 def block_start(block: Column, rows: int, shards: int, blocks: int) -> Column:
@@ -90,22 +91,23 @@ def matrix(counts: DataFrame, rows: int, shards: int, blocks: int, seed: int = S
     pairs = F.array_sort(F.collect_list(F.struct(F.col("part").cast("long").alias("part"), F.col("n").cast("long").alias("n"))))
     start = lambda block: block_start(block, rows, shards, blocks)
     nodes = counts.agg(pairs.alias("parts")).select(F.lit(0).cast("long").alias("a"), F.lit(shards * blocks).cast("long").alias("b"), "parts")
+    middle = F.ceil((F.col("a") + F.col("b")) / 2).cast("long")  # a node of one block sends all rows left, to itself
+
+    def draw(state: Column, part: Column) -> Column:
+        u = _number(_digest(seed, F.col("a"), F.col("b"), part["part"]), 1, 13) / F.lit(float(16**13))
+        left = hypergeometric(part["n"], state["marked"], state["total"], u)
+        return _with(left, lambda x: F.struct((state["total"] - part["n"]).alias("total"), (state["marked"] - x).alias("marked"), F.concat(state["left"], F.array(x)).alias("left")))
+
+    whole = F.struct((start(F.col("b")) - start(F.col("a"))).alias("total"), (start(middle) - start(F.col("a"))).alias("marked"), F.array().cast("array<bigint>").alias("left"))
+    drawn = (F.col("a"), middle.alias("m"), F.col("b"), F.col("parts"), F.aggregate("parts", whole, draw, lambda s: s["left"]).alias("left"))
+    first = F.zip_with("parts", "left", lambda p, x: F.struct(p["part"].alias("part"), x.alias("n")))
+    second = F.zip_with("parts", "left", lambda p, x: F.struct(p["part"].alias("part"), (p["n"] - x).alias("n")))
+    halves = F.array(F.struct(F.col("a"), F.col("m").alias("b"), first.alias("parts")), F.struct(F.col("m").alias("a"), F.col("b"), second.alias("parts")))
+    halved = F.inline(F.filter(halves, lambda h: h["a"] < h["b"]))
     for level in range(math.ceil(math.log2(shards * blocks))):
         if level and level % LEVELS == 0:
             nodes = cut(nodes.repartition("a"))
-        middle = F.ceil((F.col("a") + F.col("b")) / 2).cast("long")  # a node of one block sends all rows left, to itself
-
-        def draw(state: Column, part: Column) -> Column:
-            u = _number(_digest(seed, F.col("a"), F.col("b"), part["part"]), 1, 13) / F.lit(float(16**13))
-            left = hypergeometric(part["n"], state["marked"], state["total"], u)
-            return _with(left, lambda x: F.struct((state["total"] - part["n"]).alias("total"), (state["marked"] - x).alias("marked"), F.concat(state["left"], F.array(x)).alias("left")))
-
-        whole = F.struct((start(F.col("b")) - start(F.col("a"))).alias("total"), (start(middle) - start(F.col("a"))).alias("marked"), F.array().cast("array<bigint>").alias("left"))
-        nodes = nodes.select("a", middle.alias("m"), "b", "parts", F.aggregate("parts", whole, draw, lambda s: s["left"]).alias("left"))
-        first = F.zip_with("parts", "left", lambda p, x: F.struct(p["part"].alias("part"), x.alias("n")))
-        second = F.zip_with("parts", "left", lambda p, x: F.struct(p["part"].alias("part"), (p["n"] - x).alias("n")))
-        halves = F.array(F.struct(F.col("a"), F.col("m").alias("b"), first.alias("parts")), F.struct(F.col("m").alias("a"), F.col("b"), second.alias("parts")))
-        nodes = nodes.select(F.inline(F.filter(halves, lambda h: h["a"] < h["b"])))
+        nodes = nodes.select(*drawn).select(halved)
     return nodes.select(F.inline("parts"), F.col("a").alias("block")).select("part", "block", "n")
 
 

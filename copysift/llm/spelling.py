@@ -197,7 +197,7 @@ def _search(frame: pd.DataFrame) -> pd.DataFrame:
     found = pd.concat(out) if out else pd.DataFrame({"word": [], "n": [], "near": []})
     found = found.sort_values(["word", "n", "near"], ascending=[True, False, True], kind="stable")
     best = found.groupby("word", sort=False).agg(n_near=("n", "size"), form_n=("n", "first"), form=("near", "first")).reset_index()
-    return best.astype({"n_near": "int64", "form_n": "int64"})
+    return best.astype({"word": object, "n_near": "int64", "form_n": "int64", "form": object})
 
 
 def near_words(words: DataFrame, task_words: int = TASK_WORDS) -> DataFrame:
