@@ -11,7 +11,6 @@ import hashlib
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -101,55 +100,3 @@ class ProseEmbedder:
             return texts.map(lambda t: prose_vector(t or "", size))
 
         return vectors(text)
-
-
-#: Limits of one call of a model: blocks, tokens of a block, and blocks times the square of the longest (attention is quadratic).
-BATCH_BLOCKS, BLOCK_TOKENS, ATTENTION_CELLS = 32, 1024, 8 * 512**2
-
-
-def plan_batches(tokens: list[int]) -> list[list[int]]:
-    """Places of blocks in batches that keep within the limits, longest first; one too long for any batch goes alone."""
-    out: list[list[int]] = []
-    longest = 0
-    for place in sorted(range(len(tokens)), key=lambda i: -min(tokens[i], BLOCK_TOKENS)):
-        size = min(tokens[place], BLOCK_TOKENS)
-        if not out or len(out[-1]) == BATCH_BLOCKS or (len(out[-1]) + 1) * longest**2 > ATTENTION_CELLS:
-            out.append([])
-            longest = size
-        out[-1].append(place)
-    return out
-
-
-@dataclass(frozen=True)
-class ModelEmbedder:
-    """Any model as a provider: ``load()`` gives (count_tokens(text), shorten(text, tokens), encode(texts)) and is called once in each Python worker batch stream.
-
-    Texts are shortened to ``BLOCK_TOKENS`` and encoded in planned batches, their vectors scaled to unit length and given back in the order of the rows.
-    """
-
-    model_id: str
-    load: Callable[[], tuple[Callable[[str], int], Callable[[str, int], str], Callable[[list[str]], np.ndarray]]]
-    ready: Callable[[], str] = lambda: "ready"
-
-    def status(self) -> str:
-        return self.ready()
-
-    def column(self, text: Column) -> Column:
-        load = self.load
-
-        @F.pandas_udf("array<float>")
-        def vectors(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            count, shorten, encode = load()
-            for texts in columns:
-                texts = texts.fillna("").tolist()
-                out: list = [None] * len(texts)
-                sizes = [count(t) for t in texts]
-                texts = [shorten(t, BLOCK_TOKENS) if n > BLOCK_TOKENS else t for t, n in zip(texts, sizes, strict=True)]
-                for batch in plan_batches(sizes):
-                    found = np.asarray(encode([texts[i] for i in batch]), np.float64)
-                    found /= np.maximum(np.sqrt((found * found).sum(1, keepdims=True)), 1e-12)
-                    for i, vector in zip(batch, found.astype(np.float32).tolist(), strict=True):
-                        out[i] = vector
-                yield pd.Series(out)
-
-        return vectors(text)

@@ -6,6 +6,8 @@ import os
 import threading
 import time
 from collections import OrderedDict
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +21,9 @@ from copysift.functions.text import short_hash
 from copysift.operators import rank
 from copysift.operators.blocks import extract_blocks
 from copysift.plans.detect import find_clusters
-from copysift.sources.project import listing, with_content
+from copysift.sources.project import git_fingerprint, listing, settled_fingerprint, with_content
 from copysift.sources.store import Store, folder_for
-from copysift.streaming.index import drain, scan_for_changes
+from copysift.streaming.index import batches, scan_for_changes
 
 CONFIDENCE_GUIDE = {
     "certain": "the blocks are equal but for layout and comments",
@@ -30,8 +32,6 @@ CONFIDENCE_GUIDE = {
     "low": "alike in outline; read both before acting",
 }
 REFRESH_SECONDS = 2.0
-#: A checkout writes several files of the repository; it is over when they have stayed as they are for so long.
-SETTLE_SECONDS = 0.3
 
 
 class Findings:
@@ -50,39 +50,6 @@ class Findings:
         return self._held.get(cluster_id)
 
 
-def git_fingerprint(root: str) -> str | None:
-    """Changes when another commit is checked out: HEAD, what it names, and the packed refs. None without a repository."""
-    folder = os.path.join(root, ".git")
-    try:
-        if os.path.isfile(folder):
-            with open(folder, encoding="utf-8") as f:
-                folder = os.path.join(root, f.read().partition("gitdir:")[2].strip())
-        with open(os.path.join(folder, "HEAD"), encoding="utf-8") as f:
-            head = f.read().strip()
-    except OSError:
-        return None
-    parts = [head]
-    for name in (head.partition("ref: ")[2], "packed-refs"):
-        try:
-            stat = os.stat(os.path.join(folder, name))
-            parts.append(f"{stat.st_mtime_ns}:{stat.st_size}" if name else "")
-        except OSError:
-            parts.append("")
-    return "|".join(parts)
-
-
-def settled_fingerprint(root: str, seconds: float = SETTLE_SECONDS, most: float = 5.0) -> str | None:
-    """git_fingerprint(), once it has not changed for ``seconds`` (after ``most`` seconds as it is)."""
-    until, last = time.monotonic() + most, git_fingerprint(root)
-    while last is not None and time.monotonic() < until:
-        time.sleep(seconds)
-        now = git_fingerprint(root)
-        if now == last:
-            break
-        last = now
-    return last
-
-
 def listed(paths: list[str], total: int | None = None) -> str:
     """Some paths by name, and how many more there are of ``total``."""
     shown = paths[: C.MAX_LISTED]
@@ -91,9 +58,9 @@ def listed(paths: list[str], total: int | None = None) -> str:
 
 
 class Engine:
-    """One project. Requests are served one at a time."""
+    """One project. Requests are served one at a time; indexing lets them pass after each batch (of about ``batch_bytes``)."""
 
-    def __init__(self, spark: SparkSession, root: str, index: str | None = None, embedder: Any = None, settings: C.Settings | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str, index: str | None = None, embedder: Any = None, settings: C.Settings | None = None, batch_bytes: int | None = None) -> None:
         self.spark, self.root = spark, os.path.abspath(root)
         self.embedder = embedder or StructureEmbedder()
         self._given = settings
@@ -102,10 +69,26 @@ class Engine:
             raise ValueError("name an index folder that the driver and all executors share")
         self.store = Store(spark, index or folder_for(self.root), self.embedder.model_id)
         self.findings = Findings()
-        self._lock, self._refreshed, self._tree = threading.RLock(), 0.0, None
+        self.batch_bytes, self._refreshed, self._tree = batch_bytes, 0.0, None
+        self._door, self._lock, self._served, self._stop = threading.Lock(), threading.Lock(), None, threading.Event()
         self._files: DataFrame | None = None
         self._indexing: threading.Thread | None = None
 
+    @contextmanager
+    def _turn(self) -> Iterator[None]:
+        """Serves one thread at a time, in the order in which they came: who waits holds the door, so nobody gets past."""
+        if self._served == threading.get_ident():
+            yield
+            return
+        with self._door:
+            self._lock.acquire()
+        self._served = threading.get_ident()
+        try:
+            yield
+        finally:
+            self._served = None
+            self._lock.release()
+
     # -- keeping current
 
     def adopt_config(self) -> None:
@@ -117,7 +100,7 @@ class Engine:
 
     def refresh(self, force: bool = False) -> None:
         """Looks for changes, at most every two seconds unless the checked-out commit is another."""
-        with self._lock:
+        with self._turn():
             tree = git_fingerprint(self.root)
             if tree != self._tree and self._tree is not None:
                 tree = settled_fingerprint(self.root)  # another commit is being checked out
@@ -129,9 +112,21 @@ class Engine:
             self._tree, self._refreshed = tree, time.monotonic()
 
     def index(self) -> int:
-        """Embeds what the index lacks, if the model is there."""
-        with self._lock:
-            return drain(self.store, self.root, self.settings, self.embedder) if self.embedder.status() == "ready" else 0
+        """Embeds what the index lacks, if the model is there, batch by batch, until stop() is called. Returns how many blocks were embedded."""
+        done, parts = 0, batches(self.store, self.root, lambda: self.settings, self.embedder, self.batch_bytes)
+        self._stop.clear()
+        while self.embedder.status() == "ready" and not self._stop.is_set():
+            with self._turn():
+                n = next(parts, None)
+            if n is None:
+                break
+            done += n
+        return done
+
+    def stop(self, seconds: float | None = None) -> bool:
+        """Ends indexing after the batch that is being worked on; what is left stays to be done. Says whether it has ended."""
+        self._stop.set()
+        return self.wait(seconds)
 
     def start(self) -> bool:
         """Goes on indexing in the background, if something is left to do and the model is there; says whether it does."""
@@ -193,7 +188,7 @@ class Engine:
         return " ".join(parts) or None
 
     def status(self) -> dict[str, Any]:
-        with self._lock:
+        with self._turn():
             self.refresh()
             counts, model = self.store.counts(), self.embedder.status()
             return {"pending_files": counts["pending"], "files_indexed": counts["files"], "chunks_cached": counts["vectors"], "model_status": model, "ready": model == "ready" and not counts["pending"], "progress": self.progress(), "scope": self.scope(), "analysis_mode": "heuristic"}
@@ -221,7 +216,7 @@ class Engine:
             self.start()
 
     def _detect(self, query: C.Query) -> dict[str, Any]:
-        with self._lock:
+        with self._turn():
             self.refresh()
             if self.embedder.status() != "ready":
                 return self._empty(f"The model is {self.embedder.status()}; nothing is compared without it.")
@@ -258,7 +253,7 @@ class Engine:
 
     def explain(self, cluster_id: str) -> dict[str, Any]:
         """The places of a cluster with their texts: as told, if its files are unchanged, else as found again with the project's settings."""
-        with self._lock:
+        with self._turn():
             self.refresh()
             told = self.findings.find(cluster_id)
             if told and self._hashes(sorted(told[1])) == told[1]:
@@ -279,15 +274,17 @@ class Engine:
 
     def reindex(self, wait: bool = False, full: bool = False) -> dict[str, Any]:
         """Reads all files again; blocks with a vector keep it unless ``full``."""
-        with self._lock:
+        with self._turn():
             self.store.mark_all_dirty()
             if full:
                 self.store.drop_vectors()
             self.refresh(force=True)
-            return {"embedded": self.index() if wait else 0, "pending_files": self.store.counts()["pending"]}
+        embedded = self.index() if wait else 0
+        with self._turn():
+            return {"embedded": embedded, "pending_files": self.store.counts()["pending"]}
 
     def prune(self) -> int:
-        with self._lock:
+        with self._turn():
             return self.store.prune()
 
 

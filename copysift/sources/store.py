@@ -2,7 +2,8 @@
 
 A write appends rows with a version, or marks of what is gone; a read takes the last row of each key. So a write costs what it
 adds and not what is there, Spark's commit decides whether it counts, and the folder may be in any store that Spark reaches.
-``compact`` leaves the last rows only. One writer at a time.
+``compact`` appends the last rows once more and then removes the older files, the oldest first, so that at every moment the last row of
+each key is there, and a mark stays as long as what it hides. One writer at a time.
 """
 
 from __future__ import annotations
@@ -63,16 +64,25 @@ class Store:
 
     def _read(self, name: str, schema: str, *key: str) -> DataFrame:
         rows = self._rows(name, schema).withColumn("key", F.concat_ws("|", *key))
-        return latest(rows, "key", F.col("version")).where(~F.coalesce("gone", F.lit(False))).drop("key", "version", "gone")
+        return latest(rows, "key", F.col("version"), F.xxhash64(*(c for c in rows.columns if c != "key"))).where(~F.coalesce("gone", F.lit(False))).drop("key", "version", "gone")
 
     def _append(self, name: str, rows: DataFrame, gone: bool = False) -> None:
         rows.withColumn("version", F.lit(time.time_ns())).withColumn("gone", F.lit(gone)).write.mode("append").parquet(f"{self.path}/{name}")
 
+    def _files(self, name: str) -> list:
+        """The Parquet files of a table, the oldest first."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [f for f in system.listStatus(folder) if f.getPath().getName().startswith("part-")] if system.exists(folder) else []
+        return sorted(found, key=lambda f: f.getModificationTime())
+
     def compact(self) -> None:
         """Leaves the last row of each key only."""
         for name, rows in (("vectors", self.all_vectors()), ("state", self.state())):
-            kept = cut(rows)
-            kept.withColumn("version", F.lit(time.time_ns())).withColumn("gone", F.lit(False)).write.mode("overwrite").parquet(f"{self.path}/{name}")
+            older = self._files(name)
+            self._append(name, cut(rows))
+            for file in older:
+                file.getPath().getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(file.getPath(), False)
 
     def all_vectors(self) -> DataFrame:
         return self._read("vectors", VECTORS, "model_id", "norm_hash")
@@ -111,12 +121,17 @@ class Store:
         rows = changes.join(old.select("file", F.col("chunk_hashes").alias("old_hashes")), "file", "left")
         self._append("state", rows.withColumn("chunk_hashes", F.coalesce("chunk_hashes", "old_hashes", F.array().cast("array<string>"))).select(*old.columns))
 
+    def put_state(self, rows: DataFrame) -> None:
+        """Adds or replaces whole file rows."""
+        self._append("state", rows.select("file", "mtime", "size", "content_hash", "dirty", "chunk_hashes"))
+
+    def remove_files(self, files: DataFrame) -> None:
+        """Removes the rows of ``files`` (file)."""
+        self._append("state", present(self.state(), files, "file"), gone=True)
+
     def mark_all_dirty(self) -> None:
         self._append("state", self.state().withColumn("dirty", F.lit(True)))
 
-    def remove_file(self, file: str) -> None:
-        self._append("state", self.state().where(F.col("file") == file), gone=True)
-
     def prune(self) -> int:
         """Removes vectors, of any model, that no file refers to; returns how many."""
         lost = cut(orphans(self.all_vectors(), self.state()))

@@ -1,23 +1,11 @@
-"""Providers of vectors and the planning of model calls."""
+"""Providers of vectors."""
 
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from copysift.functions.embed import ATTENTION_CELLS, ModelEmbedder, ProseEmbedder, StructureEmbedder, plan_batches, prose_vector, structure_vector
-
-
-def test_batches():
-    assert [len(b) for b in plan_batches([120] * 100)] == [32, 32, 32, 4]
-    rng = random.Random(1)
-    tokens = [rng.randrange(1, 1500) for _ in range(300)]
-    batches = plan_batches(tokens)
-    assert sorted(i for b in batches for i in b) == list(range(300))
-    longest = [min(1024, max(tokens[i] for i in b)) for b in batches]
-    assert longest == sorted(longest, reverse=True)
-    assert all(len(b) * n * n <= ATTENTION_CELLS or len(b) == 1 for b, n in zip(batches, longest, strict=True))
-    assert plan_batches([]) == [] and plan_batches([9000]) == [[0]]
+from copysift.functions.embed import ProseEmbedder, StructureEmbedder, prose_vector, structure_vector
 
 
 def test_renamed_code_is_nearer_than_other_code():
@@ -40,12 +28,10 @@ def test_prose_vectors_tell_edited_copies_from_other_texts(spark):
 
 
 def test_providers_keep_the_order_of_rows(spark):
-    texts = ["a", "b b b", None, "c c"] * 20 + ["d " * 3000]
+    texts = ["if a", "b = b + b", None, "c(c)"] * 20 + ["d " * 3000]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    model = ModelEmbedder("lengths", lambda: (lambda t: len(t.split()), lambda t, n: " ".join(t.split()[:n]), lambda ts: np.array([[len(t), 3.0] for t in ts])))
+    model = StructureEmbedder(16)
     got = {r["i"]: r["v"] for r in rows.select("i", model.column(F.col("t")).alias("v")).collect()}
     for i, t in enumerate(texts):
-        want = np.array([min(len(t or ""), 2 * 1024 - 1), 3.0])
-        assert np.allclose(got[i], want / np.linalg.norm(want), atol=1e-6)
-    assert model.status() == StructureEmbedder().status() == "ready"
-    assert len(rows.select(StructureEmbedder(16).column(F.col("t")).alias("v")).first()["v"]) == 16
+        assert np.allclose(got[i], structure_vector(t or "", 16), atol=1e-6)
+    assert model.status() == "ready"

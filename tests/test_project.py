@@ -2,19 +2,23 @@
 
 import json
 import os
+import threading
 import time
 
+import pandas as pd
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from copysift.config import Query, Settings, load_config, merged
+from copysift.functions.embed import StructureEmbedder
 from copysift.functions.report import to_yaml
-from copysift.plans.engine import Engine, Findings, git_fingerprint, settled_fingerprint
+from copysift.plans.engine import Engine, Findings
 from copysift.sources.globs import matches
-from copysift.sources.project import listing
+from copysift.sources.project import git_fingerprint, listing, settled_fingerprint
 from copysift.sources.store import Store
-from copysift.streaming.index import index_stream
+from copysift.streaming.index import batches, drain, index_changes, index_stream, scan_for_changes
 
 BODY = "function total(items) {\n  let sum = 0;\n  for (const item of items) {\n    if (item.price > 0) {\n      sum += item.price * item.count;\n    }\n  }\n  if (sum > 100) {\n    sum = sum * 0.9;\n  }\n  console.log(sum);\n  return sum;\n}\n"
 
@@ -81,7 +85,7 @@ def test_store(spark, tmp_path):
     store.merge_state(spark.createDataFrame([("f", 2.0, 1, "z", True, None)], state))
     assert store.state().where("file = 'f'").first()["chunk_hashes"] == ["a", "b"] and [r["file"] for r in store.dirty_files().collect()] == ["f"]
     assert store.prune() == 1 and store.prune() == 0
-    store.remove_file("f")
+    store.remove_files(spark.createDataFrame([("f",)], "file string"))
     assert store.counts() == {"pending": 0, "files": 1, "vectors": 2}
     before = sorted(map(str, store.state().collect()))
     store.compact()
@@ -154,14 +158,12 @@ def test_a_checkout_is_seen_when_it_has_settled(spark, tmp_path):
     assert settled_fingerprint(root, 0.01) == git_fingerprint(root) and settled_fingerprint(str(tmp_path)) is None
 
 
-def test_stream(spark, tmp_path):
+def test_a_stream_of_changes(spark, tmp_path):
     kind = "file string, mtime double, size long, content string"
     store = Store(spark, str(tmp_path / "index"), "structure-64")
-    from copysift.functions.embed import StructureEmbedder
-
     def run():
         stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
-        index_stream(spark, stream, store, Settings(), StructureEmbedder(), str(tmp_path / "progress")).awaitTermination()
+        index_changes(stream, store, Settings(), StructureEmbedder(), str(tmp_path / "progress")).awaitTermination()
 
     spark.createDataFrame([("a.ts", 1.0, 9, BODY), ("b.ts", 1.0, 9, BODY), ("a.ts", 0.5, 9, "old")], kind).coalesce(1).write.parquet(str(tmp_path / "log"))
     run()
@@ -169,3 +171,153 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([("b.ts", 2.0, 0, None)], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
     run()
     assert [r["file"] for r in store.state().collect()] == ["a.ts"]
+
+
+class Counted(StructureEmbedder):
+    """Waits for each batch of texts, and fails once a file is there."""
+
+    def __init__(self, seconds=0.0, fails=None):
+        super().__init__()
+        object.__setattr__(self, "seconds", seconds)
+        object.__setattr__(self, "fails", fails)
+
+    def column(self, text):
+        seconds, fails, plain = self.seconds, self.fails, super().column(text)
+
+        @F.pandas_udf("string")
+        def waits(texts: pd.Series) -> pd.Series:
+            time.sleep(seconds)
+            if fails and os.path.exists(fails):
+                raise RuntimeError("no model any more")
+            return texts
+
+        return F.when(waits(text).isNotNull(), plain)
+
+
+def bodies(n):
+    """Files of equal size with a block each, all different."""
+    return {f"f{i:02}.ts": BODY.replace("total", f"total{i:02}").replace("100", f"{100 + i}") for i in range(n)}
+
+
+def test_the_project_as_a_stream(spark, tmp_path):
+    root = project(tmp_path / "p", {**bodies(3), ".git/HEAD": "ref: refs/heads/main", ".git/refs/heads/main": "1"})
+    store, model = Store(spark, str(tmp_path / "index"), "structure-64"), StructureEmbedder()
+    run = lambda **more: index_stream(spark, root, store, Settings(), model, str(tmp_path / "progress"), **more)
+    run().awaitTermination()
+    assert store.counts() == {"pending": 0, "files": 3, "vectors": 3}
+    written = len(store._files("vectors"))
+    time.sleep(2.1)  # the next version of the listing
+    run().awaitTermination()
+    assert len(store._files("vectors")) == written and store.counts()["files"] == 3  # from its checkpoint, nothing is done twice
+    (tmp_path / "p" / "f00.ts").write_text(BODY.replace("total", "edited"))
+    (tmp_path / "p" / "f01.ts").unlink()
+    before = {r["file"]: r["content_hash"] for r in store.state().collect()}
+    time.sleep(2.1)
+    run().awaitTermination()
+    after = {r["file"]: r["content_hash"] for r in store.state().collect()}
+    assert set(after) == {"f00.ts", "f02.ts"} and after["f00.ts"] != before["f00.ts"] and after["f02.ts"] == before["f02.ts"]
+    query = run(every=3600.0)  # only another commit brings a new version now
+    try:
+        until = time.monotonic() + 60
+        while not query.recentProgress and time.monotonic() < until:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    query = run(every=1.0)
+    try:
+        (tmp_path / "p" / "g.ts").write_text(BODY.replace("total", "committed"))
+        (tmp_path / "p" / ".git" / "HEAD").write_text("ref: refs/heads/other")
+        until = time.monotonic() + 90
+        while time.monotonic() < until and not (query.lastProgress and "other" in str(query.lastProgress["sources"][0]["endOffset"]) and store.state().where("file = 'g.ts' and not dirty").count()):
+            time.sleep(0.5)
+        assert "refs/heads/other" in str(query.lastProgress["sources"][0]["endOffset"])
+        assert store.state().where("file = 'g.ts' and not dirty").count() == 1
+    finally:
+        query.stop()
+
+
+def test_a_drain_that_is_stopped_or_fails_keeps_what_it_has_done(spark, tmp_path):
+    root = project(tmp_path / "p", bodies(24))
+    store, fails = Store(spark, str(tmp_path / "index"), "structure-64"), tmp_path / "fails"
+    model = Counted(0.0, str(fails))
+    scan_for_changes(store, listing(spark, root, Settings()), root)
+    assert store.counts() == {"pending": 24, "files": 24, "vectors": 0}
+    size = os.path.getsize(tmp_path / "p" / "f00.ts")
+    steps = batches(store, root, Settings, model, 6 * size)
+    first = next(steps) + next(steps)
+    assert 0 < first < 24 and store.counts() == {"pending": 24 - first, "files": 24, "vectors": first}
+    fails.write_text("")
+    with pytest.raises(Exception, match="no model any more"):
+        for _ in range(4):
+            next(steps)
+    assert store.counts() == {"pending": 24 - first, "files": 24, "vectors": first}
+    fails.unlink()
+    done = drain(store, root, Settings(), model, 6 * size, stop=lambda: True)
+    assert store.counts()["vectors"] == first + done
+    (tmp_path / "p" / "f07.ts").unlink()
+    assert first + done + drain(store, root, Settings(), model, 6 * size) in (23, 24)
+    assert store.counts()["pending"] == 0 and store.counts()["files"] in (23, 24)
+
+
+def test_requests_are_answered_between_batches(spark, tmp_path):
+    root = project(tmp_path / "p", bodies(20))
+    size = os.path.getsize(tmp_path / "p" / "f00.ts")
+    engine = Engine(spark, root, index=str(tmp_path / "index"), embedder=Counted(1.0), batch_bytes=3 * size)
+    engine.refresh(force=True)
+    assert engine.start() and engine.start()
+    told, waited = [], []
+    while not engine.wait(0) and len(told) < 3:
+        began = time.monotonic()
+        told.append(engine.status()["progress"]["files_embedded"])
+        waited.append(time.monotonic() - began)
+    assert len(told) == 3 and told[-1] < 20 and told == sorted(told) and len(set(told)) > 1, (told, waited)
+    assert engine.stop(120)
+    left = engine.status()["pending_files"]
+    assert 0 < left < 20  # it stopped after a batch
+    assert engine.start() and engine.wait(300) and engine.status()["ready"]
+
+
+def test_turns_are_taken_in_order(spark, tmp_path):
+    engine = Engine(spark, project(tmp_path, {}), index=str(tmp_path / "index"))
+    order = []
+
+    def busy():
+        for _ in range(30):
+            with engine._turn(), engine._turn():
+                order.append("batch")
+                time.sleep(0.02)
+
+    worker = threading.Thread(target=busy)
+    worker.start()
+    time.sleep(0.05)
+    with engine._turn():
+        order.append("request")
+    worker.join()
+    assert order.index("request") < 10
+
+
+def test_compaction_that_breaks_off_loses_nothing(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path), "m")
+    rows = lambda *names: spark.createDataFrame([(n, [1.0]) for n in names], "norm_hash string, vector array<double>")
+    store.put_vectors(rows("a", "b"))
+    store.drop_vectors()
+    store.put_vectors(rows("b", "c"))
+    want = sorted(r["norm_hash"] for r in store.vectors().collect())
+    assert want == ["b", "c"]
+    append = store._append
+
+    def broken(*_):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(store, "_append", broken)
+    with pytest.raises(OSError, match="disk full"):
+        store.compact()
+    assert sorted(r["norm_hash"] for r in store.vectors().collect()) == want
+    monkeypatch.setattr(store, "_append", append)
+    older = store._files("vectors")
+    for kept in range(len(older) + 1):  # broken off after any number of deletions
+        monkeypatch.setattr(store, "_files", lambda name, n=kept: older[: n] if name == "vectors" else [])
+        store.compact()
+        assert sorted(r["norm_hash"] for r in store.vectors().collect()) == want
+    monkeypatch.undo()
+    assert not {f.getPath().getName() for f in older} & {f.getPath().getName() for f in store._files("vectors")}
