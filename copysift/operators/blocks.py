@@ -31,13 +31,38 @@ def indent_of(line: str) -> int:
     return len(_INDENT.match(line)[0].replace("\t", "    "))
 
 
+class _Minima:
+    """Range minima of some lines' values, to find the next line with a small one: level k holds the least of 2^k values from each place on."""
+
+    def __init__(self, lines: np.ndarray, values: np.ndarray) -> None:
+        self.lines, levels, span = lines, [values], 1
+        while 2 * span <= len(values):
+            levels.append(np.minimum(levels[-1][:-span], levels[-1][span:]))
+            span *= 2
+        self.levels = [level.tolist() for level in levels]
+
+    def next(self, line: int, most: int) -> int | None:
+        """The first line, from ``line`` on, whose value is ``most`` or less."""
+        i = int(np.searchsorted(self.lines, line))
+        level, rising = 0, True
+        while i < len(self.lines):
+            if i < len(self.levels[level]) and self.levels[level][i] > most:
+                i += 1 << level  # none of these
+                level += rising and level + 1 < len(self.levels)
+            elif level:
+                level, rising = level - 1, False
+            else:
+                return int(self.lines[i])
+        return None
+
+
 class _Outline:
     """The structure of a source as arrays over its lines: nesting once a line has closed what it closes, what it opens, and indents (-1 on blank lines)."""
 
     def __init__(self, source: str) -> None:
         lines = structural_view(source).split("\n")
-        opened, self.closed = np.array([net_braces(line) for line in lines], np.int64).reshape(-1, 2).T
-        self.depth = np.cumsum(opened - self.closed) - opened
+        opened, closed = np.array([net_braces(line) for line in lines], np.int64).reshape(-1, 2).T
+        self.depth = np.cumsum(opened - closed) - opened
         self.indent = np.array([indent_of(line) if line.strip(_STRIP) else -1 for line in lines], np.int64)
         shown = np.flatnonzero(self.indent >= 0)
         deeper = np.zeros(len(lines), bool)
@@ -47,14 +72,19 @@ class _Outline:
         self.by_indent = ~self.by_brace & deeper & announced
         self.inside = self.depth + opened
         self.size = len(lines)
-
-    def natural_ends(self, line: int) -> np.ndarray:
-        """The moments at which the block that begins on ``line`` may end, ordered: 2 * line for a closing brace, 2 * line + 1 for an indent."""
-        after = np.arange(line + 1, self.size)
+        closing = np.flatnonzero(closed > 0)
+        self._closing = _Minima(closing, self.depth[closing])
+        order = shown[np.argsort(self.depth[shown], kind="stable")]
+        depths, firsts = np.unique(self.depth[order], return_index=True)
+        self._at_depth = {int(d): _Minima(at, self.indent[at]) for d, at in zip(depths, np.split(order, firsts[1:]), strict=False)}  # none, if there are no lines
+
+    def end_from(self, line: int, moment: int) -> int | None:
+        """The first moment, from ``moment`` on, at which the block that begins on ``line`` may end: 2 * line for a closing brace, 2 * line + 1 for an indent."""
         if self.by_brace[line]:
-            return 2 * after[(self.closed[after] > 0) & (self.depth[after] < self.inside[line])]
-        after = after[1:]  # a body has a line at least
-        return 2 * after[(self.indent[after] >= 0) & (self.indent[after] <= self.indent[line]) & (self.depth[after] == self.depth[line])] + 1
+            at = self._closing.next(max(line + 1, (moment + 1) // 2), int(self.inside[line]) - 1)
+            return None if at is None else 2 * at
+        at = self._at_depth[int(self.depth[line])].next(max(line + 2, moment // 2), int(self.indent[line]))  # a body has a line at least
+        return None if at is None else 2 * at + 1
 
 
 def extents(source: str) -> list[tuple[int, int]]:
@@ -71,17 +101,17 @@ def extents(source: str) -> list[tuple[int, int]]:
     outline = _Outline(source)
     starts = np.flatnonzero(outline.by_brace | outline.by_indent)
     never = 2 * outline.size
-    ends = np.full(len(starts), never)
+    ends, begun = np.full(len(starts), never), 2 * starts + 1
     for k in range(len(starts) - 1, -1, -1):
-        moments = outline.natural_ends(int(starts[k]))
-        inner, at = k + 1, 0  # the next block within that is not known to have ended, and the next moment
-        while at < len(moments):
-            if inner >= len(starts) or moments[at] <= 2 * starts[inner] + 1:
-                ends[k] = moments[at]
+        line, inner = int(starts[k]), k + 1  # the next block within that is not known to have ended
+        moment = outline.end_from(line, 0)
+        while moment is not None:
+            if inner >= len(starts) or moment <= begun[inner]:
+                ends[k] = moment
                 break
             # nothing can end before that block has; a brace that ends with an indent waits for the next line, which its moments see to
-            at = int(np.searchsorted(moments, ends[inner]))
-            inner = int(np.searchsorted(2 * starts + 1, ends[inner]))
+            moment = outline.end_from(line, int(ends[inner]))
+            inner = int(np.searchsorted(begun, ends[inner]))
     order = np.lexsort((-starts, ends))
     lasts = np.where(ends == never, outline.size, ends // 2 + 1 - ends % 2)
     return [(int(starts[k]) + 1, int(lasts[k])) for k in order]

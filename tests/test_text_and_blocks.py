@@ -1,13 +1,15 @@
 """Comment stripping, normal forms, the block scanner and its windows."""
 
 import hashlib
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from copysift.functions import text as X
 from copysift.functions.text import strip_comments, structural_view
-from copysift.operators.blocks import blocks_of, extents, extract_blocks, line_windows, normalized, windows
+from copysift.operators.blocks import _Outline, blocks_of, extents, extract_blocks, line_windows, net_braces, normalized, windows
 
 
 @pytest.mark.parametrize(
@@ -56,6 +58,41 @@ def test_block_open_at_the_end_counts_the_last_empty_line():
     assert extents("f {\n a\n b\n") == [(1, 4)]
 
 
+def plain_extents(source):
+    """extents() as its definition says: every block looks at all later lines."""
+    outline = _Outline(source)
+    closes = [net_braces(line)[1] > 0 for line in structural_view(source).split("\n")]
+    open_, out = [], []
+    for moment in range(2 * outline.size):
+        at, indent = divmod(moment, 2)
+
+        def may_end(line, at=at, indent=indent):
+            if outline.by_brace[line]:
+                return not indent and at > line and closes[at] and outline.depth[at] < outline.inside[line]
+            return indent and at > line + 1 and 0 <= outline.indent[at] <= outline.indent[line] and outline.depth[at] == outline.depth[line]
+
+        while open_ and may_end(open_[-1]):
+            out.append((open_.pop() + 1, at + 1 - indent))
+        if indent and (outline.by_brace[at] or outline.by_indent[at]):
+            open_.append(at)
+    return out + [(line + 1, outline.size) for line in reversed(open_)]
+
+
+def test_extents_against_the_definition():
+    rng = random.Random(1)
+    pieces = ["{", "}", "if a:", "x = 1", "for b in c:", "} else {", "", "- item:", "f(a) {", "return", "{}", "}}", "{{"]
+    for _ in range(1500):
+        source = "\n".join(" " * rng.choice([0, 0, 2, 4, 4, 8]) + rng.choice(pieces) for _ in range(rng.randrange(1, 40)))
+        assert extents(source) == plain_extents(source), source
+
+
+def test_extents_of_very_many_lines():
+    began = time.monotonic()
+    for line in (lambda i: "f() {" if i % 14 < 7 else "}", lambda i: "if a:", lambda i: "f {" if i % 2 else "g"):
+        assert len(extents("\n".join("  " * (i % 7) + line(i) for i in range(100_000)))) >= 50_000
+    assert time.monotonic() - began < 60
+
+
 def test_layout_and_comments_do_not_change_the_hash():
     again = FUNCTION.replace("  ", "\t\t").replace("return t;", "return t; // done")
     assert blocks_of(FUNCTION, 3, 400)[0]["norm_hash"] == blocks_of(again, 3, 400)[0]["norm_hash"]
