@@ -221,6 +221,17 @@ def page_structure_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_blocks(files, 3).select("file", "start_line", "end_line", "norm_hash", "sig_lines", "block_start", "block_end")
 
 
+def turn_structure_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block scanner on turns as indented outlines: a turn holds its sentences, a sentence with commas its parts; blocks of more than 8 lines in windows."""
+    clean = lambda x: F.btrim(F.regexp_replace(x, "[^A-Za-z0-9]+", " "))
+    parts = lambda s: F.filter(F.transform(F.split(s, ","), clean), lambda p: p != "")
+    indented = lambda p: F.concat(F.array(F.concat(F.lit("  "), p[0], F.when(F.size(p) > 1, ":").otherwise(""))), F.transform(F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), lambda x: F.concat(F.lit("    "), x)))
+    sentences = F.filter(F.transform(F.split("text", "[.?!\n]+"), parts), lambda p: F.size(p) > 0)
+    head = F.concat_ws(" ", F.lit("turn"), "turn", F.concat("role", F.lit(":")))
+    rows = spread(_table(spark, sf_dir, "conversations")).select(F.concat_ws("/", "conv_id", F.concat(F.col("turn").cast("string"), F.lit(".txt"))).alias("file"), F.array_join(F.concat(F.array(head), F.flatten(F.transform(sentences, indented))), "\n").alias("content"))
+    return extract_blocks(rows, 3, 8).select("file", "start_line", "end_line", "norm_hash", "sig_lines", "block_start", "block_end")
+
+
 def duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole analysis on all documents as blocks: exact and near clusters, containment, idioms; vectors are those of the whole texts."""
     none = F.lit(None).cast("int")
@@ -234,7 +245,7 @@ def duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = [
     duplicate_clusters, norm_lines, identical_groups, cluster_stats, rank_severity, rank_frequency, line_windows_20, previews, strip_comments, dedupe_latest, changed_users,
     vector_lookup, missing_vectors, retain_only, orphan_vectors, near_pairs, greedy_groups, line_alignment, size_band_pairs, threshold_by_size, confidence_case, confidence_counts,
-    idiom_case, dir_spread, folder_sizes, interval_overlap, coverage_containment, paths_in_scope, page_structure_blocks,
+    idiom_case, dir_spread, folder_sizes, interval_overlap, coverage_containment, paths_in_scope, page_structure_blocks, turn_structure_blocks,
 ]
 
 
@@ -329,6 +340,19 @@ _FLAG = _FLAG.replace("{space}", _SPACE)
 #: Blocks by braces; the outlines have no line that introduces an indented body.
 _STRINGS = r"""'"(?:\\[^\n]?|[^"\\\n])*"?|' || chr(39) || '(?:\\[^\n]?|[^' || chr(39) || '\\\n])*' || chr(39) || '?'"""
 _CODE_LINE = _STRIPPED.replace("text,", "line,", 1).replace("#[^\\n]*', '\\1'", "#[^\\n]*|(^|' || '" + _SPACE.removesuffix('+') + "' || ')--[^\\n]*', '\\1\\2'")
+_TURNS = r"""
+WITH cleaned AS (SELECT conv_id || '/' || turn || '.txt' AS file, 'turn ' || turn || ' ' || role || ':' AS head,
+    list_filter(list_transform(string_split_regex(text, '[.?!\n]+'), lambda s: list_filter(list_transform(string_split(s, ','), lambda p: trim(regexp_replace(p, '[^A-Za-z0-9]+', ' ', 'g'))), lambda p: p <> '')), lambda p: len(p) > 0) AS sentences FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL),
+outlined AS (SELECT file, list_prepend({'indent': 0, 'line': head}, flatten(list_transform(sentences, lambda p: list_prepend({'indent': 2, 'line': p[1] || CASE WHEN len(p) > 1 THEN ':' ELSE '' END}, list_transform(p[2:], lambda x: {'indent': 4, 'line': x}))))) AS ls FROM cleaned),
+lines AS (SELECT file, generate_subscripts(ls, 1) AS n, unnest(ls) AS l, len(ls) AS total FROM outlined),
+whole AS (SELECT s.file, s.n AS a, coalesce(min(e.n) - 1, any_value(s.total)) AS z FROM (SELECT * FROM lines QUALIFY l.line LIKE '%:' AND lead(l.indent) OVER (PARTITION BY file ORDER BY n) > l.indent) s
+    LEFT JOIN lines e ON e.file = s.file AND e.n > s.n AND e.l.indent <= s.l.indent GROUP BY s.file, s.n),
+both_ AS (SELECT file, a, z, NULL AS block_start, NULL AS block_end, z AS ends, a AS begins FROM whole WHERE z - a + 1 BETWEEN 3 AND 8
+    UNION ALL SELECT file, low, least(low + 7, z), a, z, z, a FROM (SELECT *, unnest(range(a, a + 4 * ceil((z - a - 7) / 4.0)::INT + 1, 4)) AS low FROM whole WHERE z - a + 1 > 8) WHERE least(low + 7, z) - low + 1 >= 3),
+once AS (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY file, a, z ORDER BY ends, begins DESC) = 1)
+SELECT file, a::INT AS start_line, z::INT AS end_line, substr(sha256(array_to_string(list_transform(ls[a:z], lambda l: l.line), chr(10))), 1, 32) AS norm_hash, (z - a + 1)::INT AS sig_lines, block_start::INT AS block_start, block_end::INT AS block_end FROM once JOIN outlined USING (file)"""
+
+
 _BLOCKS = f"""
 WITH lines AS (SELECT file, generate_subscripts(ls, 1) AS n, unnest(ls) AS line, len(ls) AS total FROM (SELECT page_id || '.html' AS file,
     string_split(regexp_replace(regexp_replace(html, '</[a-zA-Z0-9]+>', chr(10) || '}}' || chr(10), 'g'), '<([a-zA-Z0-9]+)[^>]*>', chr(10) || '\\1 {{' || chr(10), 'g'), chr(10)) AS ls FROM pages WHERE html <> '')),
@@ -350,6 +374,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "duplicate_clusters": _FLAG,
         "page_structure_blocks": _BLOCKS,
+        "turn_structure_blocks": _TURNS,
         "greedy_groups": _NEAR.replace("WITH e AS", "WITH RECURSIVE e AS") + f""",
             edges AS (SELECT lpad(a::VARCHAR, 12, '0') AS a, lpad(b::VARCHAR, 12, '0') AS b, similarity FROM pairs WHERE similarity >= {BASE}),
             ranked AS (SELECT lpad(vec_id::VARCHAR, 12, '0') AS k, row_number() OVER (ORDER BY coalesce(label, 0) DESC, lpad(vec_id::VARCHAR, 12, '0')) AS i FROM embeddings),{_STARS}
