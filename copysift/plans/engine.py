@@ -72,6 +72,7 @@ class Engine:
         self.batch_bytes, self._refreshed, self._tree = batch_bytes, 0.0, None
         self._door, self._lock, self._served, self._stop = threading.Lock(), threading.Lock(), None, threading.Event()
         self._files: DataFrame | None = None
+        self._scope: dict[str, Any] | None = None
         self._indexing: threading.Thread | None = None
 
     @contextmanager
@@ -107,7 +108,7 @@ class Engine:
             if not force and tree == self._tree and time.monotonic() - self._refreshed < REFRESH_SECONDS and self._files is not None:
                 return
             self.adopt_config()
-            self._files = cut(listing(self.spark, self.root, self.settings))
+            self._files, self._scope = cut(listing(self.spark, self.root, self.settings)), None
             scan_for_changes(self.store, self._files, self.root)
             self._tree, self._refreshed = tree, time.monotonic()
 
@@ -164,11 +165,17 @@ class Engine:
 
     def progress(self) -> dict[str, int]:
         counts = self.store.counts()
-        scope = self._source().count()
+        scope = self.scope()["files_in_scope"]
         done = max(0, scope - counts["pending"])
         return {"files_in_scope": scope, "files_embedded": done, "pending_files": counts["pending"], "percent_complete": 100 * done // scope if scope else 100}
 
     def scope(self) -> dict[str, Any]:
+        """What is looked at; counted once for each listing."""
+        if self._scope is None:
+            self._scope = self._counted_scope()
+        return dict(self._scope)
+
+    def _counted_scope(self) -> dict[str, Any]:
         skipped = self._files.where("kind = 'repository'")
         out = {"files_in_scope": self._source().count(), "config_file": C.CONFIG_FILE, "configured": os.path.exists(os.path.join(self.root, C.CONFIG_FILE))}
         out["largest_folders"] = [r.asDict() for r in rank.largest_folders(self._source()).collect()]

@@ -54,6 +54,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, model_id: str) -> None:
         self.spark, self.path, self.model_id = spark, path, model_id
+        self._counted: tuple[tuple, dict[str, int]] | None = None
 
     def _rows(self, name: str, schema: str) -> DataFrame:
         kind = f"{schema}, version long, gone boolean"  # a column that older files lack is read as null
@@ -142,6 +143,9 @@ class Store:
         return n
 
     def counts(self) -> dict[str, int]:
-        """pending, files and vectors (of this model)."""
-        row = self.state().agg(F.count_if("dirty").alias("pending"), F.count("*").alias("files")).first()
-        return {"pending": row["pending"], "files": row["files"], "vectors": self.vectors().count()}
+        """pending, files and vectors (of this model). They are counted once for each state of the folder: its files are listed, and only new ones bring a job."""
+        version = tuple(f.getPath().getName() for name in ("state", "vectors") for f in self._files(name))
+        if self._counted is None or self._counted[0] != version:
+            row = self.state().agg(F.count_if("dirty").alias("pending"), F.count("*").alias("files")).first()
+            self._counted = version, {"pending": row["pending"], "files": row["files"], "vectors": self.vectors().count()}
+        return dict(self._counted[1])

@@ -18,7 +18,7 @@ from copysift.frames import cut
 from copysift.functions.text import short_hash
 from copysift.operators.blocks import extract_blocks
 from copysift.sources.project import EVERY, listings, with_content
-from copysift.sources.store import Store, latest
+from copysift.sources.store import Store, latest, left_out
 
 #: Bytes of source text in a batch, for each core.
 BATCH_BYTES = 64 << 20
@@ -35,12 +35,17 @@ def scan_for_changes(store: Store, files: DataFrame, root: str) -> int:
     """Brings the state table up to date with a listing; returns how many files were read. Files that are gone, left out or too large are removed."""
     files = cut(files.where((F.col("kind") == "file") & (F.col("size") <= C.MAX_FILE_BYTES)).select("file", "mtime", "size"))
     changed = cut(to_read(files, store.state()).select("file", "dirty", "old_hash"))
+    gone = cut(left_out(store.state().select("file"), files, "file"))
+    if gone.limit(1).count():
+        store.remove_files(gone)
+    if not changed.limit(1).count():
+        return 0
     found = with_content(changed, root).select("file", "mtime", "size", short_hash(F.col("content")).alias("content_hash"))
     found = cut(found.join(changed, "file"))
     # touched, but with the old content: only its stamps are new
     stays = ~F.coalesce("dirty", F.lit(True)) & (F.col("content_hash") == F.col("old_hash"))
     rows = found.select("file", "mtime", "size", "content_hash", (~F.coalesce(stays, F.lit(False))).alias("dirty"), F.lit(None).cast("array<string>").alias("chunk_hashes"))
-    store.merge_state(rows, keep=files)
+    store.merge_state(rows)
     return found.count()
 
 

@@ -321,3 +321,22 @@ def test_compaction_that_breaks_off_loses_nothing(spark, tmp_path, monkeypatch):
         assert sorted(r["norm_hash"] for r in store.vectors().collect()) == want
     monkeypatch.undo()
     assert not {f.getPath().getName() for f in older} & {f.getPath().getName() for f in store._files("vectors")}
+
+
+def test_an_unchanged_project_is_not_counted_again(spark, tmp_path):
+    root = project(tmp_path / "p", bodies(3))
+    engine = Engine(spark, root, index=str(tmp_path / "index"))
+    engine.refresh(force=True)
+    engine.index()
+    first, written = engine.status(), len(engine.store._files("state"))
+    engine._refreshed = time.monotonic() + 3600  # as if within the two seconds
+    spark.sparkContext.setJobGroup("again", "status of an unchanged project")
+    try:
+        assert engine.status() == first and first["ready"] and first["progress"]["percent_complete"] == 100
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("again")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    engine.refresh(force=True)
+    assert len(engine.store._files("state")) == written  # nothing new, nothing written
+    Store(spark, str(tmp_path / "index"), engine.embedder.model_id).mark_all_dirty()
+    assert engine.status()["pending_files"] == 3  # another writer is seen
