@@ -1,7 +1,14 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-A page is parsed into a tree of its block elements, labelled with tag, classes, id and role; siblings with equal
-labels are one repeated node. The trees of a host are aligned by simple tree matching (the largest
+First two things are counted over the distinct pages of each host of at least ``FEW`` of them: the pages that have a class
+name, id or role, and the pages that have a text in one place (the tags from the root down). Names that fewer than
+``SHARED`` of the pages have (generated ones) are no part of labels, unless they are words that say what a block is. A text that
+``COMMON`` of the pages have in one place is constant there; headings and what is in main or article are left out of this,
+as articles may share them.
+
+Then a page is parsed into a tree of its block elements, labelled with tag, classes, id and role. Each constant text is a node
+of its own, so siblings with equal labels (plain divs, table cells) stay apart where one is a menu or a footer; siblings with
+equal labels whose texts vary are one repeated node. The trees of a host are aligned by simple tree matching (the largest
 order-preserving matching of nodes with equal labels, by dynamic programming over child lists) and merged
 into one template that counts pages and text for each node. Nodes whose text is the same on all pages that have them are
 template; varying slots are candidates for content. The content root is the innermost block that holds nearly all
@@ -11,8 +18,9 @@ Names (a menu, an advert, comments ...) settle what variation cannot: slots that
 part of the article. They are read as whole class names, never on html, body, main, article or what holds one of these,
 and do not count where nearly all varying text of the host is below them.
 
-Every task merges its own pages by host first, so a host with a third of all pages sends as many templates
-as there are tasks, which are merged in two levels.
+Every task adds up its pages with the same tree first. Trees are dealt to 64 parts of their host by their hash and merged in
+order, one after the other, then the parts are: a host with a third of all pages holds two templates in memory at a
+time, and the result does not depend on how pages are spread over tasks.
 """
 
 from __future__ import annotations
@@ -22,10 +30,10 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +56,11 @@ BESIDE = frozenset("article area bar block bottom box buttons container content
 HEADER = frozenset("header site page top global main wrapper wrap container".split())
 #: A name does not count if the varying text outside is less than this share of that below it.
 LEFT = 0.1
+#: Distinct pages from which a host's names and texts are counted; the shares of them from which a name is part of labels and a text is constant.
+FEW, SHARED, COMMON = 4, 0.05, 0.8
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts that the trees of a host are merged in.
+PARTS = 64
 #: Elements nested deeper are folded into the node at this depth; their text stays.
 DEPTH = 120
 
@@ -56,11 +69,27 @@ _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 _PART = re.compile(r"[a-z]+")
 
 
-def label_of(tag: str, attributes: str) -> str:
+def names_of(attributes: str) -> set[str]:
+    """Classes, id and role of a start tag, without digits."""
     if "=" not in attributes:
-        return tag
-    found = [v for m in _NAMED.finditer(attributes) for v in re.sub(r"\d+", "", (m[2] or m[3] or m[4] or "").lower()).split()]
-    return ".".join([tag, *sorted(set(found))])
+        return set()
+    return {v for m in _NAMED.finditer(attributes) for v in re.sub(r"\d+", "", (m[2] or m[3] or m[4] or "").lower()).split()}
+
+
+def name_item(name: str) -> int:
+    """The even number that a name is counted by; 0 for names that are part of labels however few pages have them."""
+    parts = set(_PART.findall(name))
+    if parts and (parts <= BOILER_WORDS | BESIDE | HEADER):
+        return 0
+    return _hash(name) & ~1
+
+
+def label_of(tag: str, attributes: str, facts: frozenset[int] | None = None) -> str:
+    """The tag with its names; with ``facts`` only those among them."""
+    found = names_of(attributes)
+    if facts is not None:
+        found = {v for v in found if (item := name_item(v)) == 0 or item in facts}
+    return ".".join([tag, *sorted(found)])
 
 
 def named(label: str) -> bool:
@@ -90,16 +119,23 @@ def _hash(text: str) -> int:
 
 
 class Page:
-    """A page's collapsed tree: labels and parents of nodes in order of appearance, and the text blocks with their nodes."""
+    """A page's collapsed tree: labels and parents of nodes in order of appearance, and the text blocks with their nodes.
 
-    def __init__(self, html: str | None) -> None:
+    ``facts`` are the numbers of the host's shared names and constant texts; without them all names count and no text is
+    constant. ``items`` are the page's own numbers: even ones of names, odd ones of texts in their places.
+    """
+
+    def __init__(self, html: str | None, facts: frozenset[int] | None = None) -> None:
+        self.facts, self.items, self._labels = facts, set(), {}
+        self.places, self.holds = [_hash("")], [False]
         self.labels, self.parents, self.blocks = ["#page"], [-1], []
         self.lengths, self.linked, self.depths = [0], [0], [0]
         self._at: dict[tuple[int, str], int] = {}
         self._parse(html or "")
 
     def _node(self, parent: int, label: str) -> int:
-        if self.depths[parent] >= DEPTH and tag_of(label) not in NEVER and not named(label):
+        tag = tag_of(label)
+        if self.depths[parent] >= DEPTH and tag[0] != "=" and tag not in NEVER and not named(label):
             return parent
         k = self._at.get((parent, label))
         if k is None:
@@ -109,8 +145,26 @@ class Page:
             self.depths.append(self.depths[parent] + 1)
             self.lengths.append(0)
             self.linked.append(0)
+            self.places.append(_hash(f"{self.places[parent]} {tag}"))
+            self.holds.append(self.holds[parent] or tag in ("main", "article"))
         return k
 
+    def _slot(self, node: int, block: str) -> int:
+        """The node of a text: one of its own if it is constant."""
+        if self.holds[node] or tag_of(self.labels[node]) in HEADINGS:
+            return node
+        item = _hash(f"{self.places[node]} {block}")
+        self.items.add(item)
+        return self._node(node, f"={item:x}") if self.facts and item in self.facts else node
+
+    def _label(self, tag: str, attributes: str) -> str:
+        known = self._labels.get((tag, attributes))
+        if known is None:
+            if self.facts is None:
+                self.items.update(map(name_item, names_of(attributes)))
+            known = self._labels[tag, attributes] = label_of(tag, attributes, self.facts)
+        return known
+
     def _parse(self, html: str) -> None:
         stack: list[tuple[str, int]] = []  # open elements and their nodes (an inline element's is its block's)
         text: list[str] = []
@@ -122,9 +176,10 @@ class Page:
                 block = " ".join(entities.unescape("".join(text)).split())
                 text.clear()
                 if block:
-                    self.blocks.append((node, block))
-                    self.lengths[node] += len(block)
-                    self.linked[node] += min(in_links, len(block))
+                    slot = self._slot(node, block)
+                    self.blocks.append((slot, block))
+                    self.lengths[slot] += len(block)
+                    self.linked[slot] += min(in_links, len(block))
                 in_links = 0
 
         def close(k: int) -> None:
@@ -178,7 +233,7 @@ class Page:
                         close(k)
                     elif stack[k][0] in until or not shuts and stack[k][0] in BLOCKS:
                         break
-                node = self._node(node, label_of(tag, attributes))
+                node = self._node(node, self._label(tag, attributes))
             elif tag == "a":
                 links += 1
             stack.append((tag, node))
@@ -260,7 +315,7 @@ def decided(template: list) -> list:
     pages = template[1]
 
     def constant(node: list) -> bool:
-        return node[5] > 0 and node[7] < 0 and 2 * node[2] >= pages
+        return node[0][0] == "=" or node[5] > 0 and node[7] < 0 and 2 * node[2] >= pages
 
     def own(node: list) -> int:
         return 0 if constant(node) or 2 * node[4] > node[3] else node[3]
@@ -328,7 +383,7 @@ def content_nodes(page: Page, wrapper: list) -> list[bool]:
         return [page.labels[k], 0, 0, 0, 0, 0, [shape(c) for c in children[k]]]
 
     def walk(k: int, node: list | None, mine: list, inside: bool) -> None:
-        if node[2] == ALL if node else tag_of(page.labels[k]) in NEVER or named(page.labels[k]):
+        if node[2] == ALL if node else tag_of(page.labels[k]) in NEVER or named(page.labels[k]) or page.labels[k][0] == "=":
             return
         inside = inside or bool(node and node[1])
         keep[k] = inside and not (node and node[2] == OWN)
@@ -348,64 +403,106 @@ def host_of(url: F.Column) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One template for each host of a task; pages with the same tree are added up before trees are aligned."""
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, item, page): what a page is counted for, with the hash of its whole text; item 0 for each page."""
+    for batch in batches:
+        hosts, items, pages = [], [], []
+        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            page = Page(html)
+            found = sorted(page.items | {0})
+            hosts += [host] * len(found)
+            items += found
+            pages += [_hash("\n".join(block for _, block in page.blocks))] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(items, pa.int64()), pa.array(pages, pa.int64())], names=["host", "item", "page"])
+
+
+def facts_of(pages: DataFrame) -> DataFrame:
+    """(host, facts): the numbers of shared names and constant texts of each host of at least FEW distinct pages; pages: host, html.
+
+    Their number is bounded by what a page has, as each is on a fixed share of the pages.
+    """
+    counts = cut(pages.select("host", "html").mapInArrow(_items, "host string, item long, page long").distinct().groupBy("host", "item").count().where("item = 0 or count > 1"))
+    totals = counts.where(f"item = 0 and count >= {FEW}").select("host", F.col("count").alias("pages"))
+    common = F.when(F.col("item") == 0, True).when(F.col("item") % 2 == 0, F.col("count") >= SHARED * F.col("pages")).otherwise((F.col("count") >= FEW) & (F.col("count") >= COMMON * F.col("pages")))
+    return counts.join(within_bytes(totals, F.octet_length("host") + 24), "host").where(common).groupBy("host").agg(F.array_sort(F.collect_list("item")).alias("facts"))
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, part, signature, sums): the pages of a task with the same tree, added up."""
     seen: dict[tuple[str, str], list] = {}
-    made: dict[str, list] = {}
+    known: dict[str, frozenset[int] | None] = {}
 
-    def fold() -> None:
-        for (host, signature), (pages, *sums) in seen.items():
-            rows = [x.split(" ", 1) for x in signature.split("\n")]
-            one = tree([x for _, x in rows], [int(p) for p, _ in rows], pages, *sums)
-            made[host] = merged(made[host], one) if host in made else one
-        seen.clear()
+    def rows() -> pa.RecordBatch:
+        hosts, signatures = [h for h, _ in seen], [s for _, s in seen]
+        out = [pa.array(hosts, pa.string()), pa.array([_hash(s) // 2 % PARTS for s in signatures], pa.int32()), pa.array(signatures, pa.string()), pa.array(map(json.dumps, seen.values()), pa.string())]
+        return pa.RecordBatch.from_arrays(out, names=["host", "part", "signature", "sums"])
 
     for batch in batches:
-        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            page = Page(html)
-            hashes, whole, key = page.hashes(), page.fingerprints(), (host, page.signature())
-            filled = [int(h != 0) for h in hashes]
-            old = seen.get(key)
-            if old is None:
-                seen[key] = [1, filled, page.lengths, page.linked, hashes, whole]
-            else:
-                sums = ([a + b for a, b in zip(x, y, strict=True)] for x, y in zip(old[1:4], (filled, page.lengths, page.linked), strict=True))
-                seen[key] = [old[0] + 1, *sums, *([*map(_same, x, y)] for x, y in ((old[4], hashes), (old[5], whole)))]
+        for k, (host, html) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
+            page = Page(html, _known(known, host, batch.column("facts")[k]))
+            key, one = (host, page.signature()), [1, [int(n > 0) for n in page.lengths], page.lengths, page.linked, page.hashes(), page.fingerprints()]
+            seen[key] = _added(seen[key], one) if key in seen else one
         if len(seen) > 2000:
-            fold()
-    fold()
-    part = TaskContext.get().partitionId()
-    for host, template in made.items():
-        yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([part % 64], pa.int32()), pa.array([json.dumps(template)])], names=["host", "part", "template"])
+            yield rows()
+            seen.clear()
+    yield rows()
+
+
+def _known(known: dict[str, frozenset[int] | None], host: str, facts: pa.Scalar) -> frozenset[int] | None:
+    """The facts of a host, made a set once in a task."""
+    if host not in known:
+        if len(known) > 5000:
+            known.clear()
+        known[host] = frozenset(facts.as_py()) if facts.is_valid else None
+    return known[host]
 
 
-def _combined(last: bool):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _added(a: list, b: list) -> list:
+    """The sums of pages with the same tree."""
+    sums = ([p + q for p, q in zip(x, y, strict=True)] for x, y in zip(a[1:4], b[1:4], strict=True))
+    return [a[0] + b[0], *sums, *([*map(_same, x, y)] for x, y in zip(a[4:], b[4:], strict=True))]
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+
+
+def _merged_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, part, template) of rows in order of host, part and signature."""
+    for (host, part), rows in groupby(_rows(batches, "host", "part", "signature", "sums"), lambda r: r[:2]):
         template = None
-        for text in sorted(rows["template"]):
-            one = json.loads(text)
+        for signature, same in groupby(rows, lambda r: r[2]):
+            nodes = [x.split(" ", 1) for x in signature.split("\n")]
+            one = tree([x for _, x in nodes], [int(p) for p, _ in nodes], *reduce(_added, (json.loads(r[3]) for r in same)))
             template = merged(template, one) if template else one
-        return pd.DataFrame([{"host": key[0], "part": 0, "template": json.dumps(decided(template) if last else template)}])
+        yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([part], pa.int32()), pa.array([json.dumps(template)])], names=["host", "part", "template"])
+
 
-    return run
+def _merged_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, wrapper) of rows in order of host and part."""
+    for host, rows in groupby(_rows(batches, "host", "template"), lambda r: r[0]):
+        template = reduce(merged, (json.loads(t) for _, t in rows))
+        yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([json.dumps(decided(template))])], names=["host", "wrapper"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): what is content on the pages of each host, as JSON; pages: host, html."""
-    kind = "host string, part int, template string"
-    parts = pages.select("host", "html").mapInArrow(_templates, kind)
-    some = parts.groupBy("host", "part").applyInPandas(_combined(False), kind)
-    return some.groupBy("host").applyInPandas(_combined(True), kind).select("host", F.col("template").alias("wrapper"))
+    """(host, wrapper): what is content on the pages of each host, as JSON; pages: host, html, facts."""
+    trees = pages.select("host", "html", "facts").mapInArrow(_trees, "host string, part int, signature string, sums string")
+    parts = trees.repartition("host", "part").sortWithinPartitions("host", "part", "signature").mapInArrow(_merged_trees, "host string, part int, template string")
+    return parts.repartition("host").sortWithinPartitions("host", "part").mapInArrow(_merged_parts, "host string, wrapper string")
 
 
-def main_text(page: Page, wrapper: list | None, known: dict | None = None) -> str:
+def main_text(html: str | None, wrapper: list | None, facts: frozenset[int] | None = None, known: dict | None = None) -> str:
     """The page's content blocks; ``known`` keeps what was decided for trees that were seen before. A page of which the wrapper leaves nothing is taken by itself."""
     known = {} if known is None else known
+    page = Page(html, facts)
     key = page.signature()
     if wrapper and key not in known:
         known[key] = content_nodes(page, wrapper)
     keep = known.get(key)
     if not keep or not any(keep[k] for k, _ in page.blocks):
+        page = Page(html)
         keep = content_nodes(page, alone(page))
     return "\n".join(block for k, block in page.blocks if keep[k])
 
@@ -415,24 +512,32 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     Blocks in page order, one on a line; character references decoded, runs of white space in a block one space.
     A null or empty page, or one without text, gives an empty text. Pages whose url is null or has no host
-    are one host. Repeated rows count as pages of their own. A host with a single page, or with copies of one only, has no
-    constant nodes that would tell; its pages are taken by themselves.
+    are one host. Copies of a page count once for names and constant texts. A host with fewer than FEW distinct pages has
+    none of these: there, siblings with equal labels are one node, and a menu or footer among them stays. A host with a single page, or
+    with copies of one only, has no constant nodes that would tell; its pages are taken by themselves. A paragraph outside of
+    main and article that COMMON of a host's pages have in one place goes, be it part of their articles or not.
     """
     rows = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
+    facts = cut(facts_of(rows))
+    rows = rows.join(within_bytes(facts, 8 * F.size("facts") + F.octet_length("host") + 32), "host", "left")
     found = cut(wrappers(rows))
     rows = rows.join(within_bytes(found, F.octet_length("wrapper") + F.octet_length("host") + 32), "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[list | None, dict]] = {}
+        sets: dict[str, frozenset[int] | None] = {}
         for batch in batches:
             texts = []
-            for wrapper, html in zip(batch.column("wrapper").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                if wrapper not in known or len(known[wrapper][1]) > 5000:
+            for k, (host, html) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
+                facts = _known(sets, host, batch.column("facts")[k])
+                if host not in known or len(known[host][1]) > 5000:
                     if len(known) > 5000:
                         known.clear()
-                    known[wrapper] = (json.loads(wrapper) if wrapper else None, {})
-                texts.append(main_text(Page(html), *known[wrapper]))
+                    wrapper = batch.column("wrapper")[k].as_py()
+                    known[host] = (json.loads(wrapper) if wrapper else None, {})
+                wrapper, decisions = known[host]
+                texts.append(main_text(html, wrapper, facts, decisions))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long"
-    return rows.select("page_id", "url", "html", "wrapper").mapInArrow(run, kind)
+    return rows.select("page_id", "url", "host", "html", "facts", "wrapper").mapInArrow(run, kind)

@@ -147,3 +147,17 @@ def disclosing(texts, support, generalise):
         (e, t) for (e, t), c in both.items()
         if len(set(c)) >= support and n > len(with_entity[e]) and math.log2(len(c) * n / (with_term[t] * len(with_entity[e]))) / math.log2(n / len(with_entity[e])) >= generalise
     }
+
+
+def tree_matching(x, y):
+    """One more than the largest number of nodes in an order-preserving matching of two lists of children with equal labels, over all matchings."""
+    def most(x, y):
+        if not x or not y:
+            return 0
+        (a, *rest), best = x, most(x[1:], y)
+        for j, b in enumerate(y):
+            if a[0] == b[0]:
+                best = max(best, tree_matching(a[6], b[6]) + most(rest, y[j + 1 :]))
+        return best
+
+    return 1 + most(x, y)

@@ -2,11 +2,14 @@
 
 import gzip
 import hashlib
+import random
+import time
 
 import pytest
 
 from copysift.llm import warc, wrapper
 from copysift.llm.wrapper import Page, decided, main_text, matching, merged, tree
+from tests.llm import brute
 
 KIND = "page_id long, url string, html string, payload string, refers_to int"
 
@@ -126,11 +129,11 @@ def test_constant_slots_are_template_and_varying_ones_content():
     make = lambda i: f"<body><div class=top><p>Always the same words here</p></div><div class=story><div><p>Story number {i} about thing {i}</p></div><p class=end>Thank you for reading</p></div>"
     parsed = [Page(make(i)) for i in range(10)]
     for some in (parsed, parsed[2:4]):
-        assert main_text(parsed[3], decided(template_of(some))) == "Story number 3 about thing 3"
+        assert main_text(make(3), decided(template_of(some))) == "Story number 3 about thing 3"
     # the page by itself does not show what is template
-    assert main_text(parsed[3], None) != "Story number 3 about thing 3"
+    assert main_text(make(3), None) != "Story number 3 about thing 3"
     # nor do copies of it, which are taken by themselves
-    assert main_text(parsed[3], decided(template_of([parsed[3]] * 5))) == main_text(parsed[3], None)
+    assert main_text(make(3), decided(template_of([parsed[3]] * 5))) == main_text(make(3), None)
 
 
 def template_of(parsed):
@@ -143,7 +146,7 @@ def template_of(parsed):
 
 def texts_by_host(make, n=6):
     parsed = [Page(make(i)) for i in range(n)]
-    return {main_text(p, decided(template_of(parsed))).replace(str(i), "#") for i, p in enumerate(parsed)}, main_text(parsed[0], None).replace("0", "#")
+    return {main_text(make(i), decided(template_of(parsed))).replace(str(i), "#") for i in range(n)}, main_text(make(0), None).replace("0", "#")
 
 
 LONG = "Story {0} tells of thing {0} and of much else, at some length, for several lines of prose."
@@ -180,6 +183,74 @@ def test_simple_tree_matching_keeps_order():
 
 
 def test_deep_and_broken_pages():
-    assert main_text(Page("<div>" * 5000 + "deep" + "</div>" * 5000), None) == "deep"
-    assert main_text(Page("<p>a<p>b</i></p></div><b>c<script>never ends"), None) == "a\nb\nc"
-    assert main_text(Page('<p title="x>y">t &#233; &unknown; &lt;</p><!-- <p>no --> <br>z'), None) == "t é &unknown; <\nz"
+    assert main_text(("<div>" * 5000 + "deep" + "</div>" * 5000), None) == "deep"
+    assert main_text(("<p>a<p>b</i></p></div><b>c<script>never ends"), None) == "a\nb\nc"
+    assert main_text(('<p title="x>y">t &#233; &unknown; &lt;</p><!-- <p>no --> <br>z'), None) == "t é &unknown; <\nz"
+
+
+MENU, FOOT = "Home News Sport Weather Contact", "Copyright of the publisher, all rights reserved"
+LAYOUTS = {
+    "divs": "<body><div>{menu}</div><div><h1>{h}</h1>{body}</div><div>{foot}</div></body>",
+    "nested divs": "<body><div><div>{menu}</div><div><div><h1>{h}</h1>{body}</div></div></div><div><div>{foot}</div></div></body>",
+    "table": "<table><tr><td>{menu}</td></tr><tr><td><h1>{h}</h1>{body}</td></tr><tr><td>{foot}</td></tr></table>",
+    "columns": "<table><tr><td>{menu}</td><td><h1>{h}</h1>{body}</td><td>{foot}</td></tr></table>",
+    "sections": "<section class=block>{menu}</section><section class=block><h1>{h}</h1>{body}</section><section class=block>{foot}</section>",
+    "generated": "<div class=css-{x}a><div class=css-{x}b>{menu}</div><div class=css-{x}c><h1>{h}</h1>{body}</div><div class=css-{x}d>{foot}</div></div>",
+    "paragraphs": "<body><p>{menu}</p><h1>{h}</h1>{body}<p>{foot}</p></body>",
+}
+
+
+def laid_out(layout, i, n):
+    x = "".join(chr(97 + (i >> k & 15)) for k in (0, 4, 8, 12))
+    body = "".join(f"<p>Paragraph {k} of story {i} says this and that at length, as stories do.</p>" for k in range(1 + i % n))
+    return LAYOUTS[layout].format(menu=MENU, foot=FOOT, h=f"Story {i}", body=body, x=x), "\n".join([f"Story {i}", *(f"Paragraph {k} of story {i} says this and that at length, as stories do." for k in range(1 + i % n))])
+
+
+def test_menus_and_footers_among_siblings_with_equal_labels(spark):
+    made = {(k, i): laid_out(layout, i, 5) for k, layout in enumerate(LAYOUTS) for i in range(30)}
+    rows = [(100 * k + i, f"http://h{k}.example/{i}", html) for (k, i), (html, _) in made.items()]
+    want = {100 * k + i: text for (k, i), (_, text) in made.items()}
+    assert {r["page_id"]: r["text"] for r in wrapper.extracted(pages(spark, rows)).collect()} == want
+
+
+def test_any_partitioning_gives_the_same_text(spark):
+    rows = [(i, f"http://h{i % 2}.example/{i}", laid_out(layout, i, 7)[0]) for i, layout in enumerate([*LAYOUTS] * 20)]
+    some = {n: sorted(map(tuple, wrapper.extracted(pages(spark, rows[::d]).repartition(n)).collect())) for n, d in ((1, 1), (7, -1), (16, 1))}
+    assert some[1] == some[7] == some[16]
+
+
+def test_articles_keep_what_they_share(spark):
+    """A heading that all articles have among others, and paragraphs that copies of an article in article elements have, are content."""
+    rows = [(i, f"http://h.example/{i}", f"<body><div>{MENU}</div><div><h1>Story {i}</h1><h2>About {i}</h2><p>Text of story {i}.</p><h2>Summary</h2><p>End of story {i}.</p></div></body>") for i in range(20)]
+    rows += [(100 + i, f"http://k.example/{i}", f"<article><p>The same text.</p><p>Copy {i}</p></article>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extracted(pages(spark, rows)).collect()}
+    assert got == {i: f"Story {i}\nAbout {i}\nText of story {i}.\nSummary\nEnd of story {i}." for i in range(20)} | {100 + i: f"The same text.\nCopy {i}" for i in range(20)}
+
+
+def test_matching_against_all_order_preserving_ones():
+    rng = random.Random(3)
+
+    def some(depth):
+        return [rng.choice("xyz"), 1, 0, 0, 0, 0, [some(depth - 1) for _ in range(rng.randrange(4))] if depth else [], 0]
+
+    for _ in range(200):
+        a, b = some(2), some(2)
+        assert matching(a, b)[0] == brute.tree_matching(a[6], b[6])
+
+
+def test_many_pages_with_generated_names_take_linear_time():
+    def seconds(n):
+        start, template = time.time(), None
+        facts = frozenset()
+        trees = {}
+        for i in range(n):
+            p = Page(laid_out("generated", i, 9)[0], facts)
+            trees[p.signature()] = p
+        for k in sorted(trees):
+            p = trees[k]
+            one = tree(p.labels, p.parents, 1, [int(h != 0) for h in p.hashes()], p.lengths, p.linked, p.hashes(), p.fingerprints())
+            template = merged(template, one) if template else one
+        assert len(trees) < 5
+        return time.time() - start
+
+    assert seconds(4000) < 20
