@@ -158,10 +158,10 @@ words AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word, un
 placed AS (SELECT *, sum(length(gap) + length(word)) OVER w - length(word) AS start, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run
     FROM (SELECT *, right(word, 1) IN ('.', '!', '?') OR contains(after, chr(10)) OR i = n AS ends FROM words) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 pieces AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, run ORDER BY i) - 1) // 30 AS piece FROM placed),
-sentences AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS s, min(i) - 1 AS c, min(start) AS start FROM pieces GROUP BY doc_id, run, piece),
-bounds AS (SELECT doc_id, s AS k, c FROM sentences UNION ALL SELECT doc_id, max(s) + 1, (SELECT max(n) FROM words w WHERE w.doc_id = o.doc_id) FROM sentences o GROUP BY doc_id),
-runs AS (SELECT a.doc_id, a.k AS b, min(z.k) AS e FROM bounds a JOIN bounds z ON z.doc_id = a.doc_id AND z.k BETWEEN a.k + 2 AND a.k + 15 AND z.c >= a.c + 15 GROUP BY ALL
-    UNION SELECT z.doc_id, max(a.k), z.k FROM bounds z JOIN bounds a ON a.doc_id = z.doc_id AND a.k BETWEEN z.k - 15 AND z.k - 2 AND z.c >= a.c + 15 GROUP BY z.doc_id, z.k),
+sentences AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS s, min(i) - 1 AS c, min(start) AS start, run FROM pieces GROUP BY doc_id, run, piece),
+bounds AS (SELECT doc_id, s AS k, c, run, lag(run) OVER (PARTITION BY doc_id ORDER BY s) AS ended FROM sentences UNION ALL SELECT doc_id, max(s) + 1, (SELECT max(n) FROM words w WHERE w.doc_id = o.doc_id), NULL, max(run) FROM sentences o GROUP BY doc_id),
+runs AS (SELECT a.doc_id, a.k AS b, min(z.k) AS e FROM bounds a JOIN bounds z ON z.doc_id = a.doc_id AND z.k BETWEEN a.k + 2 AND a.k + 15 AND z.c >= a.c + 15 AND (z.ended > a.run OR z.c > a.c + 50) GROUP BY ALL
+    UNION SELECT z.doc_id, max(a.k), z.k FROM bounds z JOIN bounds a ON a.doc_id = z.doc_id AND a.k BETWEEN z.k - 15 AND z.k - 2 AND z.c >= a.c + 15 AND (z.ended > a.run OR z.c > a.c + 50) GROUP BY z.doc_id, z.k),
 lowered AS (SELECT doc_id, list_transform(ws, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM found),
 spans AS (SELECT r.doc_id, r.b, r.e, md5(array_to_string(ws[a.c + 1:z.c], ' ')) AS span FROM runs r JOIN bounds a ON a.doc_id = r.doc_id AND a.k = r.b JOIN bounds z ON z.doc_id = r.doc_id AND z.k = r.e JOIN lowered l ON l.doc_id = r.doc_id),
 later AS (SELECT * FROM (SELECT *, first_value(doc_id) OVER w AS first_doc, row_number() OVER w AS nth FROM spans WINDOW w AS (PARTITION BY span ORDER BY doc_id, b)) WHERE nth > 1),

@@ -1,10 +1,11 @@
 """Removes repeated passages: sliding spans of consecutive sentences, hashed and joined over all documents.
 
-A sentence ends with a word that ends in . ! or ?, with a line, with the text, or after ``LONGEST`` words (text without marks
-is cut there, so that long passages without them have sentences too). A span is the shortest run of at least ``SENTENCES``
-consecutive sentences, from each sentence on and up to each sentence, that has ``WORDS`` words; so a repeated passage is
-covered from its first whole sentence to its last, and one repeated sentence alone is none. Of the occurrences of a span, the
-one with the smallest (doc_id, text hash, place) is the first; sentences that any other occurrence covers are removed. Spans
+A sentence ends with a word that ends in . ! or ?, with a line or with the text. Long ones are cut into pieces of ``LONGEST``
+words, so that long passages without marks can be covered in part. A span is the shortest run of consecutive pieces, from each
+piece on and up to each piece, that touches ``SENTENCES`` sentences and has ``WORDS`` words, or has more than ``PASSAGE`` words of a single one; so
+a repeated passage is covered from its first whole piece to its last, and one repeated sentence of up to ``PASSAGE`` words alone is
+none, be it cut or not. Of the occurrences of a span, the
+one with the smallest (doc_id, text hash, place) is the first; pieces that any other occurrence covers are removed. Spans
 are hashes of words and ignore the case of A-Z and white space.
 
 A span that a third of all documents have is counted with partial aggregation, and its occurrences are joined
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from copysift.llm.frames import cut, free_name, within_bytes
 from copysift.llm.words import BASE, U64, _powers, buffers, mix, portions, word_hashes, word_spans
 
-SENTENCES, WORDS, LONGEST = 2, 15, 30
+SENTENCES, WORDS, LONGEST, PASSAGE = 2, 15, 30, 50
 
 _ends_sentence = np.zeros(256, bool)
 _ends_sentence[[ord(c) for c in ".!?"]] = True
@@ -37,33 +38,39 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["up"][:n], _tables["down"][:n]
 
 
-def sentences(data: np.ndarray, offsets: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts and ends of words, index of each sentence's first word, index of each text's first sentence); the last two have one more entry."""
+def sentences(data: np.ndarray, offsets: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts and ends of words, index of each piece's first word, index of each text's first piece, sentence of each piece); the third and fourth have one more entry."""
     starts, ends, first = word_spans(data, offsets)
     if not len(starts):
-        return starts, ends, np.zeros(1, np.int64), np.zeros(len(offsets), np.int64)
+        return starts, ends, np.zeros(1, np.int64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     last = _ends_sentence[data[ends - 1]]
     last[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
     full = np.flatnonzero(np.diff(first) > 0)
     last[first[full + 1] - 1] = True
     begins = np.concatenate([[0], np.flatnonzero(last) + 1])
-    within = np.arange(len(starts)) - np.repeat(begins[:-1], np.diff(begins))
+    whole = begins[:-1]
+    within = np.arange(len(starts)) - np.repeat(whole, np.diff(begins))
     last |= within % longest == longest - 1
     begins = np.concatenate([[0], np.flatnonzero(last) + 1])
-    return starts, ends, begins, np.searchsorted(begins[:-1], first)
+    return starts, ends, begins, np.searchsorted(begins[:-1], first), np.searchsorted(whole, begins[:-1], "right") - 1
 
 
-def spans(begins: np.ndarray, texts: np.ndarray, several: int = SENTENCES, least: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Sentence ranges [s, e) of all spans, from the results of sentences()."""
+def spans(begins: np.ndarray, texts: np.ndarray, sentence: np.ndarray, several: int = SENTENCES, least: int = WORDS, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges [s, e) of pieces of all spans, from the results of sentences()."""
     n = len(begins) - 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     size = np.diff(texts)
     low, high = np.repeat(texts[:-1], size), np.repeat(texts[1:], size)
     at = np.arange(n)
-    onward = np.maximum(np.searchsorted(begins, begins[:-1] + least), at + several)
-    back = np.minimum(np.searchsorted(begins, begins[1:] - least, "right") - 1, at + 1 - several)
+    # behind the first piece of the sentence that makes them several, and on the last piece of the one before; no text or table has these where they are out of range
+    touched = np.minimum(np.searchsorted(sentence, sentence + several - 1) + 1, n + 1)
+    touching = np.searchsorted(sentence, sentence - several + 1, "right") - 1
+    touched = np.minimum(touched, np.searchsorted(begins, begins[:-1] + passage + 1))
+    touching = np.maximum(touching, np.searchsorted(begins, begins[1:] - passage - 1, "right") - 1)
+    onward = np.maximum(np.searchsorted(begins, begins[:-1] + least), touched)
+    back = np.minimum(np.searchsorted(begins, begins[1:] - least, "right") - 1, touching)
     a, b = onward <= high, back >= low
     both = np.unique(np.concatenate([at[a] * (n + 1) + onward[a], back[b] * (n + 1) + at[b] + 1]))
     return both // (n + 1), both % (n + 1)
@@ -76,8 +83,8 @@ def _occurrences(docs: DataFrame, several: int, least: int) -> DataFrame:
         for batch in batches:
             for part in portions(batch, "text"):
                 data, offsets = buffers(part.column("text"))
-                starts, ends, begins, texts = sentences(data, offsets)
-                s, e = spans(begins, texts, several, least)
+                starts, ends, begins, texts, sentence = sentences(data, offsets)
+                s, e = spans(begins, texts, sentence, several, least)
                 up, down = _power(len(starts) + 1)
                 total = np.zeros(len(starts) + 1, U64)
                 np.cumsum(word_hashes(data, starts, ends) * up[: len(starts)], dtype=U64, out=total[1:])
@@ -120,7 +127,7 @@ NO_ID = (1 << 63) - 1
 
 
 def without_repeats(docs: DataFrame, several: int = SENTENCES, least: int = WORDS) -> DataFrame:
-    """All rows and columns of ``docs`` with ``text`` freed of repeated sentences, and n_sentences, n_removed, removed and first_docs.
+    """All rows and columns of ``docs`` with ``text`` freed of repeated sentences, and n_sentences, n_removed (both count pieces), removed and first_docs.
 
     removed lists code-point ranges "start-end" of the old text, comma-joined; first_docs the doc_ids that keep the
     passages (null for one without an id). Texts without words, null or of one sentence stay as they are. A document is a
@@ -140,7 +147,7 @@ def without_repeats(docs: DataFrame, several: int = SENTENCES, least: int = WORD
         for batch in batches:
             for part in portions(batch, "text"):
                 data, offsets = buffers(part.column("text"))
-                starts, _, begins, texts = sentences(data, offsets)
+                starts, _, begins, texts, _ = sentences(data, offsets)
                 raw = data.tobytes()
                 old, new, gone, told = part.column("text").to_pylist(), [], [], []
                 for i, given in enumerate(part.column(ranges).to_pylist()):

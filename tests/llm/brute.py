@@ -90,38 +90,46 @@ def private_spans(text):
 
 
 def sentences(text, longest):
-    """[(words, start, end)]: the sentences of a text with the code points from their first word to the next sentence's."""
-    out, now = [], []
+    """[(words, start, end, sentence)]: the pieces of a text's sentences, with the code points from their first word to the next piece's."""
+    out, now, of, sentence = [], [], [], 0
     found = list(re.finditer("[^\x20\x09-\x0d]+", text or ""))
     for i, m in enumerate(found):
         now.append(m)
         after = text[m.end() : found[i + 1].start()] if i + 1 < len(found) else "\n"
-        if m[0][-1] in ".!?" or "\n" in after or len(now) == longest:
+        ends = m[0][-1] in ".!?" or "\n" in after
+        if ends or len(now) == longest:
             out.append(now)
+            of.append(sentence)
             now = []
+        sentence += ends
     starts = [s[0].start() for s in out] + [len(text or "")]
-    return [(words(" ".join(m[0] for m in s)), starts[k], starts[k + 1]) for k, s in enumerate(out)]
+    return [(words(" ".join(m[0] for m in s)), starts[k], starts[k + 1], of[k]) for k, s in enumerate(out)]
 
 
-def without_repeats(rows, several, least, longest):
+def without_repeats(rows, several, least, longest, passage):
     """rows: (doc_id or None, version, text). [(n_sentences, removed sentences, text that is left, ids that keep the passages)] in their order."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, rows[i][1]))
     split = [sentences(t, longest) for _, _, t in rows]
     first, gone, keepers = {}, [set() for _ in rows], [set() for _ in rows]
     for i in order:
-        sizes = [len(w) for w, _, _ in split[i]]
+        sizes = [len(w) for w, _, _, _ in split[i]]
+
+        def long_enough(s, e, i=i, sizes=sizes):
+            n = sum(sizes[s:e])
+            return n >= least and (n > passage or len({p[3] for p in split[i][s:e]}) >= several)
+
         runs = set()
         for s in range(len(sizes)):
-            e = next((e for e in range(s + several, len(sizes) + 1) if sum(sizes[s:e]) >= least), None)
-            b = next((b for b in range(s + 1 - several, -1, -1) if sum(sizes[b : s + 1]) >= least), None)
+            e = next((e for e in range(s + 1, len(sizes) + 1) if long_enough(s, e)), None)
+            b = next((b for b in range(s, -1, -1) if long_enough(b, s + 1)), None)
             runs |= ({(s, e)} if e is not None else set()) | ({(b, s + 1)} if b is not None else set())
         for s, e in sorted(runs):
-            span = tuple(w for part, _, _ in split[i][s:e] for w in part)
+            span = tuple(w for part, _, _, _ in split[i][s:e] for w in part)
             place = (rows[i][:2], s)
             if first.setdefault(span, place) != place:
                 gone[i].update(range(s, e))
                 keepers[i].add(first[span][0][0])
-    return [(len(split[i]), gone[i], "".join([t[: split[i][0][1]], *(t[a:b] for k, (_, a, b) in enumerate(split[i]) if k not in gone[i])]) if split[i] else t, keepers[i]) for i, (_, _, t) in enumerate(rows)]
+    return [(len(split[i]), gone[i], "".join([t[: split[i][0][1]], *(t[a:b] for k, (_, a, b, _) in enumerate(split[i]) if k not in gone[i])]) if split[i] else t, keepers[i]) for i, (_, _, t) in enumerate(rows)]
 
 
 def disclosing(texts, support, generalise):

@@ -127,7 +127,7 @@ def _spans(spark, rows):
     numbered = spark.createDataFrame([(*r, i, "doc", 1, ["x"]) for i, r in enumerate(rows)], "doc_id long, text string, nth int, doc string, ranges int, firsts array<string>")
     versions = {r["nth"]: r["v"] for r in numbered.selectExpr("nth", "xxhash64(text) AS v").collect()}
     got = {r["nth"]: (r["n_sentences"], r["n_removed"], r["text"], set(r["first_docs"] or ())) for r in span_dedup.without_repeats(numbered).collect()}
-    want = brute.without_repeats([(d, versions[i], t) for i, (d, t) in enumerate(rows)], span_dedup.SENTENCES, span_dedup.WORDS, span_dedup.LONGEST)
+    want = brute.without_repeats([(d, versions[i], t) for i, (d, t) in enumerate(rows)], span_dedup.SENTENCES, span_dedup.WORDS, span_dedup.LONGEST, span_dedup.PASSAGE)
     return [got[i] for i in range(len(rows))], [(n, len(gone), text, ids) for n, gone, text, ids in want]
 
 
@@ -164,6 +164,13 @@ def test_several_sentences_make_a_span_and_one_does_not(spark):
     assert [n for _, n, _, _ in got] == [0, 0, 0, 3] and got[3][2] == "f g h. i j."
 
 
+def test_one_long_sentence_is_none_though_it_is_cut(spark):
+    for n, gone in ((40, 0), (50, 0), (51, 2), (64, 3)):
+        one = " ".join(f"u{i}" for i in range(n)) + "."
+        got, want = _spans(spark, [(1, f"p q r. {one} s t."), (2, f"x y z. {one} w v.")])
+        assert got == want and got[1][1] == gone
+
+
 def test_a_long_passage_without_marks_has_sentences_too(spark):
     passage = " ".join(f"m{i}" for i in range(75))
     got, want = _spans(spark, [(1, f"start.\n{passage}\nend."), (2, f"other start.\n{passage}\nother end.")])
