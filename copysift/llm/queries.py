@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copysift.llm import decontam, filter_audit, minhash_dedup, mixing, pii, pseudo_lm, quality, sharding, span_dedup, spelling, vector_dedup, warc, wrapper
-from copysift.llm.frames import new_folder, table
+from copysift.llm.frames import new_folder, remove_folder, table
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archived(table(spark, sf_dir, "pages"), new_folder(spark, "archives"))
+    """Its rows are checkpointed and no gap was found when the archives are deleted; call warc.archived() to keep them."""
+    folder = new_folder(spark, "archives")
+    rows = warc.archived(table(spark, sf_dir, "pages"), folder)
+    remove_folder(spark, folder)
+    return rows
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

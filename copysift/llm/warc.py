@@ -20,7 +20,7 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -100,14 +100,31 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, most:
     filed(records(pages, least), most).write.mode("overwrite").option("lineSep", END).partitionBy("file").text(path)
 
 
-def _headers(data: bytes) -> dict[str, str] | None:
+def _headers(data: bytes, at: int, stop: int) -> dict[str, str] | None:
+    """The headers between two places; None at the first row that is none."""
     out = {}
-    for row in data.split(b"\r\n"):
-        name, colon, value = row.partition(b":")
+    while True:
+        over = data.find(b"\r\n", at, stop)
+        name, colon, value = data[at : over if over >= 0 else stop].partition(b":")
         if not colon or not name.strip():
             return None
         out[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    return out
+        if over < 0:
+            return out
+        at = over + 2
+
+
+class _Ahead:
+    """The first place of a mark at or behind places that only grow; it is searched again once it has been passed, so all searches together read the data once."""
+
+    def __init__(self, search: Callable[[int], int], end: int) -> None:
+        self.search, self.end, self.place = search, end, -1
+
+    def __call__(self, at: int) -> int:
+        if self.place < at:
+            found = self.search(at)
+            self.place = found if found >= 0 else self.end
+        return self.place
 
 
 def _digest_fits(stated: str | None, data: bytes) -> bool:
@@ -120,15 +137,15 @@ def _digest_fits(stated: str | None, data: bytes) -> bool:
     return value.lower() == found.hexdigest()
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict, int] | str:
-    """The record that begins at ``at`` and the place behind it, or what is wrong with it."""
+def parse_record(data: bytes, at: int, blank: Callable[[int], int]) -> tuple[dict, int] | str:
+    """The record that begins at ``at`` and the place behind it, or what is wrong with it. blank: the next blank line from a place on, or the end of the data."""
     m = _VERSION.match(data, at)
     if not m:
         return "no version line"
-    stop = data.find(b"\r\n\r\n", m.end())
-    if stop < 0:
+    stop = blank(m.end())
+    if stop == len(data):
         return "headers do not end"
-    head = _headers(data[m.end() : stop])
+    head = _headers(data, m.end(), stop)
     if head is None:
         return "bad header"
     if not head.get("content-length", "").isdigit() or not head.get("warc-type"):
@@ -156,6 +173,9 @@ def salvage(data: bytes, packed: bool = True) -> tuple[list[tuple[int, dict]], l
     """(records with their places, quarantined gaps as (start, end, reason)) of an archive, plain or, if ``packed``, gzip members (which hold no further ones)."""
     found, gaps = [], []
     at, bad, reason = 0, -1, ""
+    blank = _Ahead(lambda place: data.find(b"\r\n\r\n", place), len(data))
+    line = _Ahead(lambda place: m.start() if (m := _VERSION.search(data, place)) else -1, len(data))
+    member = _Ahead(lambda place: data.find(_GZIP, place) if packed else -1, len(data))
 
     def good(place: int) -> None:
         nonlocal bad
@@ -182,16 +202,14 @@ def salvage(data: bytes, packed: bool = True) -> tuple[list[tuple[int, dict]], l
                     continue
             wrong(at, opened if isinstance(opened, str) else "bad gzip member")
         else:
-            got = parse_record(data, at)
+            got = parse_record(data, at, blank)
             if not isinstance(got, str):
                 good(at)
                 found.append((at, got[0]))
                 at = got[1]
                 continue
             wrong(at, got)
-        m = _VERSION.search(data, at + 1)
-        places = [p for p in (m.start() if m else -1, data.find(_GZIP, at + 1) if packed else -1) if p >= 0]
-        at = min(places, default=len(data))
+        at = min(line(at + 1), member(at + 1))
     good(len(data))
     return found, gaps
 

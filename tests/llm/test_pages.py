@@ -105,6 +105,13 @@ def test_salvage_of_nothing_and_of_noise():
     assert warc.salvage(b"WARC/1.1\r\nnothing")[1] == [(0, 17, "headers do not end")]
 
 
+@pytest.mark.parametrize("noise", [b"WARC/1.1\r\n" * 200_000, b"WARC/1.1\r\nA: b\r\n" * 100_000, b"\x1f\x8b\x08" * 50_000])
+def test_noise_of_marks_takes_linear_time(noise):
+    start = time.time()
+    found, gaps = warc.salvage(noise + b"\r\n\r\n" + record(1, b"x"))
+    assert names(found) == ["<urn:page:1>"] and gaps[0][:2] == (0, len(noise) + 4) and time.time() - start < 10
+
+
 def test_payload_that_looks_like_a_record_is_no_record():
     inner = record(9, b"x")
     assert names(warc.salvage(record(1, inner))[0]) == ["<urn:page:1>"]
