@@ -18,7 +18,7 @@ from copysift.functions import text as X
 from copysift.functions.embed import ProseEmbedder
 from copysift.operators import rank
 from copysift.operators.blocks import extract_blocks, line_windows
-from copysift.operators.idioms import directories, suppression
+from copysift.operators.idioms import suppression
 from copysift.operators.similar import confirmed_pairs, similar_pairs, stars
 from copysift.plans.detect import find_clusters
 from copysift.sources.globs import glob_regex
@@ -164,21 +164,20 @@ def confidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as blocks: each distinct line with its places."""
+    """Lines as blocks: each distinct line with how many places and directories have it."""
     docs = spread(_table(spark, sf_dir, "documents")).select(F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string")).alias("file"), F.explode_outer(X.normal_lines(F.col("text"))).alias("line")).where("line is not null")
     folders = docs.groupBy("line", X.directory(F.col("file")).alias("folder")).agg(F.count("*").alias("n"))
-    # one place for each folder is enough to count folders
-    rows = folders.groupBy("line").agg(F.sum("n").alias("frequency"), F.collect_list(F.struct(F.concat("folder", F.lit("/x")).alias("file"))).alias("occurrences"))
-    return rows.where("frequency > 1").select(X.short_hash(F.col("line")).alias("norm_hash"), F.col("line").alias("preview"), "frequency", "occurrences", F.lit(1).alias("median_lines"))
+    rows = folders.groupBy("line").agg(F.sum("n").alias("frequency"), F.count("*").cast("int").alias("directories"))
+    return rows.where("frequency > 1").select(X.short_hash(F.col("line")).alias("norm_hash"), F.col("line").alias("preview"), "frequency", "directories", F.lit(1).alias("median_lines"))
 
 
 def idiom_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     idiom = Idiom(ignore_patterns=("[Ll]icense", "(unclosed"))
-    return _line_groups(spark, sf_dir).select("norm_hash", "frequency", suppression(idiom)["rule"].alias("rule"))
+    return _line_groups(spark, sf_dir).select("norm_hash", "frequency", suppression(idiom, spread=F.col("directories"))["rule"].alias("rule"))
 
 
 def dir_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_groups(spark, sf_dir).select("norm_hash", directories(F.col("occurrences")).alias("directories"))
+    return _line_groups(spark, sf_dir).select("norm_hash", "directories")
 
 
 def folder_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
