@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from copysift import config as C
 from copysift.functions.measure import confidence_rank
 from copysift.functions.text import top_folder
+from copysift.operators.clusters import KEY
 
 
 def order(by: str) -> list[Column]:
@@ -25,9 +26,9 @@ def top(clusters: DataFrame, by: str, n: int) -> DataFrame:
     return clusters.orderBy(*order(by)).limit(n)
 
 
-def summary(clusters: DataFrame) -> DataFrame:
+def summary(clusters: DataFrame, places: DataFrame) -> DataFrame:
     """One row: clusters_found, total_removable_lines, files_involved."""
-    files = clusters.select(F.explode("occurrences.file").alias("file")).agg(F.countDistinct("file").alias("files_involved"))
+    files = places.join(clusters.select(*KEY), KEY, "left_semi").agg(F.countDistinct("file").alias("files_involved"))
     totals = clusters.agg(F.count("*").alias("clusters_found"), F.coalesce(F.sum("removable_lines"), F.lit(0)).alias("total_removable_lines"))
     return totals.join(files)  # one row each
 

@@ -20,6 +20,7 @@ from copysift.functions.report import to_yaml
 from copysift.functions.text import short_hash
 from copysift.operators import rank
 from copysift.operators.blocks import extract_blocks
+from copysift.operators.clusters import Clusters, with_occurrences
 from copysift.plans.detect import find_clusters
 from copysift.sources.project import git_fingerprint, listing, settled_fingerprint, with_content
 from copysift.sources.store import Store, folder_for
@@ -32,6 +33,8 @@ CONFIDENCE_GUIDE = {
     "low": "alike in outline; read both before acting",
 }
 REFRESH_SECONDS = 2.0
+#: What a report says of a cluster, in this order.
+SHOWN = ["id", "occurrences", "frequency", "median_lines", "removable_lines", "severity", "similarity", "alignment", "match_type", "confidence", "preview", "suppressed"]
 
 
 class Findings:
@@ -205,7 +208,7 @@ class Engine:
     def _contents(self) -> DataFrame:
         return with_content(self._source(), self.root)
 
-    def clusters(self, query: C.Query) -> DataFrame:
+    def clusters(self, query: C.Query) -> Clusters:
         blocks = extract_blocks(self._contents(), self.settings.min_lines)
         if query.min_lines is not None:
             blocks = blocks.where(F.col("sig_lines") >= query.min_lines)
@@ -230,10 +233,11 @@ class Engine:
             progress = self.progress()
             if progress["pending_files"] and progress["files_in_scope"] >= C.SMALL_PROJECT_FILES and progress["percent_complete"] < C.USEFUL_PERCENT:
                 return self._empty(f"{progress['percent_complete']} % of the files are indexed; a ranking of so few would mislead.", progress=progress, scope=self.scope())
-            judged = cut(self.clusters(query))
+            rows, places = self.clusters(query)
+            judged = cut(rows)
             found = rank.at_least(judged.where("suppressed is null"), query.min_confidence)
-            first = [r.asDict(True) for r in rank.top(found, query.order_by, query.top).drop("cluster", "place", "suppressed").collect()]
-            totals = rank.summary(found).first().asDict()
+            first = self._shown(found, places, query, "suppressed")
+            totals = rank.summary(found, places).first().asDict()
             report = {"status": {k: v for k, v in self.store.counts().items()}, "analysis_mode": "heuristic", "confidence_guide": CONFIDENCE_GUIDE, "duplications": first}
             report["summary"] = totals | {"by_confidence": {r["confidence"]: r["clusters"] for r in rank.by_confidence(found).collect()}}
             if progress["pending_files"]:
@@ -242,10 +246,15 @@ class Engine:
             if notice := self.scope_notice(scope):
                 report |= {"scope": scope, "scope_notice": notice}
             if query.include_suppressed:
-                report["suppressed_idioms"] = [r.asDict(True) for r in rank.top(judged.where("suppressed is not null"), query.order_by, query.top).drop("cluster", "place").collect()]
+                report["suppressed_idioms"] = self._shown(judged.where("suppressed is not null"), places, query)
             self._remember(first)
             return report
 
+    def _shown(self, rows: DataFrame, places: DataFrame, query: C.Query, *hidden: str) -> list[dict]:
+        """The first clusters of a report, with their places."""
+        first = with_occurrences(cut(rank.top(rows, query.order_by, query.top)), places)
+        return [r.asDict(True) for r in rank.top(first, query.order_by, query.top).select(*(c for c in SHOWN if c not in hidden)).collect()]
+
     def _remember(self, clusters: list[dict]) -> None:
         names = sorted({o["file"] for c in clusters for o in c["occurrences"]})
         hashes = self._hashes(names)
@@ -266,7 +275,8 @@ class Engine:
             if told and self._hashes(sorted(told[1])) == told[1]:
                 cluster = told[0]
             else:
-                rows = self.clusters(C.Query()).where(F.col("id") == cluster_id).drop("cluster", "place").limit(1).collect()
+                found, places = self.clusters(C.Query())
+                rows = with_occurrences(cut(found.where(F.col("id") == cluster_id).limit(1)), places).select(*SHOWN).collect()
                 if not rows:
                     return {"notice": f"There is no cluster {cluster_id} now; the files may have changed."}
                 cluster = rows[0].asDict(True)

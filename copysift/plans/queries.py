@@ -173,7 +173,7 @@ def _line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def idiom_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     idiom = Idiom(ignore_patterns=("[Ll]icense", "(unclosed"))
-    return _line_groups(spark, sf_dir).select("norm_hash", "frequency", suppression(idiom, spread=F.col("directories"))["rule"].alias("rule"))
+    return _line_groups(spark, sf_dir).select("norm_hash", "frequency", suppression(idiom)["rule"].alias("rule"))
 
 
 def dir_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +238,7 @@ def duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = docs.select("file", F.lit(1).alias("start_line"), F.col("lines").alias("end_line"), "text", "norm_hash", "sig_lines", none.alias("block_start"), none.alias("block_end"))
     # texts with one normal form have the same words and the same vector
     vectors = docs.groupBy("norm_hash").agg(F.min_by("text", "doc_id").alias("text")).select("norm_hash", ProseEmbedder().column(F.col("text")).alias("vector"))
-    return find_clusters(blocks, vectors, BASE).select("id", "frequency", "median_lines", "removable_lines", "severity", "similarity", "alignment", "match_type", "confidence", "preview", F.col("suppressed.rule").alias("rule"))
+    return find_clusters(blocks, vectors, BASE).rows.select("id", "frequency", "median_lines", "removable_lines", "severity", "similarity", "alignment", "match_type", "confidence", "preview", F.col("suppressed.rule").alias("rule"))
 
 
 NAMES = [
