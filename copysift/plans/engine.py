@@ -212,7 +212,8 @@ class Engine:
         blocks = extract_blocks(self._contents(), self.settings.min_lines)
         if query.min_lines is not None:
             blocks = blocks.where(F.col("sig_lines") >= query.min_lines)
-        return find_clusters(cut(blocks), self.store.vectors(), query.threshold(self.settings), self.settings.idiom, self.settings.exclude)
+        blocks = cut(blocks)
+        return find_clusters(blocks, self.store.vectors_of(blocks), query.threshold(self.settings), self.settings.idiom, self.settings.exclude)
 
     def _empty(self, notice: str, **more: Any) -> dict[str, Any]:
         return {"notice": notice, "analysis_mode": "heuristic", "confidence_guide": CONFIDENCE_GUIDE, "duplications": [], "summary": {"clusters_found": 0, "total_removable_lines": 0, "files_involved": 0, "by_confidence": {}}} | more

@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copysift.config import Idiom
-from copysift.frames import spread
+from copysift.frames import cut, spread
 from copysift.functions import measure as M
 from copysift.functions import text as X
 from copysift.functions.embed import ProseEmbedder
 from copysift.operators import rank
 from copysift.operators.blocks import extract_blocks, line_windows
 from copysift.operators.idioms import suppression
+from copysift.operators.lookup import perhaps_present
 from copysift.operators.similar import confirmed_pairs, similar_pairs, stars
 from copysift.plans.detect import find_clusters
 from copysift.sources.globs import glob_regex
@@ -103,6 +104,13 @@ def missing_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left_out(rows, _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
+def group_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-up of few vectors among all: those of the first document of each group of copies."""
+    wanted = cut(_groups(spark, sf_dir).select(F.col("first_doc").alias("vec_id")))
+    rows = perhaps_present(_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), wanted, "vec_id")
+    return present(rows, wanted, "vec_id").select("vec_id", "label", F.size("embedding").alias("dim"))
+
+
 def retain_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(_table(spark, sf_dir, "documents").select("doc_id", "source"), _table(spark, sf_dir, "labels"), "doc_id")
 
@@ -243,7 +251,7 @@ def duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = [
     duplicate_clusters, norm_lines, identical_groups, cluster_stats, rank_severity, rank_frequency, line_windows_20, previews, strip_comments, dedupe_latest, changed_users,
-    vector_lookup, missing_vectors, retain_only, orphan_vectors, near_pairs, greedy_groups, line_alignment, size_band_pairs, threshold_by_size, confidence_case, confidence_counts,
+    vector_lookup, group_vectors, missing_vectors, retain_only, orphan_vectors, near_pairs, greedy_groups, line_alignment, size_band_pairs, threshold_by_size, confidence_case, confidence_counts,
     idiom_case, dir_spread, folder_sizes, interval_overlap, coverage_containment, paths_in_scope, page_structure_blocks, turn_structure_blocks,
 ]
 
@@ -397,6 +405,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(l.user_id AS VARCHAR) AS file, l.event_id AS size, s.event_id AS old_size FROM l LEFT JOIN s USING (user_id)
             WHERE NOT coalesce(epoch_us(l.ts) = epoch_us(s.ts) AND l.event_id = s.event_id, false)""",
         "vector_lookup": _DOCS + " SELECT doc_id, norm_hash, len(embedding)::INT AS dim FROM docs LEFT JOIN embeddings ON vec_id = doc_id",
+        "group_vectors": _GROUPS + " SELECT vec_id, label, len(embedding)::INT AS dim FROM embeddings WHERE vec_id IN (SELECT first_doc FROM groups)",
         "missing_vectors": _DOCS + " SELECT * FROM (SELECT norm_hash, min(doc_id) AS doc_id FROM docs GROUP BY norm_hash) d WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = d.doc_id)",
         "retain_only": "SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
         "orphan_vectors": "SELECT vec_id, label FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.vec_id)",

@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from copysift.frames import cut
+from copysift.operators.lookup import perhaps_present
 
 VECTORS = "norm_hash string, vector array<float>, model_id string, created_at timestamp"
 STATE = "file string, mtime double, size long, content_hash string, dirty boolean, chunk_hashes array<string>"
@@ -93,11 +94,18 @@ class Store:
         return self.all_vectors().where(F.col("model_id") == self.model_id).select("norm_hash", "vector")
 
     def vectors_of(self, hashes: DataFrame) -> DataFrame:
-        return present(self.vectors(), hashes, "norm_hash")
+        """(norm_hash, vector) of this store's model for ``hashes`` (norm_hash): vectors of others are dropped where they are read."""
+        wanted = cut(hashes.select("norm_hash").distinct())
+        rows = perhaps_present(self._rows("vectors", VECTORS).where(F.col("model_id") == self.model_id), wanted, "norm_hash")
+        last = latest(rows, "norm_hash", F.col("version"), F.xxhash64(*rows.columns)).where(~F.coalesce("gone", F.lit(False)))
+        return present(last.select("norm_hash", "vector"), wanted, "norm_hash")
 
     def missing(self, hashes: DataFrame) -> DataFrame:
-        """The distinct rows of ``hashes`` by norm_hash that have no vector yet."""
-        return left_out(hashes.dropDuplicates(["norm_hash"]), self.vectors(), "norm_hash")
+        """The distinct rows of ``hashes`` by norm_hash that have no vector yet. No vectors are read, only keys and versions."""
+        hashes = cut(hashes.dropDuplicates(["norm_hash"]))
+        rows = perhaps_present(self._rows("vectors", VECTORS).where(F.col("model_id") == self.model_id).select("norm_hash", "version", "gone"), hashes, "norm_hash")
+        there = rows.groupBy("norm_hash").agg(F.max_by(F.coalesce("gone", F.lit(False)), "version").alias("gone")).where("not gone")
+        return left_out(hashes, there, "norm_hash")
 
     def put_vectors(self, rows: DataFrame) -> None:
         """Adds or replaces vectors (norm_hash, vector)."""
