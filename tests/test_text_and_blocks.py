@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from copysift.functions import text as X
 from copysift.functions.text import strip_comments, structural_view
+from copysift.operators import blocks
 from copysift.operators.blocks import _Outline, blocks_of, extents, extract_blocks, line_windows, net_braces, normalized, windows
 
 
@@ -122,3 +123,15 @@ def test_columns(spark):
 def test_extract_blocks(spark):
     rows = extract_blocks(spark.createDataFrame([("a.ts", FUNCTION), ("b.ts", None), ("c.ts", "")], "file string, content string"), 3).collect()
     assert [(r["file"], r["start_line"], r["end_line"], r["block_start"]) for r in rows] == [("a.ts", 1, 7, None), ("a.ts", 3, 5, None)]
+
+
+def test_blocks_are_handed_on_in_pieces(spark, monkeypatch):
+    page = "\n".join(["a {"] * 60 + ["x" * 200] * 5 + ["}"] * 60)  # 60 blocks that hold each other
+    files = spark.createDataFrame([(f"{i}.html", page) for i in range(40)], "file string, content string").coalesce(1)
+    frames = []
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, run, schema: frames.append((run, schema)) or self)
+    monkeypatch.setattr(blocks, "HANDED", 20_000)
+    extract_blocks(files, 3)
+    batch = blocks.pa.RecordBatch.from_pydict({"file": [f"{i}.html" for i in range(40)], "content": [page] * 40})
+    out = list(frames[0][0](iter([batch])))
+    assert sum(b.num_rows for b in out) == 40 * len(blocks_of(page, 3, 120)) and max(b.nbytes for b in out) < 60_000 and sum(b.nbytes for b in out) > 2_000_000
