@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,10 +81,20 @@ def structural_view(source: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf(T.StringType())
-def without_comments(source: pd.Series) -> pd.Series:
+#: Texts that are Python strings at once.
+AT_ONCE = 64
+
+
+def stripped(source: pa.Array) -> pa.Array:
+    """strip_comments() of an Arrow array, some texts at a time: what a batch holds twice is bytes, not strings."""
+    parts = [pa.array([None if x is None else strip_comments(x) for x in source[at : at + AT_ONCE].to_pylist()], pa.string()) for at in range(0, len(source), AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def without_comments(source: pa.Array) -> pa.Array:
     """strip_comments() as a column function; null stays null."""
-    return source.map(strip_comments, na_action="ignore")
+    return stripped(source)
 
 
 def normal_lines(text: Column) -> Column:

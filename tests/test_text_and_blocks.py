@@ -135,3 +135,11 @@ def test_blocks_are_handed_on_in_pieces(spark, monkeypatch):
     batch = blocks.pa.RecordBatch.from_pydict({"file": [f"{i}.html" for i in range(40)], "content": [page] * 40})
     out = list(frames[0][0](iter([batch])))
     assert sum(b.num_rows for b in out) == 40 * len(blocks_of(page, 3, 120)) and max(b.nbytes for b in out) < 60_000 and sum(b.nbytes for b in out) > 2_000_000
+
+
+def test_comments_go_a_few_texts_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(X, "AT_ONCE", 3)
+    given = ["a // b", None, "", "# x\ny", "/* a\n*/b", "é # ü", "'# kept'"]
+    assert X.stripped(X.pa.array(given, X.pa.string())).to_pylist() == [None if t is None else strip_comments(t) for t in given] and X.stripped(X.pa.array([], X.pa.string())).to_pylist() == []
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string").select("i", X.without_comments("t").alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in rows] == [None if t is None else strip_comments(t) for t in given]
