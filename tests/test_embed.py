@@ -35,3 +35,20 @@ def test_providers_keep_the_order_of_rows(spark):
     for i, t in enumerate(texts):
         assert np.allclose(got[i], structure_vector(t or "", 16), atol=1e-6)
     assert model.status() == "ready"
+
+
+def test_prose_vectors_are_signed_counts_of_hashed_pairs(monkeypatch):
+    import hashlib
+
+    from copysift.functions import embed
+
+    monkeypatch.setattr(embed, "HASHED", 7)
+    for text in ["", " \n", "One", "a b", "Ä b c Ä b c\td\x1ce", "x y " * 40]:
+        words = text.lower().replace("\t", " ").replace("\n", " ").split(" ")
+        words = [w for w in words if w]
+        want = np.zeros(24)
+        for pair in map(" ".join, zip(words, words[1:], strict=False)) if len(words) > 1 else words:
+            digest = hashlib.md5(pair.encode()).digest()
+            want[int.from_bytes(digest[:4]) % 24] += 1 if digest[4] < 128 else -1
+        assert embed.prose_vector(text, 24) == (want / (np.sqrt((want * want).sum()) or 1)).astype(np.float32).tolist()
+    assert embed.prose_vectors([], 24).shape == (0, 24)

@@ -143,3 +143,13 @@ def test_comments_go_a_few_texts_at_a_time(spark, monkeypatch):
     assert X.stripped(X.pa.array(given, X.pa.string())).to_pylist() == [None if t is None else strip_comments(t) for t in given] and X.stripped(X.pa.array([], X.pa.string())).to_pylist() == []
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string").select("i", X.without_comments("t").alias("t")).orderBy("i").collect()
     assert [r["t"] for r in rows] == [None if t is None else strip_comments(t) for t in given]
+
+
+def test_lines_of_a_string_are_those_of_the_column(spark):
+    from copysift.functions.text import hash_of, lines_of, normal_form, normal_lines, short_hash
+
+    odd = [chr(c) for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]]
+    texts = [f"{x}a{x}{x} b\n{x}\n \n{y}c {x}d{y}\n" for x in odd for y in odd] + ["", "\n\n", "a", " a  b "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: (r["lines"], r["h"]) for r in rows.select("t", normal_lines(F.col("t")).alias("lines"), short_hash(normal_form(F.col("t"))).alias("h")).collect()}
+    assert got == {t: (lines_of(t), hash_of(lines_of(t))) for t in texts}
